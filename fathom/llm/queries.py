@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, packing, splitting
+from fathom.llm import bpe, packing, personal, splitting
 from fathom.tables import load
 
 
@@ -24,6 +24,19 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_texts(chunks, "chunk_id", _splittable(), keep=["section_heading"])
 
 
+PERSONAL = ["participant_name", "information_need", "general_comment"]
+#: The key of the pseudonyms is a parameter; this one is for tests and examples.
+SECRET = b"for tests only"
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.find_items(load(spark, d, "submissions"), "id", PERSONAL).select("id", "field", "kind", "value").distinct()
+
+
+def p5_masked(spark: SparkSession, d: str) -> DataFrame:
+    return personal.mask_fields(load(spark, d, "submissions"), "id", PERSONAL, SECRET)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(load(spark, d, "documents"))
 
@@ -44,5 +57,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(load(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_masked, p6_ids, p6_round_trip, p7_containers, p7_fill)}
 ORACLE: dict[str, str] = {}
