@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, packing, personal, splitting
+from fathom.llm import bpe, packing, personal, scan_repair, splitting
 from fathom.tables import load
 
 
@@ -14,6 +14,14 @@ def _splittable() -> dict:
     return {"section_text": F.when(kind == "section_title", F.col("section_text")), "text": F.when(kind == "document", F.col("text"))}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.find_defects(load(spark, d, "chunk_metadata")).distinct()
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scan_repair.repair_chunks(load(spark, d, "chunk_metadata"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = load(spark, d, "chunk_metadata").where(F.col("chunk_type").isin("section_title", "document"))
     return splitting.unavoidable_cuts(splitting.split_texts(chunks, "chunk_id", _splittable(), with_text=False), "chunk_id").distinct()
@@ -57,5 +65,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(load(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_masked, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_pieces, p5_found, p5_masked, p6_ids, p6_round_trip, p7_containers, p7_fill)}
 ORACLE: dict[str, str] = {}
