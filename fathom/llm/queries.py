@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import bpe, packing, personal, scan_repair, splitting
+from fathom.llm import bpe, packing, personal, scan_repair, splitting, subjects
 from fathom.tables import load
 
 
@@ -65,5 +65,17 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack_documents(load(spark, d, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_pieces, p5_found, p5_masked, p6_ids, p6_round_trip, p7_containers, p7_fill)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents")
+    model = subjects.fit_model(docs, load(spark, d, "doc_labels"), load(spark, d, "subject_areas"))
+    return subjects.assign_documents(docs, model).distinct()
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    docs, areas = load(spark, d, "documents"), load(spark, d, "subject_areas")
+    model = subjects.fit_model(docs, load(spark, d, "doc_labels"), areas)
+    return subjects.composition(subjects.assign_documents(docs, model), docs, areas)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_repaired, p4_found, p4_pieces, p5_found, p5_masked, p6_ids, p6_round_trip, p7_containers, p7_fill, p8_found, p8_composition)}
 ORACLE: dict[str, str] = {}

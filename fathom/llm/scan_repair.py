@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -522,20 +523,21 @@ def build_lexicon(df: DataFrame, text: str) -> Lexicon:
     return Lexicon(part.get("w", {}), part.get("p", {}), headers, words)
 
 
-_LEXICONS: dict[int, Lexicon] = {}
+_LEXICONS: dict[str, Lexicon] = {}
 
 
 def _shared(df: DataFrame, text: str):
     """The lexicon's tables as a broadcast; a worker builds the index once."""
     lex = build_lexicon(df, text)
-    return df.sparkSession.sparkContext.broadcast((lex.words, lex.pairs, lex.headers, lex.total))
+    return df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, lex.words, lex.pairs, lex.headers, lex.total))
 
 
 def _get(shared) -> Lexicon:
-    if shared.id not in _LEXICONS:
+    key, *tables = shared.value
+    if key not in _LEXICONS:
         _LEXICONS.clear()
-        _LEXICONS[shared.id] = Lexicon(*shared.value)
-    return _LEXICONS[shared.id]
+        _LEXICONS[key] = Lexicon(*tables)
+    return _LEXICONS[key]
 
 
 @lru_cache(20_000)
