@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import packed_values, schema_drift
+from fathom.plans import text_queries
 from fathom.tables import load, small_rows
 
 FLAGSHIP = "p2_found"
@@ -48,5 +49,6 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.promote(schema_drift.ingest(load(spark, d, "evaluation_summary"), fields), fields, APPROVED)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_table)}
-ORACLE: dict[str, str] = {}
+_AREAS = (text_queries,)
+QUERIES = {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_table)} | {k: f for m in _AREAS for k, f in m.QUERIES.items()}
+ORACLE: dict[str, str] = {k: s for m in _AREAS for k, s in m.ORACLE.items()}
