@@ -26,7 +26,7 @@ def unpivot_sheet(sheet: DataFrame, gold: str, types: list[str]) -> DataFrame:
     the same query and document within a type count once.
     """
     long = sheet.unpivot([gold], types, "query_type", "query_id")
-    out = long.select("query_type", F.trim("query_id").alias("query_id"), t.plain_doc_id(F.col(gold)).alias("doc_id"), F.lit(1).alias("relevance"))
+    out = long.select("query_type", t.squeeze(F.col("query_id")).alias("query_id"), t.plain_doc_id(F.col(gold)).alias("doc_id"), F.lit(1).alias("relevance"))
     return out.where((F.coalesce("query_id", F.lit("")) != "") & (F.col("doc_id") != "")).distinct()
 
 

@@ -19,7 +19,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _plain(v: object) -> object:
-    if v is None or v is pd.NaT:
+    if v is None or v is pd.NaT or v is pd.NA:
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else (int(v) if v == int(v) and abs(v) < 1e15 else round(v, 6))
