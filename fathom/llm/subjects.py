@@ -53,6 +53,8 @@ _JUNK = re.compile(
 )
 _ENGLISH = set("the and is are of to be in on for by with this that when must have has it then first not do if does after before".split())
 _SWEDISH = set("och att är som för av på om den det i till med en ett ska inte har när vid från eller sedan först efter före får hur".split())
+# Most texts have none of these and need no cleaning.
+_MAYBE_JUNK = re.compile(r"[<\[\t​-‏⁠﻿­☀-➿️\U0001f000-\U0001fbffͰ-῿぀-鿿가-힯]")
 _END = re.compile(r"[.!?…][\"'”»)\]]*(?=\s|$)")
 _LINE = re.compile(r"[\n\r\f]+")
 _TERM = re.compile(r"[^\W\d_]{2,}")
@@ -66,7 +68,7 @@ def plain(s: str) -> str:
         s = _MOJIBAKE.sub(_decode, s)
     if "<" in s:
         s = _PARAGRAPH.sub("\n", s)
-    if not s.isascii() or "<" in s or "\t" in s or "[" in s:
+    if _MAYBE_JUNK.search(s):
         s = _JUNK.sub("", s)
     if "&" in s:
         s = html.unescape(s)
@@ -122,12 +124,21 @@ class Model(NamedTuple):
     subjects: list[int]
 
 
-def language(sentence: str) -> str:
-    """Whether a sentence is English or, as most are, Swedish, by its commonest words."""
-    words = f" {sentence.strip()} ".split(" ")
+def language(words: list[str]) -> str:
+    """Whether a sentence's words are English or, as most are, Swedish, by the commonest among them."""
+    if _ENGLISH.isdisjoint(words):
+        return "sv"
+    if _SWEDISH.isdisjoint(words):
+        return "en"
     return "en" if sum(w in _ENGLISH for w in words) > sum(w in _SWEDISH for w in words) else "sv"
 
 
+def _words(texts: list[str | None]) -> list[list[tuple[str, list[str]]]]:
+    """The language and the words of each sentence of each text."""
+    find = _TERM.findall
+    return [[(language(w), w) for w in map(find, sentences(x))] for x in texts]
+
+
 def _sums(vectors: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The sum of the vectors of each run of terms; an empty run gives zeros."""
     out = np.zeros((len(ends) - 1, *vectors.shape[1:]), dtype=np.float64)
@@ -142,15 +153,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 1e-12, n, 1)
 
 
-def _codes(texts: list[list[str]], vocabulary: dict[str, int], tongue: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _codes(texts: list[list[tuple[str, list[str]]]], vocabulary: dict[str, int], tongue: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term numbers of all sentences of a language in one row, where each sentence ends, and the document of each."""
-    get = vocabulary.get
+    known = vocabulary.keys()
+    get = vocabulary.__getitem__
     flat: list[int] = []
     ends, of = [0], []
     for k, sents in enumerate(texts):
-        for x in sents:
-            if language(x) == tongue:
-                flat.extend([i for i in map(get, _TERM.findall(x)) if i is not None])
+        for spoken, words in sents:
+            if spoken == tongue:
+                if not known.isdisjoint(words):
+                    flat.extend([get(w) for w in words if w in vocabulary])
                 ends.append(len(flat))
                 of.append(k)
     return np.array(flat, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(of, dtype=np.int64)
@@ -179,14 +192,13 @@ def _information(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[set[int]], subjects: list[int], idf: dict[str, float] | None = None, dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Model:
     """A model from labelled texts; a text with no label is one about none of the subjects."""
-    cut = [sentences(x) for x in texts]
+    cut = _words(texts)
     return Model({t: _fit(cut, labels, subjects, idf, dimensions, rounds, t) for t in ("sv", "en")}, subjects)
 
 
-def _fit(sents: list[list[str]], labels: list[set[int]], subjects: list[int], idf: dict[str, float] | None, dimensions: int, rounds: int, tongue: str) -> Space:
-    sents = [[y for y in x if language(y) == tongue] for x in sents]
+def _fit(sents: list[list[tuple[str, list[str]]]], labels: list[set[int]], subjects: list[int], idf: dict[str, float] | None, dimensions: int, rounds: int, tongue: str) -> Space:
     at = {s: k for k, s in enumerate(subjects)}
-    df = Counter(w for x in sents for w in set(_TERM.findall(" ".join(x))))
+    df = Counter(w for x in sents for w in {w for spoken, words in x if spoken == tongue for w in words})
     words = sorted(w for w, n in df.items() if n > 1)
     vocabulary = {w: k for k, w in enumerate(words)}
     inverse = np.array([(idf or {}).get(w, np.log((1 + len(sents)) / (1 + df[w]))) for w in words]) if words else np.zeros(0)
@@ -250,7 +262,7 @@ def _fit(sents: list[list[str]], labels: list[set[int]], subjects: list[int], id
 
 def assign(texts: list[str | None], model: Model) -> list[list[int]]:
     """The subjects of each text, ascending; none for null, blank and empty texts."""
-    sents = [sentences(x) for x in texts]
+    sents = _words(texts)
     votes = np.zeros((len(texts), len(model.subjects)))
     later = []
     for tongue, space in model.spaces.items():
