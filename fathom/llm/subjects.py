@@ -37,10 +37,11 @@ from fathom.tables import small_rows
 MOST_LABELLED = 4_000
 DIMENSIONS = 20
 ROUNDS = 5
-#: What is taken off a term's information: so many times what chance gives, and this.
-CHANCE, LEAST_INFORMATION = 1.3, 0.25
+#: What is taken off a term's information: so many times what chance gives, and this. Information is 1 for a term
+#: that tells one of equally frequent subjects from the others.
+CHANCE, LEAST_INFORMATION = 1.3, 0.1
 #: Least weight of a sentence's terms, least cosine to its centroid, and how near another centroid must be to leave it open.
-LEAST_WEIGHT, LEAST_COSINE, NEAR = 0.4, 0.3, 0.12
+LEAST_WEIGHT, LEAST_COSINE, NEAR = 0.16, 0.3, 0.12
 #: A document with more sentences than this needs two for a subject.
 SHORT = 3
 
@@ -187,7 +188,8 @@ def _information(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
     n = counts.sum(1)
     p = counts / np.maximum(n, 1e-9)[:, None]
     divergence = np.where(p > 0, p * np.log(np.maximum(p, 1e-12) / prior), 0).sum(1)
-    return np.where(n > 0, np.maximum(0, divergence - CHANCE * (len(prior) - 1) / (2 * np.maximum(n, 1e-9)) - LEAST_INFORMATION), 0)
+    chance = (len(prior) - 1) / (2 * np.maximum(n, 1e-9))
+    return np.where(n > 0, np.maximum(0, (divergence - CHANCE * chance) / np.log(max(2, len(prior))) - LEAST_INFORMATION), 0)
 
 
 def fit(texts: list[str], labels: list[set[int]], subjects: list[int], idf: dict[str, float] | None = None, dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Model:
