@@ -46,7 +46,7 @@ def field_coverage(df: DataFrame, fields: list[str]) -> DataFrame:
 def multivalue_counts(df: DataFrame, fields: list[str], sign: str = ",") -> DataFrame:
     """field, value, n: values divided at a sign, trimmed, blanks dropped."""
     long = df.unpivot([], fields, "field", "packed").where(F.col("packed").isNotNull())
-    parts = F.filter(F.transform(F.split("packed", sign), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("packed", sign), lambda x: F.trim(x)), lambda x: x != "")
     return long.select("field", F.explode(parts).alias("value")).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

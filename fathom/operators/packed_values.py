@@ -198,17 +198,8 @@ def split_packed(df: DataFrame, terms: dict[str, list[str]], key: str, fields: l
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parse = {f: functools.lru_cache(20_000)(PackedGrammar(terms.get(f, [])).parse) for f in fields}
         for b in batches:
-            keys, names, places, values, errors = [], [], [], [], []
-            for f in fields:
-                one = parse[f]
-                for k, s in zip(b[key], b[f]):
-                    for n, v, e in one(s if isinstance(s, str) else None):
-                        keys.append(k)
-                        names.append(f)
-                        places.append(n)
-                        values.append(v)
-                        errors.append(e)
-            yield pd.DataFrame({key: pd.Series(keys, dtype=b[key].dtype if keys else object), "field": names, "position": pd.Series(places, dtype="int32"), "value": values, "error": errors})
+            rows = [(k, f, n, v, e) for f in fields for k, s in zip(b[key], b[f]) for n, v, e in parse[f](s if isinstance(s, str) else None)]
+            yield pd.DataFrame(rows, columns=schema.names)
 
     return df.select(key, *fields).mapInPandas(run, schema)
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import packed_values, schema_drift
-from fathom.plans import evaluation_queries, search_queries, text_queries
+from fathom.plans import analytics_queries, evaluation_queries, search_queries, text_queries
 from fathom.tables import load, small_rows
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "bm25_batch"
 #: The tables of established terms and of target fields are fixed; more rows than this are an error.
 MOST_TERMS = MOST_FIELDS = 10_000
 PACKED = ["tax_keyword", "valid_for_area", "subject_area"]
@@ -49,6 +49,6 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.promote(schema_drift.ingest(load(spark, d, "evaluation_summary"), fields), fields, APPROVED)
 
 
-_AREAS = (text_queries, search_queries, evaluation_queries)
+_AREAS = (text_queries, search_queries, evaluation_queries, analytics_queries)
 QUERIES = {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_table)} | {k: f for m in _AREAS for k, f in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: s for m in _AREAS for k, s in m.ORACLE.items()}
