@@ -25,6 +25,17 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_postings(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """term, key, tf, dl: the postings of some terms only, with the length of each text.
+
+    Other terms are left out before anything is counted or shuffled.
+    """
+    # In steps: beside a generator an expression is worked out for every row that comes out of it.
+    words = df.select(F.col(key), t.tokens(F.col(text)).alias("words")).select(key, "words", F.size("words").alias("dl"))
+    long = words.select(key, "dl", F.explode("words").alias("term"))
+    return long.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+
+
 def lengths(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, dl (int): the number of terms of each text that has any."""
     return df.select(key, F.size(t.tokens(F.col(text))).alias("dl")).where(F.col("dl") > 0)
@@ -50,18 +61,18 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def bm25(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, key, score, rank (int) of the best ``k`` texts of each query.
 
-    A query's term counts as often as it occurs in the query. Ties go by the first
+    ``post`` is that of ``term_postings``, for these terms or more, ``stats`` that of ``corpus_stats``. A query's term counts as often as it occurs in the query. Ties go by the first
     query term found, then by key. A query without known terms, and any query with
     k of 0 or less, has no rows. Only postings of query terms are joined; texts are
     ranked within each query after partial ranking (WindowGroupLimit).
     """
     # The query terms are those of the queries at hand; the join picks its own strategy by their size.
-    hits = post.join(terms, "term")
-    frequency = hits.select("term", key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(frequency, "term").join(dl, key).crossJoin(F.broadcast(corpus_stats(dl)))
+    frequency = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Statistics are one row.
+    scored = post.join(terms.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     sums = scored.groupBy(query_id, key).agg(F.round(F.sum(part), SCORE_PLACES).alias("score"), F.min("qpos").alias("qpos"))
@@ -69,10 +80,16 @@ def bm25(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str, query_id: s
     return sums.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, key, "score", "rank")
 
 
-def field_postings(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """field, term, key, tf: postings of several fields, words of any script, diacritics kept."""
-    words = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), t.unicode_tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f in fields])).alias("x"))
-    return words.select(key, F.col("x.field").alias("field"), F.explode("x.words").alias("term")).groupBy("field", "term", key).agg(F.count(F.lit(1)).alias("tf"))
+def field_postings(df: DataFrame, key: str, fields: list[str], terms: DataFrame | None = None) -> DataFrame:
+    """field, term, key, tf, dl: postings of several fields, words of any script, diacritics kept, of some terms only if given."""
+    lists = [t.unicode_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields]
+    made = df.select(F.col(key), F.array(*[F.struct(F.lit(f).alias("field"), x.alias("words")) for f, x in zip(fields, lists)]).alias("xs"))
+    counted = made.select(key, "xs", F.aggregate("xs", F.lit(0), lambda a, x: a + F.size(x["words"])).alias("dl"))
+    words = counted.select(key, "dl", F.explode("xs").alias("x"))
+    long = words.select(key, "dl", F.col("x.field").alias("field"), F.explode("x.words").alias("term"))
+    if terms is not None:
+        long = long.join(terms.select("term").distinct(), "term", "left_semi")
+    return long.groupBy("field", "term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def field_lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -80,7 +97,7 @@ def field_lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, sum((F.size(t.unicode_tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("dl"))
 
 
-def weighted_fields(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None) -> DataFrame:
     """query_id, key, score, rank: one score over weighted fields.
 
     A term's frequency is the weighted sum over fields; its rarity counts rows that
@@ -88,9 +105,10 @@ def weighted_fields(terms: DataFrame, post: DataFrame, dl: DataFrame, key: str,
     matter. The score is positive, the best first; ties go by key.
     """
     weight = F.create_map(*[F.lit(x) for f in (weights or FIELD_WEIGHTS).items() for x in f])
-    hits = post.join(terms.select(query_id, "term").distinct(), "term").groupBy(query_id, "term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"))
-    frequency = hits.select("term", key).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = hits.join(frequency, "term").join(dl, key).crossJoin(F.broadcast(corpus_stats(dl)))
+    merged = post.groupBy("term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"), F.first("dl").alias("dl"))
+    frequency = merged.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = terms.select(query_id, "term").distinct()
+    scored = merged.join(asked.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     rare = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     f = F.col("f")
     part = rare * f * (FIELD_K1 + 1) / (f + FIELD_K1 * (1 - FIELD_B + FIELD_B * F.col("dl") / F.col("avgdl")))

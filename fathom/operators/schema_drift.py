@@ -73,6 +73,7 @@ class Names:
 
     def __init__(self, fields: list[str]):
         self.fields = fields
+        self.seen: dict[str, bool] = {}
         self.known = {_key(f): f for f in fields}
         for f in fields:
             for a in ALIASES.get(f, []):
@@ -98,6 +99,15 @@ class Names:
                 seen.add(f)
         return out
 
+    def knows(self, name: str) -> bool:
+        """Whether a name is that of a field, or a known other one."""
+        got = self.seen.get(name)
+        if got is None:
+            if len(self.seen) > 50_000:
+                self.seen.clear()
+            got = self.seen[name] = bool(name) and _key(name) in self.known
+        return got
+
     def _short(self, name: str) -> str | None:
         """A field whose words the name's words shorten, one by one ("num_q_types", "evalAtCet")."""
         words = lambda x: [w.casefold() for w in re.findall(r"[^\W\d_]+?(?=[A-ZÅÄÖ]|[\W\d_]|$)|\d+", x)]
@@ -118,14 +128,15 @@ def is_header(line: str | None, names: Names, first: bool) -> tuple[str, list[st
     """(delimiter, names) of a header line: most cells are names of fields and no cell is a number or time."""
     if line is None or not line.strip(BLANKS):
         return None
-    best: tuple[int, str, list[str]] | None = None
+    best: tuple[int, int, str, list[str]] | None = None
     for d in DELIMITERS:
-        got = [bare(c) for c in cells(line, d)]
-        known = sum(f is not None for f in names.resolve(got))
-        if best is None or (known, len(got)) > (best[0], len(best[2])):
-            best = (known, d, got)
-    known, d, got = best
-    if any(WHOLE.fullmatch(c) or REAL.fullmatch(c) or STAMP.fullmatch(c) for c in got):
+        if d in line or d == DELIMITERS[0]:
+            got = [bare(c) for c in cells(line, d)]
+            known = sum(names.knows(c) for c in got)
+            if best is None or (known, len(got)) > best[:2]:
+                best = (known, len(got), d, got)
+    known, _, d, got = best
+    if any(c[:1] in "0123456789+-." and (WHOLE.fullmatch(c) or REAL.fullmatch(c) or STAMP.fullmatch(c)) for c in got):
         return None
     if known >= max(2, len(got) // 3) or (first and known >= 1):
         return d, got

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fathom.functions import text as t
 from fathom.operators import chunking, evaluation, index, judgements, schema_drift, sections
 from fathom.plans.text_queries import doc_id_sql, sq
-from fathom.tables import load
+from fathom.tables import load, spread
 
 SHEET_TYPES = ["tax_keyword", "comment", "process"]
 PREFERRED = ["view", "click", "purchase"]
@@ -141,7 +141,7 @@ def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     """The number of chunks that each setting of size, overlap and titles gives over all documents."""
     grid = evaluation.grid(spark, size=[250, 500, 800], overlap=[0, 25, 50], titles=[True, False])
-    docs = load(spark, d, "documents").select("doc_id", "text", "title")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "title"))
     sizes = [(s, o) for s in (250, 500, 800) for o in (0, 25, 50)]
     one = docs.select(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap"), F.size(chunking.chunk_column(F.col("text"), s, o)).alias("n")) for s, o in sizes]).alias("x"), (F.coalesce("title", F.lit("")) != "").cast("int").alias("titled"))
     made = one.select("titled", F.explode("x").alias("x")).groupBy("x.size", "x.overlap").agg(F.sum("x.n").alias("n"), F.sum("titled").alias("titled"))
@@ -157,9 +157,9 @@ def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compare(spark: SparkSession, d: str, units: DataFrame, label: str) -> DataFrame:
-    post, dl = index.postings(units, "unit", "text"), index.lengths(units, "unit", "text")
     q = load(spark, d, "submissions").where("id % 20 = 0").select(F.col("id").alias("query_id"), "query_text")
-    hits = index.bm25(index.query_terms(q, "query_id", "query_text"), post, dl, "unit", "query_id", 20)
+    terms = index.query_terms(q, "query_id", "query_text")
+    hits = index.bm25(terms, index.term_postings(units, "unit", "text", terms), index.corpus_stats(index.lengths(units, "unit", "text")), "unit", "query_id", 20)
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("score").alias("best")).withColumn("setting", F.lit(label))
 
 
@@ -173,7 +173,7 @@ def chunking_compare(spark: SparkSession, d: str) -> DataFrame:
 
 
 def segmentation_compare(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "title"))
     parts = []
     for strategy in ("whole", "cascade", "toc_or_whole"):
         s = sections.document_sections(docs, "doc_id", "text", "title", strategy)

@@ -12,23 +12,23 @@ from pyspark.sql import functions as F
 from fathom.functions import text as t
 from fathom.operators import fusion, index, vectors
 from fathom.plans.text_queries import TOKEN, corpus_fts
-from fathom.tables import load
+from fathom.tables import load, spread
 
 K = 10
 ONE_QUERY = "rutin för läkemedel och provtagning rutin"
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "chunk_metadata").select("chunk_id", "source_path", "chunk_type", "text")
+    return spread(load(spark, d, "chunk_metadata").select("chunk_id", "source_path", "chunk_type", "text"))
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "submissions").where("id % 20 = 0").select(F.col("id").alias("query_id"), "query_text")
 
 
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _bm25_of(spark: SparkSession, d: str, terms: DataFrame, k: int) -> DataFrame:
     c = _chunks(spark, d)
-    return index.postings(c, "chunk_id", "text"), index.lengths(c, "chunk_id", "text")
+    return index.bm25(terms, index.term_postings(c, "chunk_id", "text", terms), index.corpus_stats(index.lengths(c, "chunk_id", "text")), "chunk_id", "query_id", k)
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
@@ -45,14 +45,12 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    post, dl = _index(spark, d)
     q = spark.createDataFrame([(1, ONE_QUERY)], "query_id long, query_text string")
-    return index.bm25(index.query_terms(q, "query_id", "query_text"), post, dl, "chunk_id", "query_id", K).select("chunk_id", "score", "rank")
+    return _bm25_of(spark, d, index.query_terms(q, "query_id", "query_text"), K).select("chunk_id", "score", "rank")
 
 
 def _bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    post, dl = _index(spark, d)
-    return index.bm25(index.query_terms(_queries(spark, d), "query_id", "query_text"), post, dl, "chunk_id", "query_id", k)
+    return _bm25_of(spark, d, index.query_terms(_queries(spark, d), "query_id", "query_text"), k)
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +62,8 @@ FIELDS = ["title_text", "body_text", "metadata_text"]
 
 def _weighted(spark: SparkSession, d: str, k: int = K) -> DataFrame:
     c = corpus_fts(spark, d)
-    post, dl = index.field_postings(c, "chunk_id", FIELDS), index.field_lengths(c, "chunk_id", FIELDS)
-    return index.weighted_fields(index.query_terms(_queries(spark, d), "query_id", "query_text"), post, dl, "chunk_id", "query_id", k)
+    terms = index.query_terms(_queries(spark, d), "query_id", "query_text")
+    return index.weighted_fields(terms, index.field_postings(c, "chunk_id", FIELDS, terms), index.corpus_stats(index.field_lengths(c, "chunk_id", FIELDS)), "chunk_id", "query_id", k)
 
 
 def fts_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -175,12 +173,11 @@ def search_all_methods(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Rankings for the search text and for the stated need of each form, one bucket each."""
-    post, dl = _index(spark, d)
     forms = load(spark, d, "submissions").where("id % 20 = 0")
     parts = []
     for bucket in ("query_text", "information_need"):
         q = forms.where(F.trim(bucket) != "").select(F.col("id").alias("query_id"), F.col(bucket).alias("q"))
-        parts.append(index.bm25(index.query_terms(q, "query_id", "q"), post, dl, "chunk_id", "query_id", K).withColumn("bucket", F.lit(bucket)))
+        parts.append(_bm25_of(spark, d, index.query_terms(q, "query_id", "q"), K).withColumn("bucket", F.lit(bucket)))
     return parts[0].unionByName(parts[1])
 
 

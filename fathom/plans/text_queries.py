@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.operators import chunking, index, lines, sections
-from fathom.tables import load
+from fathom.tables import load, spread
 
 WS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{1c}-\x{1f}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -48,7 +48,7 @@ def doc_id_sql(x: str) -> str:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents")
+    return spread(load(spark, d, "documents"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:

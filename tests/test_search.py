@@ -14,7 +14,8 @@ def frame(spark, texts):
 def bm25(spark, texts, queries, k=10):
     c = frame(spark, texts)
     q = spark.createDataFrame(queries, "query_id long, q string")
-    got = index.bm25(index.query_terms(q, "query_id", "q"), index.postings(c, "chunk_id", "text"), index.lengths(c, "chunk_id", "text"), "chunk_id", "query_id", k)
+    terms = index.query_terms(q, "query_id", "q")
+    got = index.bm25(terms, index.term_postings(c, "chunk_id", "text", terms), index.corpus_stats(index.lengths(c, "chunk_id", "text")), "chunk_id", "query_id", k)
     return [(r.query_id, r.chunk_id, r.score) for r in got.orderBy("query_id", "rank").collect()]
 
 
@@ -44,7 +45,7 @@ def test_weighted_fields_equal_sqlite(spark):
     for q in ("läkemedel", "skåpet annat", "café", "pdf rutin"):
         want = {i: round(-s, 6) for i, s in con.execute("select rowid, bm25(t, 5.0, 1.0, 0.5) from t where t match ?", (" OR ".join(f'"{w}"' for w in q.split()),))}
         terms = spark.createDataFrame([(1, w, 1, n) for n, w in enumerate(q.split())], "query_id int, term string, qtf int, qpos int")
-        got = index.weighted_fields(terms, index.field_postings(df, "id", fields), index.field_lengths(df, "id", fields), "id", "query_id", 10)
+        got = index.weighted_fields(terms, index.field_postings(df, "id", fields), index.corpus_stats(index.field_lengths(df, "id", fields)), "id", "query_id", 10)
         assert {r.id: r.score for r in got.collect()} == pytest.approx(want, abs=2e-6)
 
 
