@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import bpe, packing, personal, scan_repair, splitting, subjects
-from fathom.tables import load
+from fathom.tables import load, spread
+
+
+def _rows(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A table whose rows are worked on one by one at some cost."""
+    return spread(load(spark, d, name))
 
 
 def _splittable() -> dict:
@@ -15,20 +20,20 @@ def _splittable() -> dict:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return scan_repair.find_defects(load(spark, d, "chunk_metadata")).distinct()
+    return scan_repair.find_defects(_rows(spark, d, "chunk_metadata")).distinct()
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
-    return scan_repair.repair_chunks(load(spark, d, "chunk_metadata"))
+    return scan_repair.repair_chunks(_rows(spark, d, "chunk_metadata"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    chunks = load(spark, d, "chunk_metadata").where(F.col("chunk_type").isin("section_title", "document"))
+    chunks = _rows(spark, d, "chunk_metadata").where(F.col("chunk_type").isin("section_title", "document"))
     return splitting.unavoidable_cuts(splitting.split_texts(chunks, "chunk_id", _splittable(), with_text=False), "chunk_id").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    chunks = load(spark, d, "chunk_metadata").where(F.col("chunk_type").isin("section_title", "document"))
+    chunks = _rows(spark, d, "chunk_metadata").where(F.col("chunk_type").isin("section_title", "document"))
     return splitting.split_texts(chunks, "chunk_id", _splittable(), keep=["section_heading"])
 
 
@@ -38,41 +43,41 @@ SECRET = b"for tests only"
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal.find_items(load(spark, d, "submissions"), "id", PERSONAL).select("id", "field", "kind", "value").distinct()
+    return personal.find_items(_rows(spark, d, "submissions"), "id", PERSONAL).select("id", "field", "kind", "value").distinct()
 
 
 def p5_masked(spark: SparkSession, d: str) -> DataFrame:
-    return personal.mask_fields(load(spark, d, "submissions"), "id", PERSONAL, SECRET)
+    return personal.mask_fields(_rows(spark, d, "submissions"), "id", PERSONAL, SECRET)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_documents(load(spark, d, "documents"))
+    return bpe.encode_documents(_rows(spark, d, "documents"))
 
 
 def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Rows per outcome of decoding what was encoded: all should be 'same', or 'empty' for null and empty texts."""
-    docs = load(spark, d, "documents").select("doc_id", "text")
+    docs = _rows(spark, d, "documents").select("doc_id", "text")
     back = bpe.decode_documents(bpe.encode_documents(docs)).withColumnRenamed("text", "decoded")
     outcome = F.when(F.coalesce("text", F.lit("")) == "", "empty").when(F.col("text") == F.col("decoded"), "same").otherwise("different")
     return docs.join(back, "doc_id").groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def p7_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(load(spark, d, "documents"))
+    return packing.pack_documents(_rows(spark, d, "documents"))
 
 
 def p7_fill(spark: SparkSession, d: str) -> DataFrame:
-    return packing.fill_report(packing.pack_documents(load(spark, d, "documents")))
+    return packing.fill_report(packing.pack_documents(_rows(spark, d, "documents")))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents")
+    docs = _rows(spark, d, "documents")
     model = subjects.fit_model(docs, load(spark, d, "doc_labels"), load(spark, d, "subject_areas"))
     return subjects.assign_documents(docs, model).distinct()
 
 
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
-    docs, areas = load(spark, d, "documents"), load(spark, d, "subject_areas")
+    docs, areas = _rows(spark, d, "documents"), load(spark, d, "subject_areas")
     model = subjects.fit_model(docs, load(spark, d, "doc_labels"), areas)
     return subjects.composition(subjects.assign_documents(docs, model), docs, areas)
 
