@@ -32,7 +32,8 @@ def term_postings(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataF
     """
     # In steps: beside a generator an expression is worked out for every row that comes out of it.
     words = df.select(F.col(key), t.tokens(F.col(text)).alias("words")).select(key, "words", F.size("words").alias("dl"))
-    long = words.select(key, "dl", F.explode("words").alias("term"))
+    # The outer form keeps the words from being found once more to see whether there are any.
+    long = words.select(key, "dl", F.explode_outer("words").alias("term"))
     return long.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -70,7 +71,8 @@ def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id
     ranked within each query after partial ranking (WindowGroupLimit).
     """
     # The query terms are those of the queries at hand; the join picks its own strategy by their size.
-    frequency = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # All columns are read, so that this is the same exchange as that of the postings and is used twice.
+    frequency = post.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
     # Statistics are one row.
     scored = post.join(terms.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
@@ -85,8 +87,8 @@ def field_postings(df: DataFrame, key: str, fields: list[str], terms: DataFrame
     lists = [t.unicode_tokens(F.coalesce(F.col(f), F.lit(""))) for f in fields]
     made = df.select(F.col(key), F.array(*[F.struct(F.lit(f).alias("field"), x.alias("words")) for f, x in zip(fields, lists)]).alias("xs"))
     counted = made.select(key, "xs", F.aggregate("xs", F.lit(0), lambda a, x: a + F.size(x["words"])).alias("dl"))
-    words = counted.select(key, "dl", F.explode("xs").alias("x"))
-    long = words.select(key, "dl", F.col("x.field").alias("field"), F.explode("x.words").alias("term"))
+    words = counted.select(key, "dl", F.explode_outer("xs").alias("x"))
+    long = words.select(key, "dl", F.col("x.field").alias("field"), F.explode_outer("x.words").alias("term")).where(F.col("term").isNotNull())
     if terms is not None:
         long = long.join(terms.select("term").distinct(), "term", "left_semi")
     return long.groupBy("field", "term", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
@@ -106,7 +108,7 @@ def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: st
     """
     weight = F.create_map(*[F.lit(x) for f in (weights or FIELD_WEIGHTS).items() for x in f])
     merged = post.groupBy("term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"), F.first("dl").alias("dl"))
-    frequency = merged.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = merged.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df"))
     asked = terms.select(query_id, "term").distinct()
     scored = merged.join(asked.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     rare = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
