@@ -46,6 +46,8 @@ ENDINGS = (
 ).split()
 # Only these can be told from common words when the name is not written with a capital or stands alone.
 RARE_ENDINGS = tuple("qvire bottna sundhe feltz skoghe tofthe mårdhs gärdhin hjelmar lyckan rydhe vretén vreten sson sdotter qvist".split())
+# Common words with such an ending.
+NO_FAMILY = {"olyckan", "lyckan", "brorsdotter", "sonsdotter", "dotterdotter"}
 ANNOUNCE = (
     "fråga fragade frågade syster broder dr doktor doc heter hälsningar hälsning mvh vänligen kram med av by from till hos "
     "ask nurse doctor mr mrs ms sister called name is av: från hej hi dear undertecknad kontakta ring prof överläkare läkare sjuksköterska kollegan kollega"
@@ -148,7 +150,7 @@ def _is_given(w: str) -> bool:
 def _is_family(w: str, rare: bool = False) -> bool:
     ends = RARE_ENDINGS if rare else tuple(ENDINGS)
     parts = _bare(w).split("-")
-    return all(len(p) > 4 and p.endswith(ends) for p in parts)
+    return all(len(p) > 4 and p.endswith(ends) and p not in NO_FAMILY for p in parts)
 
 
 def _capital(w: str) -> bool:

@@ -39,7 +39,7 @@ DIMENSIONS = 20
 ROUNDS = 5
 #: What is taken off a term's information: so many times what chance gives, and this. Information is 1 for a term
 #: that tells one of equally frequent subjects from the others.
-CHANCE, LEAST_INFORMATION = 1.3, 0.1
+CHANCE, LEAST_INFORMATION = 0.7, 0.1
 #: Least weight of a sentence's terms, least cosine to its centroid, and how near another centroid must be to leave it open.
 LEAST_WEIGHT, LEAST_COSINE, NEAR = 0.16, 0.3, 0.12
 #: A document with more sentences than this needs two for a subject.

@@ -36,6 +36,7 @@ def kinds(s, field=""):
         ("Fråga Tove i receptionen", [("name", "Tove")]),
         ("Björn i loggan förvirrar. Förra maj. Parkinsons sjukdom. Apgar.", []),
         ("av JAN-OLOF MOSSEVRETÉN-GLIMBOTTNA.", [("name", "JAN-OLOF MOSSEVRETÉN-GLIMBOTTNA")]),
+        ("Efter olyckan ringde Lyckan.", []),
         ("", []),
         (None, []),
         ("  ", []),
