@@ -306,13 +306,13 @@ class Line(NamedTuple):
     kind: str  # '', 'blank', 'heading', 'header', 'page_number'
 
 
-def read_lines(s: str, title: str | None, heading: str | None, first: bool, lex: Lexicon) -> list[Line]:
-    """The lines of a text and what each is. ``first``: the text may open with its heading or title."""
+def read_lines(s: str, title: str | None, heading: str | None, whole: bool, lex: Lexicon) -> list[Line]:
+    """The lines of a text and what each is. A text may open with its heading, a whole document also with its title."""
     raw = [(m.start(), m.end(), m.group().strip()) for m in _LINES.finditer(s) if m.group()]
     full = [k for k, x in enumerate(raw) if x[2]]
     kinds = ["blank" if not x[2] else "" for x in raw]
     place = {k: n for n, k in enumerate(full)}
-    opening = {squeeze(x).casefold() for x in (title, heading) if x}
+    opening = {squeeze(x).casefold() for x in (title if whole else None, heading) if x}
     for k in full:
         x = raw[k][2]
         if len(x) > 130:
@@ -320,7 +320,7 @@ def read_lines(s: str, title: str | None, heading: str | None, first: bool, lex:
         n = place[k]
         prior = raw[full[n - 1]][2] if n else ""
         later = raw[full[n + 1]][2] if n + 1 < len(full) else ""
-        if first and n == 0 and squeeze(x).casefold() in opening and (k + 1 >= len(raw) or not raw[k + 1][2]):
+        if n == 0 and squeeze(x).casefold() in opening and (k + 1 >= len(raw) or not raw[k + 1][2]):
             kinds[k] = "heading"
         elif len(x) <= 24 and _page(x):
             kinds[k] = "page_number"
@@ -368,7 +368,7 @@ def join_word(left: str, right: str, lex: Lexicon) -> str | None:
     return joined
 
 
-def repair(s: str | None, title: str | None, heading: str | None, first: bool, lex: Lexicon, rebuild: bool = False) -> tuple[list[Defect], str | None]:
+def repair(s: str | None, title: str | None, heading: str | None, whole: bool, lex: Lexicon, rebuild: bool = False) -> tuple[list[Defect], str | None]:
     """The defects of a text and, if asked for, the text in continuous paragraphs.
 
     A text without defects and without hard line ends comes back as it is; so do
@@ -378,7 +378,7 @@ def repair(s: str | None, title: str | None, heading: str | None, first: bool, l
         return [], s
     if not rebuild and "\n" not in s.strip() and "\f" not in s and all(w in lex.common or w.isdigit() for w in _TOKEN.findall(s)):
         return [], None
-    lines = read_lines(s, title, heading, first, lex)
+    lines = read_lines(s, title, heading, whole, lex)
     found = [Defect(x.kind, squeeze(x.text)) for x in lines if x.kind in ("header", "page_number")]
     body = [k for k, x in enumerate(lines) if x.kind == ""]
     skip_first: set[int] = set()  # lines whose first word belongs to the line before
@@ -571,15 +571,15 @@ def find_defects(chunks: DataFrame, fields: tuple[str, ...] = ("text", "preview_
         lex = _get(shared)
         for b in batches:
             rows = []
-            for i, meta, head, *texts in zip(b.chunk_id, b.metadata_json, b.section_heading, *(b[f] for f in fields)):
+            for i, kind, meta, head, *texts in zip(b.chunk_id, b.chunk_type, b.metadata_json, b.section_heading, *(b[f] for f in fields)):
                 title = _title(_text(meta))
                 for f, s in zip(fields, texts):
-                    for d in repair(_text(s), title, _text(head), True, lex)[0]:
+                    for d in repair(_text(s), title, _text(head), kind == "document", lex)[0]:
                         rows.append((i, f, d.kind, d.repaired))
             yield pd.DataFrame(rows, columns=["chunk_id", "field", "kind", "repaired"])
 
     schema = T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), *(T.StructField(c, T.StringType()) for c in ("field", "kind", "repaired"))])
-    return running.select("chunk_id", "metadata_json", "section_heading", *fields).mapInPandas(run, schema)
+    return running.select("chunk_id", "chunk_type", "metadata_json", "section_heading", *fields).mapInPandas(run, schema)
 
 
 def repair_chunks(chunks: DataFrame, fields: tuple[str, ...] = ("text", "preview_text")) -> DataFrame:
@@ -593,7 +593,7 @@ def repair_chunks(chunks: DataFrame, fields: tuple[str, ...] = ("text", "preview
             for kind, meta, head, *texts in zip(b.chunk_type, b.metadata_json, b.section_heading, *(b[f] for f in fields)):
                 for f, s in zip(fields, texts):
                     s = _text(s)
-                    out[f].append(repair(s, _title(_text(meta)), _text(head), True, lex, True)[1] if kind in RUNNING else s)
+                    out[f].append(repair(s, _title(_text(meta)), _text(head), kind == "document", lex, True)[1] if kind in RUNNING else s)
             yield pd.DataFrame({"chunk_id": b.chunk_id, **out})
 
     schema = T.StructType([T.StructField("chunk_id", chunks.schema["chunk_id"].dataType), *(T.StructField(f, T.StringType()) for f in fields)])
