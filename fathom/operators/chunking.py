@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import text as t
+from fathom.functions.numbering import dense_number
 
 #: Named settings: size and overlap of chunks, whether titles are chunks, the prefix of passages.
 PROFILES = {"bm25": (500, 50, True, ""), "swedish_bert": (250, 50, True, ""), "e5_large_instruct": (500, 25, True, "passage: ")}
@@ -94,20 +95,8 @@ def corpus(docs: DataFrame, sections: DataFrame, key: str, size: int | None = 50
 
 
 def with_chunk_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """The chunks that have a token, with a dense chunk_id (long, from 0) in the order given.
-
-    Rows are numbered within ranges of the order: one sort by range, a count per
-    range, and no window over all rows in one task. The ranges are persisted, as
-    both the counts and the rows read them.
-    """
-    kept = chunks.where(F.size(t.tokens(F.col("text"))) > 0)
-    ranged = kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
-    # The window is over the counts of the ranges, a row each; F.monotonically_increasing_id counts within its partition.
-    low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(starts), "_part").withColumn("chunk_id", F.col("_before") + low).drop("_part", "_at", "_before")
+    """The chunks that have a token, with a dense chunk_id (long, from 0) in the order given."""
+    return dense_number(chunks.where(F.size(t.tokens(F.col("text"))) > 0), order, "chunk_id")
 
 
 def dense_ids(chunks: DataFrame, group: str, order: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
+from fathom.functions.numbering import dense_number
 
 PLACES = 6
 #: The weights of a weight sweep: the share of the first engine.
@@ -41,8 +42,9 @@ def clean_qrels(rows: DataFrame, keep_zero: bool = False, normalise: bool = Fals
 def numbered_queries(rows: DataFrame, text: str, order: str, prefix: str) -> DataFrame:
     """text, query_id: ids like query_01 by first appearance. The distinct queries are numbered, not the rows."""
     first = rows.groupBy(text).agg(F.min(order).alias("_first"))
-    n = F.row_number().over(Window.orderBy("_first", text))
-    return first.select(text, F.concat(F.lit(prefix), F.lpad(n.cast("string"), 2, "0")).alias("query_id"))
+    n = (F.col("_n") + 1).cast("string")
+    padded = F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)
+    return dense_number(first, ["_first", text], "_n").select(text, F.concat(F.lit(prefix), padded).alias("query_id"))
 
 
 def run_table(hits: DataFrame, query_id: str = "query_id", doc: str = "doc_id", score: str = "score") -> DataFrame:

@@ -281,7 +281,7 @@ ORACLE = {
     "sheet_unpivot": f"with a as (select title, unnest(['tax_keyword', 'comment', 'process']) query_type, unnest([tax_keyword, comment, process]) q from metadata) select distinct query_type, {sq('q')} as query_id, {doc_id_sql('title')} as doc_id, 1 as relevance from a where {sq("coalesce(q, '')")} <> '' and {doc_id_sql('title')} <> ''",
     "load_qrels": f"with {JUDGED} select query_type, count(distinct query_id) as n_queries, count(*) as n_rows, min(query_id) as first_seen from qrels group by 1",
     "clean_qrels": f"with {FORMS} select distinct query_id as query, information_need, doc as doc_id, 1 as relevance from res where query_id <> '' and information_need <> '' and doc <> ''",
-    "qrels_variants": f"with {FORMS}, a as (select query_text t, min(id) f from forms where trim(query_text) <> '' group by 1), b as (select information_need t, min(id) f from forms where trim(information_need) <> '' group by 1) select t as text, 'query_' || (case when row_number() over (order by f, t) < 100 then right('0' || row_number() over (order by f, t), 2) else left((row_number() over (order by f, t))::varchar, 2) end) as query_id from a union all select t, 'info_need_' || (case when row_number() over (order by f, t) < 100 then right('0' || row_number() over (order by f, t), 2) else left((row_number() over (order by f, t))::varchar, 2) end) from b",
+    "qrels_variants": f"with {FORMS}, a as (select query_text t, min(id) f from forms where trim(query_text) <> '' group by 1), b as (select information_need t, min(id) f from forms where trim(information_need) <> '' group by 1) select t as text, 'query_' || (case when row_number() over (order by f, t) < 10 then '0' else '' end) || row_number() over (order by f, t) as query_id from a union all select t, 'info_need_' || (case when row_number() over (order by f, t) < 10 then '0' else '' end) || row_number() over (order by f, t) from b",
     "run_table": f"with {JUDGED} select query_id, doc_id, round(score, 6) as score from run",
     "rr_at_k": f"with {JUDGED}, {metrics_sql('run')} select query_id, round(rr, 6) as rr from sc",
     "ndcg_at_k": f"with {JUDGED}, {metrics_sql('run')} select query_id, round(ndcg, 6) as ndcg from sc",
