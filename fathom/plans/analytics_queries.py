@@ -205,7 +205,7 @@ ORACLE = {
     "approved_counts": "select regexp_extract(substr(text, 1, 500), 'Godkänt den:\\s*([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) as approved, count(*) as n from documents where regexp_matches(substr(text, 1, 500), 'Godkänt den:\\s*[0-9]{4}-[0-9]{2}-[0-9]{2}') group by 1",
     "metadata_export": "with c as (select regexp_extract(source_path, '([^/]*)\\.json$', 1) stem, min(json_extract_string(metadata_json, '$.title')) parsed_title, count(*) n_chunks from chunk_metadata group by 1) select stem, record_id, " + ", ".join(f"{sq(f"coalesce({f}, '')")} as {f}" for f in FIELDS) + ", page_count, parsed_title, n_chunks from metadata left join c using (stem)",
     "latest_metadata": "select stem, record_id from metadata qualify row_number() over (partition by stem order by downloaded_at desc nulls last, record_id desc) = 1",
-    "age_histogram": f"with a as (select (date '{AS_OF}' - {_DATE}) / 365.25::double y from metadata), b as (select * from a where y >= 0), m as (select greatest(0, ceil(max(y) / 0.5)::int - 1) l from b), p as (select least(floor(y / 0.5)::int, l) k, count(*) n from b, m group by 1) select round(g.k * 0.5, 6) as low, coalesce(n, 0) as n from (select unnest(range(l + 1)) k from m) g left join p on p.k = g.k",
+    "age_histogram": f"with a as (select (date '{AS_OF}' - {_DATE}) / 365.25::double y from metadata), b as (select * from a where y >= 0), m as (select greatest(0, ceil(max(y) / 0.5)::int - 1) l from b), p as (select least(floor(y / 0.5)::int, l) k, count(*) n from b, m group by 1) select round(g.k * 0.5::double, 6) as low, coalesce(n, 0) as n from (select unnest(range(l + 1)) k from m) g left join p on p.k = g.k",
     "equal_width_hist": "with e as (select min(n_chars)::double lo, max(n_chars)::double hi from documents) select least(floor((n_chars - lo) / (hi - lo) * 20)::int + 1, 20) as bin, count(*) as n from documents, e where n_chars is not null group by 1",
     "zero_filled_counts": "select g.v as value, count(page_count) as n from (select unnest(range(31)) v) g left join metadata on page_count = g.v group by 1 union all select null, count(*) from metadata where page_count > 30",
     "windowed_events": "select event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as n, round(sum(value), 6) as total from events group by 1, 2",
