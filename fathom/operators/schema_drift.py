@@ -205,7 +205,7 @@ def lay_out(line: str | None, line_no: int, known: list[dict]) -> tuple[dict, li
     return before[-1], last
 
 
-def ingest(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+def ingest(lines: DataFrame, fields: list[tuple[str, str]], strict: bool = False) -> DataFrame:
     """The data rows in the target schema: file_id, line_no, header_line, one typed column per field,
     ``rescued`` and ``states``.
 
@@ -214,7 +214,8 @@ def ingest(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     says of each column of the header whether the value is empty (0), has the
     field's form (1), or not (2); 4 and 8 are added for a whole number and for
     JSON.  Blank lines and header lines have no row; a row before any header has
-    none either.  Null lines count as blank.  Values are trimmed.
+    none either.  Null lines count as blank.  Values are trimmed.  With ``strict``
+    a row whose width is that of no header before it is an error.
     """
     names = [f for f, _ in fields]
     kinds = dict(fields)
@@ -238,6 +239,8 @@ def ingest(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
                 if got is None:
                     continue
                 head, values = got
+                if strict and len(values) != len(head["columns"]):
+                    raise ValueError(f"file {i}, line {n}: {len(values)} cells under a header of {len(head['columns'])}")
                 row: dict[str, str] = {}
                 unknown, uncast, states = {}, {}, []
                 for c, f, v in zip(head["columns"], head["fields"], values):
