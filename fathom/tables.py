@@ -25,12 +25,3 @@ def small_rows(df: DataFrame, most: int, what: str) -> list:
     if len(rows) > most:
         raise ValueError(f"{what} has more than {most} rows; it is meant to be a small fixed table")
     return rows
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's own if it names one, else a local one for tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = "file:///tmp/fathom-checkpoints"
-    spark.sparkContext.setCheckpointDir(known)
-    return known
