@@ -66,6 +66,20 @@ def chunk_text(df: DataFrame, key: str, text: str, size: int = 500, overlap: int
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def chunk_counts(df: DataFrame, text: str, settings: list[tuple[int, int]]) -> DataFrame:
+    """size, overlap, n (long): how many chunks each setting makes of all texts. Counted in each task; no chunk leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [0] * len(settings)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                for k, (size, overlap) in enumerate(settings):
+                    n[k] += len(chunk_words(x, size, overlap))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in settings], pa.int64()), pa.array([o for _, o in settings], pa.int64()), pa.array(n, pa.int64())], names=["size", "overlap", "n"])
+
+    return df.select(text).mapInArrow(run, "size long, overlap long, n long").groupBy("size", "overlap").agg(F.sum("n").alias("n"))
+
+
 def corpus(docs: DataFrame, sections: DataFrame, key: str, size: int | None = 500, overlap: int = 50, titles: bool = True) -> DataFrame:
     """key, section_index, unit (0 title, 1 heading, 2 body), chunk_index, chunk_type, text, preview_text.
 

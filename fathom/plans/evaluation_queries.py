@@ -141,11 +141,11 @@ def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     """The number of chunks that each setting of size, overlap and titles gives over all documents."""
     grid = evaluation.grid(spark, size=[250, 500, 800], overlap=[0, 25, 50], titles=[True, False])
-    docs = spread(load(spark, d, "documents").select("doc_id", "text", "title"))
-    sizes = [(s, o) for s in (250, 500, 800) for o in (0, 25, 50)]
-    one = docs.select(F.array(*[F.struct(F.lit(s).alias("size"), F.lit(o).alias("overlap"), F.size(chunking.chunk_column(F.col("text"), s, o)).alias("n")) for s, o in sizes]).alias("x"), (F.coalesce("title", F.lit("")) != "").cast("int").alias("titled"))
-    made = one.select("titled", F.explode("x").alias("x")).groupBy("x.size", "x.overlap").agg(F.sum("x.n").alias("n"), F.sum("titled").alias("titled"))
-    return grid.join(made, ["size", "overlap"]).select("size", "overlap", "titles", (F.col("n") + F.when(F.col("titles"), F.col("titled")).otherwise(0)).alias("n_chunks"))
+    docs = spread(load(spark, d, "documents").select("text", "title"))
+    made = chunking.chunk_counts(docs, "text", [(s, o) for s in (250, 500, 800) for o in (0, 25, 50)])
+    titled = docs.agg(F.count_if(F.coalesce("title", F.lit("")) != "").alias("titled"))  # one row
+    both = grid.join(made, ["size", "overlap"]).crossJoin(F.broadcast(titled))
+    return both.select("size", "overlap", "titles", (F.col("n") + F.when(F.col("titles"), F.col("titled")).otherwise(0)).alias("n_chunks"))
 
 
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
