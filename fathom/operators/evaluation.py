@@ -57,8 +57,8 @@ def ranked(run: DataFrame, by: list[str]) -> DataFrame:
     return run.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")))
 
 
-def per_query(run: DataFrame, qrels: DataFrame, k: int = 20, k_ndcg: int = 10, k_recall: int = 10, by: list[str] | None = None) -> DataFrame:
-    """by, query_id, first_rank, rr, ndcg, recall of every query of the qrels (for each value of ``by`` in the run)."""
+def per_query(run: DataFrame, qrels: DataFrame, k: int = 20, k_ndcg: int = 10, k_recall: int = 10, by: list[str] | None = None, settings: DataFrame | None = None) -> DataFrame:
+    """by, query_id, first_rank, rr, ndcg, recall of every query of the qrels (for each value of ``by`` in ``settings``, else in the run)."""
     by = by or []
     keys = [*by, "query_id"]
     gold = qrels.groupBy("query_id", "doc_id").agg(F.max("relevance").alias("relevance")).where("relevance > 0")
@@ -66,7 +66,7 @@ def per_query(run: DataFrame, qrels: DataFrame, k: int = 20, k_ndcg: int = 10, k
     best = ideal.groupBy("query_id").agg(F.sum(F.when(F.col("_n") <= k_ndcg, F.col("relevance") / F.log2(F.col("_n") + 1))).alias("ideal"), F.count(F.lit(1)).alias("all"))
     queries = qrels.select("query_id").distinct()
     if by:
-        queries = queries.crossJoin(F.broadcast(run.select(*by).distinct()))  # methods or settings, a few
+        queries = queries.crossJoin(F.broadcast(run.select(*by).distinct() if settings is None else settings.select(*by)))  # methods or settings, a few
     found = ranked(run, keys).join(gold, ["query_id", "doc_id"])
     r = F.col("rank")
     got = found.groupBy(*keys).agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import packed_values, schema_drift
-from fathom.plans import analytics_queries, evaluation_queries, search_queries, text_queries
+from fathom.plans import analytics_queries, engine_queries, evaluation_queries, search_queries, text_queries
 from fathom.tables import load, small_rows
 
 FLAGSHIP = "bm25_batch"
@@ -49,7 +49,7 @@ def p3_table(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.promote(schema_drift.ingest(load(spark, d, "evaluation_summary"), fields), fields, APPROVED)
 
 
-_AREAS = (text_queries, search_queries, evaluation_queries, analytics_queries)
+_AREAS = (text_queries, search_queries, evaluation_queries, analytics_queries, engine_queries)
 QUERIES = {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_table)} | {k: f for m in _AREAS for k, f in m.QUERIES.items()}
 #: Columns that are int in the result and bigint in the SQL as it stands.
 _INTS = {
