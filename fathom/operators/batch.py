@@ -201,7 +201,9 @@ def lists(units: DataFrame, queries: DataFrame, k: int, views: list[tuple[int, i
         yield pd.DataFrame(out, columns=["view", "_q", "key", "doc", "score", "_first"])
 
     kind = units.schema["key"].dataType.simpleString()
-    near = units.select("part", "key", "doc", "title", *formula.fields).mapInPandas(run, f"view int, _q int, key {kind}, doc string, score double, _first int")
+    # Fewer tasks hand on fewer lists; neighbouring parts of a union stay together.
+    few = units.coalesce(2 * spark.sparkContext.defaultParallelism)
+    near = few.select("part", "key", "doc", "title", *formula.fields).mapInPandas(run, f"view int, _q int, key {kind}, doc string, score double, _first int")
     rank = F.row_number().over(Window.partitionBy("view", "_q").orderBy(F.desc("score"), "_first", "key"))
     top = near.withColumn("rank", rank).where(F.col("rank") <= k)
     who = spark.createDataFrame(pairs, f"query_id {queries.schema['query_id'].dataType.simpleString()}, _q int")

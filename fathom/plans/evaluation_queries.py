@@ -6,11 +6,13 @@ the qrels are the ratings given to them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
-from fathom.operators import chunking, evaluation, index, judgements, schema_drift, sections
+from fathom.operators import batch, chunking, evaluation, fusion, index, judgements, schema_drift, sections
 from fathom.plans.text_queries import doc_id_sql, sq
 from fathom.tables import load, spread
 
@@ -138,14 +140,49 @@ def quantile_bins(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.quantile_bins(s, "words", "ndcg")
 
 
+SIZES, OVERLAPS, SWEPT_K = [250, 500, 800], [0, 25, 50], 20
+
+
+def _units(docs: DataFrame, s: DataFrame, key: str, doc: DataFrame, size: int | None, overlap: int, part: int) -> DataFrame:
+    """The chunks of a setting as texts of ``batch.lists``; ``doc`` has key and doc."""
+    c = chunking.corpus(docs, s, key, size, overlap)
+    unit = F.concat_ws("#", key, "section_index", "unit", "chunk_index")
+    return c.join(doc, key, "left").select(F.lit(part).alias("part"), unit.alias("key"), "doc", (F.col("unit") == 0).alias("title"), "text")
+
+
+def _stored_units(spark: SparkSession, d: str, settings: list[tuple[int | None, int]]) -> DataFrame:
+    from fathom.plans.text_queries import _stored
+
+    docs, s = _stored(spark, d)
+    doc = docs.select("source_path", t.plain_doc_id(fusion.result_title(F.create_map(F.lit("title"), F.col("title")), F.col("source_path"))).alias("doc"))
+    return reduce(DataFrame.unionByName, [_units(docs, s, "source_path", doc, size, overlap, n) for n, (size, overlap) in enumerate(settings)])
+
+
+TEXTS = {"query": "query_text", "information_need": "information_need"}
+
+
+def _evaluated(spark: SparkSession, d: str, units: DataFrame, views: list[tuple[int, int, bool]], asked: list[str], k: int, k_rr: int, k_recall: int) -> tuple[DataFrame, dict[int, int]]:
+    """view, query_input and the metrics of its run, over the forms that are asked by each of their texts; and the number of chunks of each view."""
+    key = lambda n: F.col("id") * len(asked) + n
+    texts = F.explode(F.array(*[F.struct(key(n).alias("query_id"), F.col(TEXTS[x]).alias("query")) for n, x in enumerate(asked)]))
+    queries = load(spark, d, "submissions").where("id % 20 = 0").select(texts.alias("x")).select("x.*")
+    hits, size = batch.lists(units, queries, k, views)
+    run = evaluation.run_table(hits.withColumn("query_id", F.struct("view", "query_id")), doc="doc").select(F.col("query_id.view").alias("view"), F.col("query_id.query_id").alias("query_id"), "doc_id", "score")
+    gold = _qrels(spark, d).where("query_id % 20 = 0").withColumnRenamed("query_id", "id")
+    gold = gold.withColumn("query_id", F.explode(F.array(*map(key, range(len(asked))))))
+    every = spark.createDataFrame([(v,) for v, _, _ in views], "view int")
+    scores = evaluation.per_query(run, gold, k=k_rr, k_recall=k_recall, by=["view"], settings=every)
+    told = F.element_at(F.array(*map(F.lit, asked)), (F.col("query_id") % len(asked) + 1).cast("int"))
+    return evaluation.summary(scores.withColumn("query_input", told), ["view", "query_input"]), size
+
+
 def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The number of chunks that each setting of size, overlap and titles gives over all documents."""
-    grid = evaluation.grid(spark, size=[250, 500, 800], overlap=[0, 25, 50], titles=[True, False])
-    docs = spread(load(spark, d, "documents").select("text", "title"))
-    made = chunking.chunk_counts(docs, "text", [(s, o) for s in (250, 500, 800) for o in (0, 25, 50)])
-    titled = docs.agg(F.count_if(F.coalesce("title", F.lit("")) != "").alias("titled"))  # one row
-    both = grid.join(made, ["size", "overlap"]).crossJoin(F.broadcast(titled))
-    return both.select("size", "overlap", "titles", (F.col("n") + F.when(F.col("titles"), F.col("titled")).otherwise(0)).alias("n_chunks"))
+    """The metrics of bm25 over the stored sections chunked by each setting of size, overlap and titles, and how many chunks it has."""
+    points = [(n, s, o, titles) for n, (s, o) in enumerate((s, o) for s in SIZES for o in OVERLAPS) for titles in (True, False)]
+    views = [(v, n, titles) for v, (n, _, _, titles) in enumerate(points)]
+    got, size = _evaluated(spark, d, _stored_units(spark, d, [(s, o) for s in SIZES for o in OVERLAPS]), views, ["query"], SWEPT_K, 20, 10)
+    grid = spark.createDataFrame([(v, s, o, titles, size[v]) for v, (_, s, o, titles) in enumerate(points)], "view int, size long, overlap long, titles boolean, n_chunks long")
+    return F.broadcast(grid).join(got, "view", "left").drop("view", "query_input")
 
 
 def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
