@@ -1,3 +1,4 @@
+import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -23,3 +24,16 @@ def test_sweep_scores_every_setting(spark):
     run = evaluation.run_table(hits.join(c.select("key", "source_path"), "key").join(named, "source_path"))
     want = evaluation.summary(evaluation.per_query(run, e._qrels(spark, D).where("query_id % 20 = 0")), []).first()
     assert [got[500, 50, True][m] for m in METRICS] == [want[m] for m in METRICS] and got[500, 50, True].n_chunks == c.count()
+
+
+@pytest.mark.parametrize("query, settings", [(e.chunking_compare, {"chunked", "per_section"}), (e.segmentation_compare, {"whole", "cascade", "toc_or_whole"})])
+def test_settings_are_compared_by_metrics(spark, query, settings):
+    got = {(r.setting, r.query_input): r for r in query(spark, D).collect()}
+    assert set(got) == {(s, q) for s in settings for q in e.TEXTS}
+    assert all(0 <= r[m] for r in got.values() for m in METRICS) and len({r.n_queries for r in got.values()}) == 1
+
+
+def test_sections_are_chunked(spark):
+    """A document as one section makes more texts than its title, its heading and itself."""
+    n = e.load(spark, D, "documents").where("trim(text) <> ''").count()
+    assert {r.setting: r.n_chunks for r in e.segmentation_compare(spark, D).collect()}["whole"] > 3 * n
