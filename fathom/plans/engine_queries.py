@@ -126,5 +126,52 @@ def engine_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return vectors.mean_pool(e, "label", "embedding", "mask").select("label", "dim", F.round("value", 6).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (engine_grouped_metrics, engine_hit_matrix, engine_total_hits, engine_weight_sweep, engine_mean_pool)}
+TOP, FETCHED = 10, 100
+
+
+def engine_search_all_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The best documents of the four engines, and of both fusions of words and vectors."""
+    return _told(_runs(spark, d, fusion.METHODS, TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "rank", "method")
+
+
+def engine_pool_results(spark: SparkSession, d: str) -> DataFrame:
+    r = _runs(spark, d, fusion.METHODS, TOP).select("query_id", F.col("doc_id").alias("doc"), "method", "rank", F.upper("doc_id").alias("title"))
+    return _told(fusion.pool(r, "query_id", "doc"))
+
+
+def engine_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Words and vectors: both engines' best 3k chunks, each reduced to documents, then fused."""
+    return _told(_runs(spark, d, ["hybrid"], TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "score", "rank")
+
+
+def engine_rrf_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _told(_runs(spark, d, ["hybrid_e5"], TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "score", "rank")
+
+
+def engine_rrf_chunks(spark: SparkSession, d: str) -> DataFrame:
+    lists = _hits(spark, d, ["bm25", "dense_e5"], DEEP * TOP).withColumn("list_no", F.when(F.col("method") == "bm25", 1).otherwise(2))
+    fused = fusion.reciprocal_ranks(lists, ["key"], F.when(F.col("list_no") == 1, 0.7).otherwise(0.3), TOP, ["query_id"])
+    return _told(fused).select("query_id", "query_input", F.col("key").alias("chunk_id"), "score", "rank")
+
+
+def engine_eval_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of bm25, dense_e5 and hybrid_e5 for both texts of the forms: six buckets.
+
+    bm25 has its chunks as they are; dense_e5 has the best chunk of each document of
+    its best 100; hybrid_e5 fuses the best 3k of both, the dense side reduced so.
+    """
+    words = _words(spark, d, "bm25", DEEP * TOP)
+    dense = _dense(spark, d, "dense_e5", FETCHED)
+    one = lambda hits: fusion.best_per_document(hits, "doc", group=["query_id"]).drop("rank").withColumnRenamed("new_rank", "rank")
+    cols = ["query_id", "key", "score", "rank"]
+    both = words.select(cols).withColumn("list_no", F.lit(1)).unionByName(one(dense.where(F.col("rank") <= DEEP * TOP)).select(cols).withColumn("list_no", F.lit(2)))
+    parts = {"bm25": words, "dense_e5": one(dense), "hybrid_e5": fusion.reciprocal_ranks(both, ["key"], F.lit(1.0), TOP, ["query_id"])}
+    out = None
+    for m, hits in parts.items():
+        x = hits.where(F.col("rank") <= TOP).select(cols).withColumn("method", F.lit(m))
+        out = x if out is None else out.unionByName(x)
+    return _told(out).select("query_id", "query_input", "method", F.col("key").alias("chunk_id"), "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (engine_grouped_metrics, engine_hit_matrix, engine_total_hits, engine_weight_sweep, engine_mean_pool, engine_search_all_methods, engine_pool_results, engine_hybrid_topk, engine_rrf_documents, engine_rrf_chunks, engine_eval_buckets)}
 ORACLE: dict[str, str] = {}

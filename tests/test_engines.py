@@ -45,3 +45,12 @@ def test_every_method_has_its_metrics(spark):
     assert set(got) == {(m, i) for m in fusion.METHODS for i in engine_queries.INPUTS} and len({r.n_queries for r in got.values()}) == 1
     assert max(r.rr for r in got.values()) > 0
     assert engine_queries.engine_weight_sweep(spark, D).count() == 22
+
+
+def test_dense_lists_and_all_buckets(spark):
+    got = engine_queries.engine_eval_buckets(spark, SMALL).groupBy("method", "query_input").agg(F.max("rank").alias("n")).collect()
+    assert {(r.method, r.query_input) for r in got} == {(m, i) for m in ("bm25", "dense_e5", "hybrid_e5") for i in engine_queries.INPUTS} and max(r.n for r in got) == 10
+    assert {r.method for r in engine_queries.engine_search_all_methods(spark, SMALL).select("method").distinct().collect()} == set(fusion.METHODS)
+    near = {(r.query_id, r.key) for r in engine_queries._dense(spark, SMALL, "dense_e5", 10).collect()}
+    fused = {(2 * r.query_id + (r.query_input != "query"), r.chunk_id) for r in engine_queries.engine_rrf_chunks(spark, SMALL).collect()}
+    assert near & fused
