@@ -293,11 +293,17 @@ def readable(c: Column, kind: str) -> Column:
 
 def promote(rows: DataFrame, fields: list[tuple[str, str]], approved: list[tuple[str, str]]) -> DataFrame:
     """Replays ``rescued``: approved unknown columns become typed columns, uncast values that can be
-    read leniently fill their fields; what stays behind stays in ``rescued``."""
+    read leniently fill their fields; what stays behind stays in ``rescued``. A column whose name
+    is taken, in whatever case, gets a number behind it."""
     inner = F.from_json("rescued", "unknown map<string,string>, uncast map<string,string>, extra array<string>")
     out = rows.withColumn("_r", inner)
     late = [F.coalesce(F.col(f"`{f}`"), readable(F.col("_r.uncast").getItem(f), k)).alias(f) for f, k in fields]
-    added = [typed_value(F.col("_r.unknown").getItem(c), k).alias(c) for c, k in approved]
+    taken = {x.casefold() for x in ("file_id", "line_no", "header_line", "rescued", *(f for f, _ in fields))}
+    added = []
+    for c, k in approved:
+        free = next(x for x in (c, *(f"{c}_{n}" for n in range(2, len(taken) + 3))) if x.casefold() not in taken)
+        taken.add(free.casefold())
+        added.append(typed_value(F.col("_r.unknown").getItem(c), k).alias(free))
     names = [c for c, _ in approved]
     rest = F.struct(
         F.map_filter("_r.unknown", lambda k, _: ~k.isin(names)).alias("unknown") if names else F.col("_r.unknown").alias("unknown"),

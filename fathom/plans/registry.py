@@ -40,13 +40,24 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.drift(load(spark, d, "evaluation_summary"), target_fields(spark, d))
 
 
-#: Unknown columns that are promoted into the consistent table.
+#: Types of unknown columns that are promoted into the consistent table; other ones are promoted as strings.
 APPROVED = [("average_ndcg@10", "double"), ("average_recall@10", "double"), ("wall_seconds", "double"), ("rrf_k", "int"), ("bm25_weight", "double"), ("seed", "int"), ("qrels_path", "string"), ("notes", "string")]
+#: More different names of added columns than this are an error.
+MOST_ADDED = 1000
+
+
+def added_fields(spark: SparkSession, d: str, fields: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The listed columns, and those of all headers that are no field, in the order of their names."""
+    heads = schema_drift.headers(load(spark, d, "evaluation_summary"), fields)
+    pairs = heads.select(F.explode(F.arrays_zip("columns", "fields")).alias("c")).where(F.col("c.fields").isNull() & (F.col("c.columns") != ""))
+    names = small_rows(pairs.select(F.col("c.columns").alias("name")).distinct(), MOST_ADDED, "the names of added columns")
+    listed = {c for c, _ in APPROVED}
+    return [*APPROVED, *((r.name, "string") for r in sorted(names, key=lambda r: r.name) if r.name not in listed)]
 
 
 def p3_table(spark: SparkSession, d: str) -> DataFrame:
     fields = target_fields(spark, d)
-    return schema_drift.promote(schema_drift.ingest(load(spark, d, "evaluation_summary"), fields), fields, APPROVED)
+    return schema_drift.promote(schema_drift.ingest(load(spark, d, "evaluation_summary"), fields), fields, added_fields(spark, d, fields))
 
 
 _AREAS = (text_queries, search_queries, evaluation_queries, analytics_queries, engine_queries)
