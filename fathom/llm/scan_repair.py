@@ -507,8 +507,11 @@ def _rebuild(s: str, lines: list[Line], joined: dict[int, tuple[str, str, str]],
 
 
 def build_lexicon(df: DataFrame, text: str) -> Lexicon:
-    """Counts all rows and collects what has its share of the corpus; the shares bound what comes to the driver."""
-    counts = corpus_counts(df, text).persist()
+    """Counts all distinct texts and collects what has its share of them; the shares bound what comes to the driver.
+
+    Copies of a text say nothing new: with them a misread form could be as frequent as a word.
+    """
+    counts = corpus_counts(df.select(text).distinct(), text).persist()
     try:
         totals = {r.key: r.n for r in counts.where("kind = 'n'").collect()}
         words, lines = totals.get("word", 0), totals.get("line", 0)

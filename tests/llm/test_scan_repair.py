@@ -84,3 +84,11 @@ def test_frames(spark):
     back = {x.chunk_id: x for x in r.repair_chunks(df).collect()}
     assert back[9000].text == "Den som läser enhetschef samt enhetschef." and back[9001].text == "enhetschet" and back[9002].text is None and len(back) == len(rows)
     assert r.find_defects(df.limit(0)).count() == 0
+
+
+def test_copies_do_not_hide_a_misread_word(spark):
+    rows = [(k, "section", f"Den som läser {w} samt enhetschef.\n\nInget annat gäller inom {k} dagar.", None, '{"title": "T"}', None) for k, w in enumerate(WORDS.split() * 40)]
+    rows += [(9000 + k, "section", "Den som läser enhetschet samt enhetschef.", None, None, None) for k in range(300)]
+    df = spark.createDataFrame(rows, "chunk_id long, chunk_type string, text string, preview_text string, metadata_json string, section_heading string")
+    assert sorted((x.chunk_id, x.kind, x.repaired) for x in r.find_defects(df).collect()) == [(9000 + k, "misread", "enhetschef") for k in range(300)]
+    assert r.repair_chunks(df).where("text like '%enhetschet%'").count() == 0
