@@ -400,8 +400,7 @@ def repair(s: str | None, title: str | None, heading: str | None, whole: bool, l
     carried = ""
     for place, k in enumerate(body):
         t = lines[k].text
-        if len(t) > 40 and _JUNK.search(t):
-            continue  # a string of code, not running text
+        junk = [m.span() for m in _JUNK.finditer(t)] if len(t) > 40 else []  # strings of code, not running text
         plain = _TOKEN.findall(t)
         if all(w in common or w.isdigit() for w in plain):
             carried = plain[-1] if plain else carried
@@ -411,6 +410,8 @@ def repair(s: str | None, title: str | None, heading: str | None, whole: bool, l
         hi = len(got) - 1 if k in joined else len(got)
         for i in range(lo, hi):
             w = got[i].group()
+            if any(a <= got[i].start() < b for a, b in junk):
+                continue
             if w in common or w.isdigit() or len(w) > 60 or w[-1] in HYPHENS or w[0] in HYPHENS and len(w) < 3:
                 continue
             before = got[i - 1].group() if i else carried

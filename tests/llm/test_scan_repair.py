@@ -92,3 +92,8 @@ def test_copies_do_not_hide_a_misread_word(spark):
     df = spark.createDataFrame(rows, "chunk_id long, chunk_type string, text string, preview_text string, metadata_json string, section_heading string")
     assert sorted((x.chunk_id, x.kind, x.repaired) for x in r.find_defects(df).collect()) == [(9000 + k, "misread", "enhetschef") for k in range(300)]
     assert r.repair_chunks(df).where("text like '%enhetschet%'").count() == 0
+
+
+def test_a_long_address_does_not_hide_its_line(lex):
+    s = "Den som läser öyriga rutin, se https://dokument.lovtuna.example/a/kontrolIera/mycket/djup/vag.pdf och inom l0 dagar."
+    assert found(s, lex) == [("misread", "övriga"), ("misread", "10")]
