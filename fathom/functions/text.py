@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space as in Unicode, with the separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
-#: Patterns of page markers, labels that open no section, numbered headings, trailing page references, approval dates.
+#: Patterns of page markers, labels that open no section, numbered headings, trailing page references, approval dates,
+#: tokens, dashes that count as one, extensions that are no part of a document's name.
 PAGE_MARKER = r"(?iu)^(page|sidan) [0-9]+( (of|av) [0-9]+)?$"
 LABELLED = r"(?iu)^(docplus-id|version|handlingstyp|godkänt den|ansvarig|gäller för)\s*:"
 NUMBERED = r"(?iu)^([0-9]+(\.[0-9]+)*|[IVXLCM]+)[).:\-]?\s+\S"
@@ -68,11 +69,11 @@ def _letters(c: Column, pattern: str) -> Column:
 
 def is_heading(line: Column) -> Column:
     """Whether a line can be a heading: 3 to 140 characters, at most 18 words, no closing mark; numbered,
-    mostly in capitals, or with capitals at the beginning of nearly all of its 2 to 10 words."""
+    mostly in capitals, or with a capital as the first character of nearly all of its 2 to 10 words."""
     x = squeeze(line)
     letters, upper = _letters(x, r"\p{L}"), _letters(x, r"\p{Lu}")
     words = F.split(x, " ")
-    titled = F.size(F.filter(words, lambda w: w.rlike(r"^[^\p{L}]*\p{Lu}") & w.rlike(r"\p{Lu}.*\p{Ll}")))
+    titled = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}.*\p{Ll}")))
     n = F.size(words)
     plausible = F.length(x).between(3, 140) & ~x.rlike(PAGE_MARKER) & ~x.rlike(LABELLED) & ~x.rlike(r"[.;?!]$") & (letters > 0) & (n <= 18)
     shaped = x.rlike(NUMBERED) | (upper / letters >= 0.72) | (n.between(2, 10) & (titled >= F.greatest(F.lit(2), n - 1)))

@@ -17,7 +17,7 @@ def sq(x: str) -> str:
 
 
 MARKER = r"(?i)^(page|sidan) [0-9]+( (of|av) [0-9]+)?$"
-LABELLED = r"(?i)^(docplus-id|version|handlingstyp|godkänt den|ansvarig|gäller för)\s*:"
+LABELLED = t.LABELLED.replace("(?iu)", "(?i)")
 NUMBERED = r"(?i)^([0-9]+(\.[0-9]+)*|[IVXLCM]+)[).:\-]?\s+\S"
 REFERENCE = r"\s*[._·\-…]{2,}\s*([0-9]+)$"
 
@@ -25,7 +25,7 @@ REFERENCE = r"\s*[._·\-…]{2,}\s*([0-9]+)$"
 def heading_sql(x: str) -> str:
     letters, upper = f"length(regexp_replace({x}, '[^\\p{{L}}]', '', 'g'))", f"length(regexp_replace({x}, '[^\\p{{Lu}}]', '', 'g'))"
     n = f"len(string_split({x}, ' '))"
-    titled = f"len(list_filter(string_split({x}, ' '), lambda w: regexp_matches(w, '^[^\\p{{L}}]*\\p{{Lu}}') and regexp_matches(w, '\\p{{Lu}}.*\\p{{Ll}}')))"
+    titled = f"len(list_filter(string_split({x}, ' '), lambda w: regexp_matches(w, '^\\p{{Lu}}.*\\p{{Ll}}')))"
     return (
         f"(length({x}) between 3 and 140 and not regexp_matches({x}, '{MARKER}') and not regexp_matches({x}, '{LABELLED}') and not regexp_matches({x}, '[.;?!]$') and {letters} > 0 and {n} <= 18 and "
         f"(regexp_matches({x}, '{NUMBERED}') or {upper}::double / {letters} >= 0.72 or ({n} between 2 and 10 and {titled} >= greatest(2, {n} - 1))))"
@@ -112,8 +112,7 @@ def metadata_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sections_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
-    s = sections.heuristic_sections(_lines(spark, d), "doc_id", docs.select("doc_id", "title"))
+    s = sections.heuristic_sections(_docs(spark, d), "doc_id", "text", "title")
     return s.select("doc_id", "section_index", "heading", F.col("level").cast("long").alias("level"), F.col("text").alias("body"))
 
 

@@ -5,17 +5,16 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.functions import urls
-from fathom.operators import chunking, lines, sections
+from fathom.operators import chunking, sections
 
 
 def one(spark, expr, value, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first().y
 
 
-@pytest.mark.parametrize("x, want", [("1. Syfte", True), ("MÅL", True), ("Mål Och Medel", True), ("Vi går", True), ("5 mg", True), ("det här är text", False), ("Slut.", False), ("Sidan 3 av 4", False), ("ab", False), ("Version: 2 AB", False)])
+@pytest.mark.parametrize("x, want", [("1. Syfte", True), ("MÅL", True), ("Mål Och Medel", True), ("Vi går", True), ("5 mg", True), ("det här är text", False), ("Slut.", False), ("Sidan 3 av 4", False), ("ab", False), ("Version: 2 AB", False), ("(Barn) Läkemedel", False), ('"Mål" Och Medel', True), ('"Mål Medel', False), ("2Mål Medel", False), ("Mål 2 Medel", True)])
 def test_heading(spark, x, want):
     assert one(spark, t.is_heading, x) is want
-    assert sections.heading_like(x) is want
 
 
 def test_level_tokens_slug_dates(spark):
@@ -44,30 +43,58 @@ def test_urls(spark):
 CONTENTS = "Titel\nInnehåll\n1 Syfte ....... 1\n  1.1 Mål ....... 2\n      Djupt ... 2\nAnsvar ..... 3\n\nInledning\n1 Syfte\ntext ett\n1.1 Mål\n5 mg\n1+0+0\nDjupt\nAnsvar\nslut"
 
 
-def test_contents():
-    entries, _ = sections.contents(CONTENTS.split("\n"))
-    assert [(e.heading, e.level, e.page) for e in entries] == [("1 Syfte", 1, 1), ("1.1 Mål", 2, 2), ("Djupt", 2, 2), ("Ansvar", 1, 3)]
-    got = sections.toc_sections(CONTENTS.split("\n"), "Titel")
-    assert [s["source"] for s in got] == ["toc"] * 4
-    assert [s["text"] for s in got] == ["text ett", "5 mg 1+0+0", "", "slut"]
-    assert got[1]["path_text"] == "1 Syfte > 1.1 Mål"
+def of(df, *columns):
+    by = {}
+    for r in sorted(df.collect(), key=lambda r: (r.doc_id, r["index"] if "index" in r else r.source_index)):
+        by.setdefault(r.doc_id, []).append(tuple(r[c] for c in columns))
+    return by
+
+
+DOCS = "doc_id long, text string, title string"
+
+
+def test_contents(spark):
     before = CONTENTS.replace("Inledning", "ALLMÄNT OM\nnågot")
-    assert [(s["source"], s["heading"], s["text"]) for s in sections.toc_sections(before.split("\n"), "Titel")][0] == ("toc_preface", "Titel", "ALLMÄNT OM något")
-    assert sections.toc_sections(["a", "b"], None) == []
+    apart = "x\nContents\nEn lång\n\nrubrik ... 1\n\nlös\n\nAndra\ndelen ..... 2\nSidan 2 av 3\nPage ... 9\n\nEn lång rubrik\nkropp"
+    docs = spark.createDataFrame([(1, CONTENTS, "Titel"), (2, before, "Titel"), (3, "a\nb", None), (4, "Innehåll\nEn ... 1", None), (5, apart, None), (6, None, None), (7, "Innehåll\n" + "ord " * 25 + "... 1\nA ... 2\nB ... 3\nA\nB", None)], DOCS)
+    entries = of(sections.toc_entries(docs, "doc_id", "text"), "heading", "level", "page")
+    assert entries[1] == [("1 Syfte", 1, 1), ("1.1 Mål", 2, 2), ("Djupt", 2, 2), ("Ansvar", 1, 3)]
+    # Before the first entry a blank line cuts nothing off, later it does; a heading of too many words is none.
+    assert entries[5] == [("En lång rubrik", 1, 1), ("Andra delen", 1, 2), ("Page", 1, 9)] and entries[7] == [("A", 1, 2), ("B", 1, 3)] and set(entries) == {1, 2, 5, 7}
+    got = of(sections.document_sections(docs, "doc_id", "text", "title", "toc_or_whole"), "source", "heading", "text", "path_text")
+    assert [s[0] for s in got[1]] == ["toc"] * 4
+    assert [s[2] for s in got[1]] == ["text ett", "5 mg 1+0+0", "", "slut"]
+    assert got[1][1][3] == "1 Syfte > 1.1 Mål"
+    assert got[2][0][:3] == ("toc_preface", "Titel", "ALLMÄNT OM något")
+    assert got[3] == [("whole_document", "Document", "a b", "Document")] and got[5][0][0] == "whole_document" and 6 not in got
 
 
 def test_cascade(spark):
-    docs = spark.createDataFrame([(1, CONTENTS, "Titel"), (2, "MÅL\nrad ett\nrad två\nANSVAR\nx\nSLUT", None), (3, "bara text här", "T"), (4, None, "T"), (5, " ", "T")], "doc_id long, text string, title string")
-    rows = sections.document_sections(docs, "doc_id", "text", "title").collect()
-    by = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r["index"])):
-        by.setdefault(r.doc_id, []).append((r.heading, r.source, r.raw_text))
+    docs = spark.createDataFrame([(1, CONTENTS, "Titel"), (2, "MÅL\nrad ett\nrad två\nANSVAR\nx\nSLUT", None), (3, "bara text här", "T"), (4, None, "T"), (5, " ", "T"), (6, "BARA\nRUBRIKER", "T")], DOCS)
+    by = of(sections.document_sections(docs, "doc_id", "text", "title"), "heading", "source", "raw_text")
     assert by[2] == [("MÅL", "heuristic", "rad ett\nrad två"), ("ANSVAR", "heuristic", "x")] and by[3] == [("T", "heuristic", "bara text här")] and 4 not in by and 5 not in by
-    # The frame version agrees with the one that reads line by line.
-    h = sections.heuristic_sections(lines.text_lines(docs, "doc_id", "text"), "doc_id", docs.select("doc_id", "title"))
+    assert [x[1] for x in by[1]] == ["toc"] * 4 and by[6] == [("T", "fallback", "BARA\nRUBRIKER")]
+    h = sections.heuristic_sections(docs, "doc_id", "text", "title")
     assert {(r.doc_id, r.heading, r.raw_text) for r in h.where("doc_id in (2, 3)").collect()} == {(k, a, c) for k in (2, 3) for a, _, c in by[k]}
 
 
+def test_parsed_sections(spark):
+    from fathom.sources.documents import SECTION
+
+    s = lambda **x: {"index": None, "heading": None, "title": None, "level": None, "page": None, "source": None, "raw_text": None, "text": None, "path": None, "path_text": None} | x
+    rows = [
+        (1, [s(heading=" A  b ", level=2, page=3, text=" x ", path=["P", "A b"], path_text="P > A b", source="toc")], "t", "T"),
+        (2, [s(title="1.1 C", level=-1, page=0, raw_text="r  s", path=["Q"]), None, s(text="y")], "t", "T"),
+        (3, [], "MÅL\nz", "T"), (4, None, None, "T"),
+    ]
+    df = spark.createDataFrame(rows, f"doc_id long, sections array<{SECTION}>, text string, title string")
+    got = of(sections.parsed_sections(df, "doc_id", "sections", "text", "title"), "heading", "level", "page", "source", "text", "path_text")
+    assert got[1] == [("A b", 2, 3, "toc", "x", "P > A b")]
+    # One has no path, so all are made anew.
+    assert got[2] == [("1.1 C", 2, None, "stored", "r s", "1.1 C"), ("T", 1, None, "stored", "y", "T")]
+    assert got[3] == [("MÅL", 1, None, "heuristic", "z", "MÅL")] and 4 not in got
+
+
 def test_section_paths(spark):
     s = spark.createDataFrame([(1, i, lv, f"h{i}") for i, lv in enumerate([1, 3, 3, 2])] + [(2, 0, None, "x")], "k long, section_index int, level int, heading string")
     got = {(r.k, r.section_index): (r.depth, r.path_text) for r in sections.section_paths(s, "k").collect()}
