@@ -26,6 +26,16 @@ def document_name(url: str | None) -> str:
     return "" if "getdocument" in last.lower() else last
 
 
+def leads_to_document(url: str, types: tuple[str, ...] = DOCUMENT_TYPES) -> bool:
+    """``is_document_link`` on one address."""
+    ends = tuple(f".{x}" for x in types)
+    try:
+        parts = urlsplit(url.lower())
+    except ValueError:
+        return False
+    return parts.path.endswith(ends) or "getdocument" in parts.path or any(v.endswith(ends) for _, v in parse_qsl(parts.query))
+
+
 def url_filename(c: Column) -> Column:
     @F.pandas_udf("string")
     def run(x: pd.Series) -> pd.Series:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.functions import urls
 from fathom.operators import analytics, sections
-from fathom.plans.text_queries import sq
+from fathom.plans.text_queries import WS, doc_id_sql, sq
 from fathom.sources import documents
 from fathom.streaming import events as streaming
 from fathom.tables import load
@@ -51,20 +51,40 @@ def url_set_param(spark: SparkSession, d: str) -> DataFrame:
     return _meta(spark, d).select("record_id", urls.with_page(F.col("metadata_url"), F.col("record_id")).alias("url"))
 
 
+#: Records on a result page, and pages of a search.
+A_PAGE, PAGES = 25, 4
+BUTTON = {f: a for a, f in documents.BUTTON_FIELDS.items()}
+
+
+def _escaped(c: Column) -> Column:
+    for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(entity))
+    return c
+
+
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    """Result pages made of the records, one for each document type."""
-    one = F.concat(F.lit('<div class="file-row"><a href="'), F.col("source_url"), F.lit('">'), F.regexp_replace(F.coalesce("title", F.lit("")), "[<>&]", " "), F.lit('</a><a href="/other">x</a></div>'))
-    rows = _meta(spark, d).select(F.pmod("record_id", F.lit(97)).alias("page_id"), "record_id", one.alias("h"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("record_id", "h"))), lambda x: x.h), "\n").alias("html"))
+    """Result pages made of the records, some to a page, with a row that leads to no document before each page's records."""
+    m = _meta(spark, d)
+    attributes = F.concat(*(F.coalesce(F.concat(F.lit(f' {a}="'), _escaped(F.col(f)), F.lit('"')), F.lit("")) for f, a in BUTTON.items()))
+    link = F.concat(F.regexp_replace("source_url", "^https://[^/]*", ""), F.lit("#sida-2"))
+    one = F.concat(F.lit('<div class="file-row"><div><a href="'), link, F.lit('">'), _escaped(F.coalesce("title", F.lit(""))), F.lit('</a></div><a href="/other">x</a><button class="file-metadata"'), attributes, F.lit("></button></div>"))
+    rows = m.select(F.floor(F.col("record_id") / A_PAGE).alias("page_id"), "record_id", one.alias("h"))
+    made = rows.groupBy("page_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("record_id", "h"))), lambda x: x.h), "\n").alias("h"))
+    return made.select("page_id", urls.with_page(F.lit(BASE), F.col("page_id")).alias("page_url"), F.concat(F.lit('<div class="file-row"><a href="/hjalp">Hj&auml;lp</a></div>'), "h").alias("html"))
 
 
 def extract_links(spark: SparkSession, d: str) -> DataFrame:
-    return documents.page_links(_pages(spark, d), "page_id", "html").select("page_id", "position", "url", "title")
+    links = documents.page_links(_pages(spark, d), "page_id", "html", "page_url")
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), "|")
+    return links.select("page_id", "position", "url", "title", told.alias("fields"))
 
 
 def live_rank_score(spark: SparkSession, d: str) -> DataFrame:
-    links = documents.page_links(_pages(spark, d), "page_id", "html")
-    return documents.live_scores(links, "page_id", "url", "position", 20)
+    """A search of some pages each; documents by their title."""
+    pages = _pages(spark, d).withColumn("search_id", F.floor(F.col("page_id") / PAGES))
+    links = documents.page_links(pages, "page_id", "html", "page_url", rows=False)
+    found = links.select(F.floor(F.col("page_id") / PAGES).alias("search_id"), "page_id", "position", t.plain_doc_id(F.col("title")).alias("doc_id"))
+    return documents.live_scores(found, pages.select("search_id", "page_id"), "search_id", "page_id", "doc_id", "position", 20)
 
 
 def is_document_link(spark: SparkSession, d: str) -> DataFrame:
@@ -182,13 +202,19 @@ _DATE = "case when regexp_matches(publish_date, '^\\s*[0-9]{4}-[0-9]{1,2}-[0-9]{
 _VALUES = ", ".join(f"'{f}'" for f in VALUE_FIELDS)
 _ALL = ", ".join(f"'{f}'" for f in FIELDS)
 _PLAIN_URL = "regexp_replace(regexp_replace(regexp_replace({}, '#.*$', ''), '([?&])page=[^&]*&?', '\\1', 'g'), '[?&]$', '')"
+_FIELDS = ", ".join(f"'{f}=' || regexp_replace({f}, '^{WS}|{WS}$', '', 'g')" for f in sorted(documents.BUTTON_FIELDS.values()))
+_LINKS = f"""a as (select record_id // 25 as page_id, record_id, source_url url, {sq("coalesce(title, '')")} title, '' as name, array_to_string(list_filter([{_FIELDS}], lambda v: v is not null), '|') fields from metadata),
+b as (select * from a qualify row_number() over (partition by page_id, url order by record_id) = 1)"""
 ORACLE = {
     "scan_documents": "select source_path, min(json_extract_string(metadata_json, '$.title')) as title, max(try_cast(json_extract_string(metadata_json, '$.page_count') as int)) as page_count, count(*) as n_chunks from chunk_metadata group by 1",
     "backfill_missing": "select record_id, coalesce(page_count, max(page_count) over (partition by stem)) as page_count from metadata",
     "page_urls": "select n as page, 'https://dokument.lovtuna.example/search?q=rutin&page=' || n as url from range(1, 51) t(n)",
     "url_set_param": f"with a as (select record_id, {_PLAIN_URL.format('metadata_url')} u from metadata) select record_id, u || (case when contains(u, '?') then '&' else '?' end) || 'page=' || record_id as url from a",
-    "extract_links": f"with a as (select record_id % 97 as page_id, record_id, source_url, {sq("regexp_replace(coalesce(title, ''), '[<>&]', ' ', 'g')")} title from metadata), b as (select * from a qualify row_number() over (partition by page_id, source_url order by record_id) = 1) select page_id, row_number() over (partition by page_id order by record_id) as position, source_url as url, title from b",
-    "live_rank_score": "with a as (select record_id % 97 as page_id, source_url url, min(record_id) p from metadata where coalesce(source_url, '') <> '' group by 1, 2) select page_id, url, greatest(1, 20 - (row_number() over (partition by page_id order by p) - 1))::double as score, row_number() over (partition by page_id order by p) as rank from a qualify rank <= 20",
+    "extract_links": f"with {_LINKS} select page_id, row_number() over (partition by page_id order by record_id) as position, url, coalesce(nullif(title, ''), name) as title, fields from b",
+    "live_rank_score": f"""with {_LINKS}, c as (select page_id, page_id // {4} search_id, {doc_id_sql("coalesce(nullif(title, ''), name)")} doc_id, record_id from b),
+f as (select search_id, doc_id, min(record_id) p, min(page_id) page_id from c where doc_id <> '' group by 1, 2),
+x as (select search_id, min(page_id) stop from (select distinct search_id, page_id from c) where (search_id, page_id) not in (select (search_id, page_id) from f) group by 1)
+select search_id, doc_id, greatest(1, 20 - (row_number() over (partition by search_id order by p) - 1))::double as score, row_number() over (partition by search_id order by p) as rank from f left join x using (search_id) where stop is null or page_id < stop qualify rank <= 20""",
     "is_document_link": "with a as (select record_id, case record_id % 4 when 0 then source_url || '&f=a.PDF' when 1 then 'https://x.example/d/' || stem || '.docx#p' when 2 then 'https://x.example/d/index.html' else source_url end u from metadata) select record_id, coalesce(regexp_matches(regexp_extract(u, '^[^?#]*'), '(?i)\\.(pdf|docx?|xlsx?|pptx?)$') or contains(lower(regexp_extract(u, '^[^?#]*')), 'getdocument') or len(list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '(?i)\\.(pdf|docx?|xlsx?|pptx?)$'))) > 0, false) as is_link from a",
     "url_filename": "select record_id, stem || '.pdf' as by_path, 'Rutin ' || record_id || '.doc' as by_query from metadata",
     "url_digest_id": "select record_id, 'doc_' || substr(sha256(source_url || '&f=a.pdf'), 1, 12) || '.pdf' as file_id from metadata",

@@ -7,9 +7,10 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
@@ -19,8 +20,8 @@ SECTION = "struct<index:int, heading:string, title:string, level:int, page:int,
 PARSED = f"path string, binary_path string, raw_text string, text string, sections array<{SECTION}>, metadata map<string,string>, _corrupt_record string"
 #: Attributes of a result button and the fields they become.
 BUTTON_FIELDS = {
-    "data-document-collection": "document_collection", "data-process": "process", "data-publish-date": "publish_date", "data-subject-area": "subject_area", "data-type-of-action": "type_of_action", "data-valid-for-area": "valid_for_area",
-    "data-version": "version", "data-comment": "comment", "data-document-type": "document_type", "data-metadata-url": "metadata_url", "data-tax-keyword": "tax_keyword", "data-title": "title",
+    "data-documentcollection": "document_collection", "data-process": "process", "data-publishdate": "publish_date", "data-subjectarea": "subject_area", "data-title": "title", "data-typeofaction": "type_of_action",
+    "data-validforarea": "valid_for_area", "data-version": "version", "data-comment": "comment", "data-type": "document_type", "data-url": "metadata_url", "data-taxkeyword": "tax_keyword",
 }
 
 
@@ -84,69 +85,79 @@ def extract(binaries: DataFrame) -> DataFrame:
 
 
 class _Rows(html.parser.HTMLParser):
-    """Result rows of a page: the first link of each, and its button's attributes."""
+    """Result rows of a page: the first link of each, and its button's attributes; and all links of the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
-        self.links: list[tuple[str, str]] = []
-        self.depth, self.inside, self.open = 0, 0, False
+        self.links: list[list] = []  # address, text
+        self.tag, self.depth, self.open = "", 0, False
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         classes = (a.get("class") or "").split()
-        if tag == "div":
-            self.depth += 1
-            if "file-row" in classes and not self.inside:
-                self.inside = self.depth
-                self.rows.append({"href": None, "title": "", "fields": {}})
-        if tag == "a" and a.get("href"):
-            self.links.append((a["href"], ""))
+        if self.depth:
+            self.depth += tag == self.tag
+        elif "file-row" in classes:
+            self.tag, self.depth = tag, 1
+            self.rows.append({"link": None, "fields": {}})
+        if tag == "a" and "href" in a:
+            self.links.append([(a["href"] or "").strip(), ""])
             self.open = True
-            if self.inside and self.rows[-1]["href"] is None:
-                self.rows[-1]["href"] = a["href"]
-        if tag == "button" and self.inside and "file-metadata" in classes:
+            if self.depth and self.rows[-1]["link"] is None:
+                self.rows[-1]["link"] = len(self.links) - 1
+        if tag == "button" and self.depth and "file-metadata" in classes and not self.rows[-1]["fields"]:
             self.rows[-1]["fields"] = {BUTTON_FIELDS[k]: v.strip() for k, v in a.items() if k in BUTTON_FIELDS and v is not None}
 
     def handle_endtag(self, tag):
-        if tag == "div":
-            if self.inside == self.depth:
-                self.inside = 0
-            self.depth -= 1
-        if tag == "a":
-            self.open = False
+        self.depth -= self.depth > 0 and tag == self.tag
+        self.open = self.open and tag != "a"
 
     def handle_data(self, data):
-        if self.open and self.links:
-            href, text = self.links[-1]
-            self.links[-1] = (href, text + data)
-            if self.inside and self.rows and self.rows[-1]["href"] == href:
-                self.rows[-1]["title"] += data
+        if self.open:
+            self.links[-1][1] += data
 
 
-def page_links(pages: DataFrame, key: str, page: str) -> DataFrame:
+def _absolute(base: str, href: str) -> str:
+    """An address as seen from a page, without its fragment; one that can't be read stays as it is."""
+    try:
+        return urldefrag(urljoin(base, href)).url
+    except ValueError:
+        return href
+
+
+def page_links(pages: DataFrame, key: str, page: str, url: str | None = None, rows: bool = True) -> DataFrame:
     """key, position (int, from 1), url, title, fields: the documents of result pages.
 
-    A row's first link counts; all links do only where a page has no rows. An
-    address comes once a page. A blank title becomes the name in the address.
+    Addresses are resolved against that of their page (``url``) and lose their
+    fragment; only those of documents count, each once a page. A row's first link
+    counts, with the attributes of its button that are there; all links do where no
+    row leads to a document, or without ``rows``. A blank title becomes the name in
+    the address. Null and empty pages have none.
     """
+    kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for k, s in zip(b[key], b[page]):
+            for k, base, s in zip(b[key], b["_base"], b[page]):
                 p = _Rows()
                 if isinstance(s, str):
                     p.feed(s)
-                found = [(r["href"], r["title"], r["fields"]) for r in p.rows if r["href"]] if p.rows else [(h, x, {}) for h, x in p.links]
-                seen: set[str] = set()
-                for href, title, fields in found:
-                    if href not in seen:
-                        seen.add(href)
-                        out.append((k, len(seen), href, " ".join(title.split()) or urls.document_name(href), fields))
+                    p.close()
+                every = [(*x, {}) for x in p.links]
+                first = [(*p.links[r["link"]], r["fields"]) for r in p.rows if r["link"] is not None] if rows else []
+                found = {}
+                for some in (first, every):
+                    for href, title, fields in some if not found else ():
+                        to = _absolute(base or "", href)
+                        if urls.leads_to_document(to) and to not in found:
+                            found[to] = (" ".join(title.split()) or urls.document_name(to), fields)
+                out += [(k, n, to, *x) for n, (to, x) in enumerate(found.items(), 1)]
             yield pd.DataFrame(out, columns=[key, "position", "url", "title", "fields"])
 
-    return pages.select(key, page).mapInPandas(run, f"{key} {pages.schema[key].dataType.simpleString()}, position int, url string, title string, fields map<string,string>")
+    base = F.col(url) if url else F.lit("")
+    return pages.select(key, base.alias("_base"), page).mapInPandas(run, f"{key} {kind}, position int, url string, title string, fields map<string,string>")
 
 
 def page_urls(spark: SparkSession, base: str, first: int, last: int) -> DataFrame:
@@ -154,13 +165,19 @@ def page_urls(spark: SparkSession, base: str, first: int, last: int) -> DataFram
     return spark.range(first, last + 1).select(F.col("id").alias("page"), urls.with_page(F.lit(base), F.col("id")).alias("url"))
 
 
-def live_scores(links: DataFrame, query_id: str, doc: str, position: str, k: int) -> DataFrame:
-    """query_id, doc, score, rank: a document counts at its first place; the score is k less the places before it, at least 1."""
-    first = links.where(F.coalesce(F.col(doc), F.lit("")) != "").groupBy(query_id, doc).agg(F.min(position).alias("_p"))
-    from pyspark.sql import Window
+def live_scores(links: DataFrame, pages: DataFrame, query_id: str, page: str, doc: str, position: str, k: int) -> DataFrame:
+    """query_id, doc, score, rank: a document counts at its first place; the score is k less the places before it, at least 1.
 
+    Pages are read in their order until one holds no document that is new
+    (``pages`` has query_id and page of all that were fetched, also of empty ones).
+    """
+    place = F.struct(F.col(page).alias("page"), F.col(position).alias("at"))
+    first = links.where(F.coalesce(F.col(doc), F.lit("")) != "").groupBy(query_id, doc).agg(F.min(place).alias("_p"))
+    new = first.groupBy(query_id, F.col("_p.page").alias(page)).agg(F.count(F.lit(1)).alias("_new"))
+    stop = pages.select(query_id, page).distinct().join(new, [query_id, page], "left").where("_new is null").groupBy(query_id).agg(F.min(page).alias("_stop"))
+    read = first.join(stop, query_id, "left").where(F.col("_stop").isNull() | (F.col("_p.page") < F.col("_stop")))
     n = F.row_number().over(Window.partitionBy(query_id).orderBy("_p", doc))
-    return first.withColumn("rank", n).where(F.col("rank") <= k).select(query_id, doc, F.greatest(F.lit(1), k - (F.col("rank") - 1)).cast("double").alias("score"), "rank")
+    return read.withColumn("rank", n).where(F.col("rank") <= k).select(query_id, doc, F.greatest(F.lit(1), k - (F.col("rank") - 1)).cast("double").alias("score"), "rank")
 
 
 def append_log(rows: DataFrame, path: str, columns: list[str]) -> None:

@@ -29,18 +29,30 @@ def test_binaries(spark):
     assert got == {"a.docx": ("Hej\ndu\n", None), "b.pdf": ("", 2), "c.docx": ("", None), "d.xyz": ("", None)}
 
 
-PAGE = """<div class="x file-row"><a href="/getdocument?file=A%20b.pdf"> </a><a href="/second">no</a><button class="file-metadata" data-title=" T " data-version="2"></button></div>
-<div class="file-row"><a href="/d.pdf">Doku<b>ment</b></a></div><div class="file-row"><a href="/d.pdf">again</a></div><a href="/outside">o</a>"""
+PAGE = """<div class="x file-row"><a href="/getdocument?file=A%20b.pdf#p2"> </a><a href="/second.pdf">no</a><button class="file-metadata" data-title=" T " data-version="2" data-documentcollection="C&amp;D" data-publishdate="2024-01-02"
+ data-type="Rutin" data-taxkeyword="a;b" data-url="/m" data-typeofaction="x" data-validforarea="y" data-subjectarea="z" data-process="" data-other="no"></button></div>
+<li class="file-row"><div><a href="d.pdf">Doku<b>ment</b></a></div></li><div class="file-row"><a href="d.pdf#again">again</a></div><div class="file-row"><a href="/help">Help</a></div><a href="/outside.pdf">o</a>"""
 
 
 def test_links(spark):
-    df = spark.createDataFrame([(1, PAGE), (2, '<a href="x.pdf">X</a><a href="x.pdf">Y</a><a href="y.pdf"></a>'), (3, None), (4, "")], "page_id long, html string")
-    got = {(r.page_id, r.position): (r.url, r.title, r.fields) for r in documents.page_links(df, "page_id", "html").collect()}
+    home = "https://h.example/s/list?page=1"
+    rows = [(1, PAGE, home), (2, '<a href="x.pdf">X</a><a href="x.pdf">Y</a><a href="y.pdf"></a><a href="no.html">N</a>', home), (3, None, home), (4, "", None), (5, '<div class="file-row"><a href="/help">H</a></div><a href="/a.docx">A</a>', home)]
+    df = spark.createDataFrame(rows, "page_id long, html string, page_url string")
+    got = {(r.page_id, r.position): (r.url, r.title, r.fields) for r in documents.page_links(df, "page_id", "html", "page_url").collect()}
+    fields = {"title": "T", "version": "2", "document_collection": "C&D", "publish_date": "2024-01-02", "document_type": "Rutin", "tax_keyword": "a;b", "metadata_url": "/m", "type_of_action": "x", "valid_for_area": "y", "subject_area": "z", "process": ""}
     assert got == {
-        (1, 1): ("/getdocument?file=A%20b.pdf", "A b.pdf", {"title": "T", "version": "2"}), (1, 2): ("/d.pdf", "Dokument", {}), (2, 1): ("x.pdf", "X", {}), (2, 2): ("y.pdf", "y.pdf", {}),
+        (1, 1): ("https://h.example/getdocument?file=A%20b.pdf", "A b.pdf", fields), (1, 2): ("https://h.example/s/d.pdf", "Dokument", {}), (2, 1): ("https://h.example/s/x.pdf", "X", {}), (2, 2): ("https://h.example/s/y.pdf", "y.pdf", {}), (5, 1): ("https://h.example/a.docx", "A", {}),
     }
-    live = documents.live_scores(documents.page_links(df, "page_id", "html"), "page_id", "url", "position", 2).collect()
-    assert sorted((r.page_id, r.score) for r in live) == [(1, 1.0), (1, 2.0), (2, 1.0), (2, 2.0)]
+    every = [r.url for r in documents.page_links(df, "page_id", "html", "page_url", rows=False).where("page_id = 1").orderBy("position").collect()]
+    assert [u.rsplit("/", 1)[1] for u in every] == ["getdocument?file=A%20b.pdf", "second.pdf", "d.pdf", "outside.pdf"]
+
+
+def test_live_scores(spark):
+    links = spark.createDataFrame([(1, 0, "a", 1), (1, 0, "b", 2), (1, 1, "a", 1), (1, 2, "c", 1), (2, 0, "", 1), (2, 0, "d", 2), (2, 1, "e", 1)], "q long, page int, doc string, position int")
+    pages = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)], "q long, page int")
+    got = sorted((r.q, r.doc, r.score) for r in documents.live_scores(links, pages, "q", "page", "doc", "position", 2).collect())
+    # The second page of the first search holds nothing new, so the third isn't read.
+    assert got == [(1, "a", 2.0), (1, "b", 1.0), (2, "d", 2.0), (2, "e", 1.0)]
 
 
 def test_log(spark, tmp_path):
