@@ -17,10 +17,16 @@ back to a bare value:
 A term is an established value that may hold delimiters or quotes itself; letter
 case and the kind and number of blanks within it do not matter, and the value
 comes out as listed.
+
+Time is linear in the string: places from which a quote was found not to close are
+remembered and not read again (a packrat's memo), closing brackets are looked up,
+and runs of blanks are read once. Brackets within more than ``DEEPEST`` others are
+ordinary characters.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html
 import json
@@ -39,6 +45,11 @@ NOTHING = {"-", "–", "—", "--", "saknas", "ej angivet", "ej angiven", "ej an
 DELIMITER = re.compile(r"\s*(?:;#|\r?\n|\r|[,;|•·\t])|(?:\s+|\A)/(?=\s|\Z)")
 ENTITY = re.compile(r"&(?:#\d{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8});")
 BLANK = re.compile(r"\s+")
+_PLAIN = r"""(?:"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*+|true|false|null)"""
+#: A list as JSON writes it, of plain values.
+LIST = re.compile(rf"\[\s*+(?:{_PLAIN}\s*+(?:,\s*+{_PLAIN}\s*+)*+)?\]", re.S)
+#: How many brackets may hold one another.
+DEEPEST = 30
 
 
 def _squeeze(x: str) -> str:
@@ -76,12 +87,17 @@ class PackedGrammar:
             j += 1
         return j == len(s) or DELIMITER.match(s, i) is not None
 
-    def _quoted(self, s: str, i: int) -> tuple[str, int] | None:
+    def _quoted(self, s: str, i: int, memo: dict) -> tuple[str, int] | None:
         close = QUOTES.get(s[i])
         if close is None:
             return None
-        out, j = [], i + 1
+        dead = memo.setdefault(close, set())
+        out, j, seen = [], i + 1, []
         while j < len(s):
+            if out:
+                if j in dead:  # from here on no such quote closes
+                    break
+                seen.append(j)
             c = s[j]
             if c == "\\" and j + 1 < len(s):
                 out.append(s[j + 1])
@@ -98,24 +114,26 @@ class PackedGrammar:
             else:
                 out.append(c)
                 j += 1
+        dead.update(seen)
         return None
 
-    def _bracketed(self, s: str, i: int) -> tuple[list[str], int] | None:
+    def _bracketed(self, s: str, i: int, memo: dict, depth: int) -> tuple[list[str], int] | None:
         close = BRACKETS.get(s[i])
-        if close is None:
+        if close is None or depth >= DEEPEST:
             return None
-        try:
-            found, end = json.JSONDecoder().raw_decode(s, i)
-            if isinstance(found, list) and self._ends(s, end):
-                return [self.value(str(x), False) for x in found if x is not None], end
-        except ValueError:
-            pass
-        end = s.find(close, i)
-        while end >= 0:
-            if self._ends(s, end + 1):
-                return [v for v, _ in self._sequence(s[i + 1 : end])], end + 1
-            end = s.find(close, end + 1)
-        return None
+        if (m := LIST.match(s, i)) and self._ends(s, m.end()):
+            try:
+                found = json.loads(m.group(), parse_int=str, parse_float=str, parse_constant=str, strict=False)
+                return [self.value(str(x), False) for x in found if x is not None], m.end()
+            except ValueError:
+                pass
+        if ("ends", close) not in memo:
+            memo["ends", close] = [m.start() for m in re.finditer(re.escape(close), s) if self._ends(s, m.end())]
+        ends = memo["ends", close]
+        k = bisect.bisect_left(ends, i)
+        if k == len(ends):
+            return None
+        return [v for v, _ in self._sequence(s[i + 1 : ends[k]], depth + 1)], ends[k] + 1
 
     def _bare(self, s: str, i: int) -> tuple[str, int]:
         out, j = [], i
@@ -128,6 +146,10 @@ class PackedGrammar:
                 j = m.end()
             elif DELIMITER.match(s, j):
                 break
+            elif s[j].isspace():  # no delimiter begins within a run of blanks if none begins with it
+                m = BLANK.match(s, j)
+                out.append(m.group())
+                j = m.end()
             else:
                 out.append(s[j])
                 j += 1
@@ -140,21 +162,21 @@ class PackedGrammar:
         x = _squeeze(x)
         return self.listed.get(x.casefold(), x)
 
-    def _sequence(self, s: str) -> Iterator[tuple[str, str]]:
-        i = 0
+    def _sequence(self, s: str, depth: int = 0) -> Iterator[tuple[str, str]]:
+        i, memo = 0, {}
         while i < len(s):
             if m := DELIMITER.match(s, i):
                 i = max(m.end(), i + 1)
                 continue
             if s[i].isspace():
-                i += 1
+                i = BLANK.match(s, i).end()
                 continue
             flag = ""
             if got := self._term(s, i):
                 values, i = [got[0]], got[1]
-            elif got := self._quoted(s, i):
+            elif got := self._quoted(s, i, memo):
                 values, i = [got[0]], got[1]
-            elif got := self._bracketed(s, i):
+            elif got := self._bracketed(s, i, memo, depth):
                 values, i = got
             else:
                 start = i

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,16 @@ def test_frame(spark):
 
 def test_long_field():
     assert len(PackedGrammar(TERMS).parse(",".join(["x"] * 20_000))) == 20_000
+
+
+@pytest.mark.parametrize("s", ["[" * 100_000, "[" * 100_000 + "]" * 100_000, "[1," * 50_000, '["a",' * 40_000, 'a;"a' * 50_000, '"a;' * 60_000, " " * 200_000 + "a" + " " * 200_000 + "b", "[a]b" * 50_000, "x" * 200_000, "{" * 1000 + ";" + "}" * 1000, "\\" * 100_000, "&" * 100_000, '""' * 100_001])
+def test_no_text_takes_more_than_linear_time(s):
+    start = time.process_time()
+    got = PackedGrammar(TERMS).parse(s)
+    assert time.process_time() - start < 5 and all(v for _, v, _ in got)
+
+
+def test_lists():
+    assert values('["a, b", "c\\"d", 7, null]; x') == ["a, b", 'c"d', "7", "x"]
+    assert values("[a, [b, c]]") == ["a", "b", "c"]
+    assert PackedGrammar([]).parse('"a; b') == [(1, "a", "unclosed"), (2, "b", "")]
