@@ -17,6 +17,7 @@ import csv
 import json
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,8 +53,17 @@ BLANKS = " \t\r\n\f\v\xa0﻿"
 SPARK = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
+#: Cells may be as long as texts are.
+csv.field_size_limit(2**31 - 1)
+
+
 def cells(line: str, delimiter: str) -> list[str]:
-    return next(csv.reader([line.strip("﻿\r\n")], delimiter=delimiter, skipinitialspace=False), [])
+    """The cells of a line; a line end within it that isn't quoted counts as a blank."""
+    line = line.strip("﻿\r\n")
+    try:
+        return next(csv.reader([line], delimiter=delimiter), [])
+    except csv.Error:
+        return next(csv.reader([re.sub(r"[\r\n\0]", " ", line)], delimiter=delimiter), [])
 
 
 def bare(name: str) -> str:
@@ -157,11 +167,12 @@ def form(value: str, field_type: str) -> bool:
 
 
 def is_json(value: str) -> bool:
+    """Whether a value is a JSON list, object or text; one nested deeper than Python reads is none."""
     if value[:1] not in '[{"':
         return False
     try:
         json.loads(value)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return True
 
@@ -205,65 +216,71 @@ def lay_out(line: str | None, line_no: int, known: list[dict]) -> tuple[dict, li
     return before[-1], last
 
 
+class Row(NamedTuple):
+    """A data row under its header: the header, the values by column, and what lies beyond the header."""
+
+    header: dict
+    values: list[str]
+    extra: list[str]
+
+
+def _headed(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+    """The lines with ``heads``, the header lines of their file: a file has a few, which are all that is gathered."""
+    by_file = headers(lines, fields).groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "delimiter", "columns", "fields"))).alias("heads"))
+    return lines.select("file_id", F.col("line_no").cast("int").alias("line_no"), "line").join(by_file, "file_id")
+
+
+def _read(b: pd.DataFrame, held: dict, strict: bool = False) -> Iterator[tuple[object, int, dict | Row]]:
+    """file_id, line_no and the header or data row of the lines of a batch; other lines have none. ``held`` keeps the headers of the last file."""
+    for i, n, s, heads in zip(b.file_id, b.line_no, b.line, b.heads):
+        if held.get("file") != i:
+            held["file"], held["heads"] = i, [{k: (list(v) if k in ("columns", "fields") else v) for k, v in dict(h).items()} for h in heads]
+        known = held["heads"]
+        own = next((h for h in known if h["line_no"] == n), None)
+        if own:
+            yield i, n, own
+        elif got := lay_out(s if isinstance(s, str) else None, n, known):
+            head, values = got
+            width = len(head["columns"])
+            if strict and len(values) != width:
+                raise ValueError(f"file {i}, line {n}: {len(values)} cells under a header of {width}")
+            yield i, n, Row(head, [v.strip(BLANKS) for v in values[:width]], values[width:])
+
+
 def ingest(lines: DataFrame, fields: list[tuple[str, str]], strict: bool = False) -> DataFrame:
-    """The data rows in the target schema: file_id, line_no, header_line, one typed column per field,
-    ``rescued`` and ``states``.
+    """The data rows in the target schema: file_id, line_no, header_line, one typed column per field, ``rescued``.
 
     ``rescued`` is JSON: {"unknown": {column: value}, "uncast": {field: value},
-    "extra": [cells beyond the header]}, null if nothing was rescued.  ``states``
-    says of each column of the header whether the value is empty (0), has the
-    field's form (1), or not (2); 4 and 8 are added for a whole number and for
-    JSON.  Blank lines and header lines have no row; a row before any header has
-    none either.  Null lines count as blank.  Values are trimmed.  With ``strict``
-    a row whose width is that of no header before it is an error.
+    "extra": [cells beyond the header]}, null if nothing was rescued. Blank lines
+    and header lines have no row; a row before any header has none either. Null
+    lines count as blank. Values are trimmed. With ``strict`` a row whose width is
+    that of no header before it is an error.
     """
     names = [f for f, _ in fields]
     kinds = dict(fields)
-    heads = headers(lines, fields)
-    by_file = heads.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("line_no", "delimiter", "columns", "fields"))).alias("heads"))
-    joined = lines.select("file_id", F.col("line_no").cast("int").alias("line_no"), "line").join(by_file, "file_id")
     raw = T.StructType(
         [T.StructField("file_id", lines.schema["file_id"].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("header_line", T.IntegerType())]
         + [T.StructField(f, T.StringType()) for f in names]
-        + [T.StructField("rescued", T.StringType()), T.StructField("states", T.ArrayType(T.IntegerType()))]
+        + [T.StructField("rescued", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for b in batches:
             out = []
-            for i, n, s, known in zip(b.file_id, b.line_no, b.line, b.heads):
-                known = [{k: (list(v) if k in ("columns", "fields") else v) for k, v in dict(h).items()} for h in known]
-                if any(h["line_no"] == n for h in known):
-                    continue
-                got = lay_out(s if isinstance(s, str) else None, n, known)
-                if got is None:
+            for i, n, x in _read(b, held, strict):
+                if isinstance(x, dict):
                     continue
-                head, values = got
-                if strict and len(values) != len(head["columns"]):
-                    raise ValueError(f"file {i}, line {n}: {len(values)} cells under a header of {len(head['columns'])}")
-                row: dict[str, str] = {}
-                unknown, uncast, states = {}, {}, []
-                for c, f, v in zip(head["columns"], head["fields"], values):
-                    v = v.strip(BLANKS)
-                    if not v:
-                        states.append(0)
-                        continue
-                    extra = 4 * (WHOLE.fullmatch(v) is not None) + 8 * is_json(v)
-                    if f is None:
-                        unknown[c] = v
-                        states.append(1 + extra)
-                    elif form(v, kinds[f]):
-                        row[f] = v
-                        states.append(1 + extra)
-                    else:
-                        uncast[f] = v
-                        states.append(2 + extra)
-                kept = {k: x for k, x in (("unknown", unknown), ("uncast", uncast), ("extra", values[len(head["columns"]) :])) if x}
-                out.append((i, n, head["line_no"], *(row.get(f) for f in names), json.dumps(kept, ensure_ascii=False) if kept else None, states))
+                row, unknown, uncast = {}, {}, {}
+                for c, f, v in zip(x.header["columns"], x.header["fields"], x.values):
+                    if v:
+                        (unknown if f is None else row if form(v, kinds[f]) else uncast)[c if f is None else f] = v
+                kept = {k: y for k, y in (("unknown", unknown), ("uncast", uncast), ("extra", x.extra)) if y}
+                out.append((i, n, x.header["line_no"], *(row.get(f) for f in names), json.dumps(kept, ensure_ascii=False) if kept else None))
             yield pd.DataFrame(out, columns=raw.names)
 
     typed = [typed_value(F.col(f"`{f}`"), kinds[f]).alias(f) for f in names]
-    return joined.mapInPandas(run, raw).select("file_id", "line_no", "header_line", *typed, "rescued", "states")
+    return _headed(lines, fields).mapInPandas(run, raw).select("file_id", "line_no", "header_line", *typed, "rescued")
 
 
 def typed_value(c: Column, kind: str) -> Column:
@@ -317,26 +334,52 @@ def drift(lines: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
 
     Distinct rows.  A header with no rows, or a field with no value under it, is
     never ``retyped``.  A ``string`` field is, if all its values are whole
-    numbers or all are JSON; another one, if no value has its form.
+    numbers or all are JSON; another one, if no value has its form. Values are
+    counted within each task; what is shuffled is a row for each header and field.
     """
+    kinds = dict(fields)
     order = [f for f, _ in fields]
-    heads = headers(lines, fields)
-    cols = heads.select("file_id", "line_no", F.posexplode(F.arrays_zip("columns", "fields")).alias("pos", "c")).select("file_id", "line_no", "pos", F.col("c.columns").alias("column"), F.col("c.fields").alias("field"))
-    named = cols.where(F.col("field").isNull() | (F.col("column") != F.col("field"))).select(
-        "file_id", "line_no", F.when(F.col("field").isNull(), "added").otherwise("renamed").alias("change"), F.coalesce("field", "column").alias("field")
-    ).where(F.col("field") != "")
-    removed = heads.select("file_id", "line_no", F.lit("removed").alias("change"), F.explode(F.array_except(F.array(*map(F.lit, order)), F.array_compact("fields"))).alias("field"))
-    # States count in the map side first; a header has as many groups as columns.
-    s = F.col("state")
-    counts = (
-        ingest(lines, fields).select("file_id", F.col("header_line").alias("line_no"), F.posexplode("states").alias("pos", "state"))
-        .where(s > 0).groupBy("file_id", "line_no", "pos")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(s.bitwiseAND(2) / 2).alias("bad"), F.sum(s.bitwiseAND(4) / 4).alias("whole"), F.sum(s.bitwiseAND(8) / 8).alias("json"))
-    )
-    kind = F.create_map(*[F.lit(x) for f in fields for x in f])
-    retyped = (
-        cols.where(F.col("field").isNotNull()).join(counts, ["file_id", "line_no", "pos"])
-        .where(F.when(kind[F.col("field")] == "string", (F.col("whole") == F.col("n")) | (F.col("json") == F.col("n"))).otherwise(F.col("bad") == F.col("n")))
-        .select("file_id", "line_no", F.lit("retyped").alias("change"), "field")
-    )
-    return named.unionByName(removed).unionByName(retyped).distinct()
+    schema = T.StructType(
+        [T.StructField("file_id", lines.schema["file_id"].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("change", T.StringType()), T.StructField("field", T.StringType())]
+        + [T.StructField(c, T.LongType()) for c in ("n", "bad", "whole", "json")]
+    )
+
+    def changes(head: dict) -> Iterator[tuple[str, str]]:
+        for c, f in zip(head["columns"], head["fields"]):
+            if f is None and c:
+                yield "added", c
+            elif f and f != c:
+                yield "renamed", f
+        yield from (("removed", f) for f in order if f not in head["fields"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        counts: dict[tuple, list[int]] = {}
+
+        def told() -> pd.DataFrame:
+            rows = [(i, n, "retyped", f, *c) for (i, n, f), c in counts.items()]
+            counts.clear()
+            return pd.DataFrame(rows, columns=schema.names)
+
+        for b in batches:
+            out = []
+            for i, n, x in _read(b, held):
+                if isinstance(x, dict):
+                    out += [(i, n, change, f, 0, 0, 0, 0) for change, f in changes(x)]
+                    continue
+                for f, v in zip(x.header["fields"], x.values):
+                    if f and v:
+                        c = counts.setdefault((i, x.header["line_no"], f), [0, 0, 0, 0])
+                        c[0] += 1
+                        c[1] += not form(v, kinds[f])
+                        c[2] += WHOLE.fullmatch(v) is not None
+                        c[3] += is_json(v)
+            yield pd.DataFrame(out, columns=schema.names)
+            if len(counts) > 100_000:
+                yield told()
+        yield told()
+
+    kind = F.create_map(*[F.lit(x) for f in fields for x in f])[F.col("field")]
+    added = _headed(lines, fields).mapInPandas(run, schema).groupBy("file_id", "line_no", "change", "field").agg(*(F.sum(c).alias(c) for c in ("n", "bad", "whole", "json")))
+    retyped = F.when(kind == "string", (F.col("whole") == F.col("n")) | (F.col("json") == F.col("n"))).otherwise(F.col("bad") == F.col("n"))
+    return added.where((F.col("change") != "retyped") | retyped).select("file_id", "line_no", "change", "field")

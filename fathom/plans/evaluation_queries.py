@@ -265,7 +265,7 @@ def rr_pivot(spark: SparkSession, d: str) -> DataFrame:
 def appended_csv(spark: SparkSession, d: str) -> DataFrame:
     from fathom.plans.registry import target_fields
 
-    return schema_drift.ingest(load(spark, d, "evaluation_summary"), target_fields(spark, d)).drop("states")
+    return schema_drift.ingest(load(spark, d, "evaluation_summary"), target_fields(spark, d))
 
 
 def collect_runs(spark: SparkSession, d: str) -> DataFrame:

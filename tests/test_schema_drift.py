@@ -59,3 +59,11 @@ def test_names(name, field):
 
 def test_exact_name_goes_first():
     assert s.Names(["method"]).resolve(["engine", "method"]) == [None, "method"]
+
+
+def test_no_value_ends_the_job(spark):
+    long, deep = "x" * 200_000, "[" * 100_000
+    got = s.ingest(lines(spark, ["rank,method,top_k,flag,at", f"1,{long},{long},true,2024-01-01", f"2,{deep},3,{deep},", "3,a\rb,4,\0,\r"]), FIELDS).orderBy("line_no").collect()
+    assert got[0].method == long and json.loads(got[0].rescued) == {"uncast": {"top_k": long}}
+    assert got[1].method == deep and json.loads(got[1].rescued) == {"uncast": {"flag": deep}} and got[2].method == "a b" and got[2].top_k == 4
+    assert changes(spark, ["rank,method,top_k,flag,at", f"1,{deep},3,true,2024-01-01"]) == []
