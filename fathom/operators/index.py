@@ -62,17 +62,20 @@ def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B, frequency: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank (int) of the best ``k`` texts of each query.
 
-    ``post`` is that of ``term_postings``, for these terms or more, ``stats`` that of ``corpus_stats``. A query's term counts as often as it occurs in the query. Ties go by the first
-    query term found, then by key. A query without known terms, and any query with
-    k of 0 or less, has no rows. Only postings of query terms are joined; texts are
-    ranked within each query after partial ranking (WindowGroupLimit).
+    ``post`` is that of ``term_postings``, for these terms or more, ``stats`` that of
+    ``corpus_stats``, ``frequency`` (term, df) that of ``term_stats``, counted here if
+    it isn't given. A query's term counts as often as it occurs in the query. Ties go
+    by the first query term found, then by key. A query without known terms, and any
+    query with k of 0 or less, has no rows. Only postings of query terms are joined;
+    texts are ranked within each query after partial ranking (WindowGroupLimit).
     """
     # The query terms are those of the queries at hand; the join picks its own strategy by their size.
     # All columns are read, so that this is the same exchange as that of the postings and is used twice.
-    frequency = post.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
+    if frequency is None:
+        frequency = post.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
     # Statistics are one row.
     scored = post.join(terms.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
@@ -99,16 +102,21 @@ def field_lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, sum((F.size(t.unicode_tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("dl"))
 
 
-def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None) -> DataFrame:
+def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None, frequency: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank: one score over weighted fields.
 
+    ``post`` is that of ``field_postings``, or has its fields already merged into ``f``.
+
     A term's frequency is the weighted sum over fields; its rarity counts rows that
     have it in any field and is at least 1e-6; how often the query has it does not
     matter. The score is positive, the best first; ties go by key.
     """
-    weight = F.create_map(*[F.lit(x) for f in (weights or FIELD_WEIGHTS).items() for x in f])
-    merged = post.groupBy("term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"), F.first("dl").alias("dl"))
-    frequency = merged.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df"))
+    merged = post
+    if "f" not in post.columns:
+        weight = F.create_map(*[F.lit(x) for f in (weights or FIELD_WEIGHTS).items() for x in f])
+        merged = post.groupBy("term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"), F.first("dl").alias("dl"))
+    if frequency is None:
+        frequency = merged.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df"))
     asked = terms.select(query_id, "term").distinct()
     scored = merged.join(asked.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
     rare = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

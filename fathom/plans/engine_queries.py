@@ -1,23 +1,27 @@
-"""Queries over the runs of the engines themselves, for both texts of a form: its search text and its stated need.
+"""Queries over the runs of all engines, for both texts of a form: its search text and its stated need; and their SQL.
 
-The SQL of the queries of the same names without ``engine_`` fixes other lists: those
-shown in the forms, or those of the two word indexes. Here each engine searches all
-chunks for every form whose id is divisible by 20; the dense ones use the hashing encoder.
+Each engine searches all chunks for every form whose id is divisible by 20. Words
+come from the stored indexes, vectors from the stored vectors; the encoder of both
+dense engines is the hashing one, which SQL can say as well.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
-from fathom.operators import batch, evaluation, fusion, vectors
-from fathom.plans.evaluation_queries import _qrels
-from fathom.plans.text_queries import corpus_fts
-from fathom.tables import load, spread
+from fathom.operators import evaluation, fusion, index, stored, vectors
+from fathom.plans import search_queries as words
+from fathom.plans.evaluation_queries import JUDGED, SUMMARY, _qrels, metrics_sql
+from fathom.tables import load
 
 INPUTS = ["query", "information_need"]
-K, DEEP = 20, 3
+TEXTS = ["query_text", "information_need"]
+#: Results of a run, of a search, of a weight sweep; how many times as many a fused method takes from its engines; what the dense bucket fetches.
+K, TOP, SWEPT, DEEP, FETCHED = 20, 10, 100, 3, 100
 #: The engines that a fused method takes its lists from.
 FUSED = {"hybrid": ["bm25", "dense"], "hybrid_e5": ["bm25", "dense_e5"]}
 
@@ -25,59 +29,52 @@ FUSED = {"hybrid": ["bm25", "dense"], "hybrid_e5": ["bm25", "dense_e5"]}
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """query_id (twice the form's id, and one more for its need), query."""
     f = load(spark, d, "submissions").where("id % 20 = 0")
-    texts = F.explode(F.array(*[F.struct((2 * F.col("id") + n).alias("query_id"), F.col(c).alias("query")) for n, c in enumerate(("query_text", "information_need"))]))
+    texts = F.explode(F.array(*[F.struct((2 * F.col("id") + n).alias("query_id"), F.col(c).alias("query")) for n, c in enumerate(TEXTS)]))
     return f.select(texts.alias("x")).select("x.*").where(F.trim("query") != "")
 
 
-def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "chunk_metadata")
-    title = fusion.result_title(F.from_json("metadata_json", "map<string,string>"), F.col("source_path"))
-    c = c.select(F.col("chunk_id").alias("key"), t.plain_doc_id(title).alias("doc"), "text", (F.col("chunk_type") == "title").alias("title"), F.lit(0).alias("part"))
-    return spread(c.withColumn("title", F.coalesce("title", F.lit(False))))
-
-
 def _words(spark: SparkSession, d: str, method: str, k: int) -> DataFrame:
-    c = _chunks(spark, d)
-    if method == "sqlite_fts":
-        c = c.join(corpus_fts(spark, d).withColumnRenamed("chunk_id", "key"), "key")
-    return batch.lists(c, _asked(spark, d), k, formula=batch.FIELDS if method == "sqlite_fts" else batch.BM25)[0].select("query_id", "key", "doc", "score", "rank")
+    terms = index.query_terms(_asked(spark, d), "query_id", "query")
+    return (words._weighted_of if method == "sqlite_fts" else words._bm25_of)(spark, d, terms, k)
 
 
 def _dense(spark: SparkSession, d: str, method: str, k: int) -> DataFrame:
     """Nearest chunks that have a token; the prefixes of queries and passages where the model wants them."""
-    c = _chunks(spark, d).where(F.size(t.tokens(F.col("text"))) > 0)
     e5 = method == "dense_e5"
-    rows = vectors.index_rows(c, "key", "text", "e5_large_instruct" if e5 else "swedish_bert")
+    rows = stored.vector_index(spark, words.chunk_table(d), "chunk_id", "text", "e5_large_instruct" if e5 else "swedish_bert")
     q = _asked(spark, d)
     q = q.withColumn("query", vectors.with_prefix(F.col("query"), "query: ")) if e5 else q
-    hits = vectors.search(vectors.embed(q, "query_id", "query"), rows, k, key="key")
-    return hits.join(c.select("key", "doc"), "key").select("query_id", "key", "doc", "score", "rank")
+    return vectors.search(vectors.embed(q, "query_id", "query"), rows, k, key="chunk_id")
 
 
 def _hits(spark: SparkSession, d: str, methods: list[str], k: int) -> DataFrame:
-    """query_id, key, doc, score, rank, method: the best ``k`` chunks of each engine."""
-    out = None
-    for m in methods:
-        one = (_dense if m.startswith("dense") else _words)(spark, d, m, k).withColumn("method", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """query_id, chunk_id, score, rank, method: the best ``k`` chunks of each engine."""
+    lists = [(_dense if m.startswith("dense") else _words)(spark, d, m, k).withColumn("method", F.lit(m)) for m in methods]
+    return reduce(DataFrame.unionByName, lists)
+
+
+def _named(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    """The hits with title and doc; the hits are few and their chunks alone are looked up."""
+    title = fusion.result_title(F.from_json("metadata_json", "map<string,string>"), F.col("source_path"))
+    c = load(spark, d, "chunk_metadata").select("chunk_id", title.alias("title")).withColumn("doc", t.plain_doc_id(F.col("title")))
+    return hits.join(c, "chunk_id")
 
 
 def _runs(spark: SparkSession, d: str, methods: list[str], k: int = K) -> DataFrame:
-    """query_id, doc_id, score, rank, method: documents of the best ``k`` chunks; fused ones of the best 3k of both engines, k kept.
+    """query_id, doc_id, score, rank, method, title: documents of the best ``k`` chunks; fused ones of the best 3k of both engines, k kept.
 
     The overfetch comes before the reduction to documents.
     """
     fused = {m: FUSED[m] for m in methods if m in FUSED}
     engines = [m for m in fusion.METHODS if m in methods and m not in fused or any(m in x for x in fused.values())]
-    hits = _hits(spark, d, engines, k * (DEEP if fused else 1))
+    hits = _named(spark, d, _hits(spark, d, engines, k * (DEEP if fused else 1)))
     goes = [F.when(F.col("rank") <= k, F.col("method")) if m not in fused else F.when(F.col("method").isin(fused[m]), F.lit(m)) for m in [*fused, ""]]
     to = hits.withColumn("target", F.explode(F.array_compact(F.array(*goes)))).where(F.col("target").isin(methods) & (F.coalesce("doc", F.lit("")) != ""))
-    best = to.groupBy("target", "method", "query_id", "doc").agg(F.max("score").alias("score"))
-    listed = evaluation.ranked(best.withColumnRenamed("doc", "doc_id"), ["target", "method", "query_id"])
+    best = to.groupBy("target", "method", "query_id", F.col("doc").alias("doc_id")).agg(F.max("score").alias("score"), F.min("title").alias("title"))
+    listed = evaluation.ranked(best, ["target", "method", "query_id"])
     single = F.col("target") == F.col("method")
     score = F.round(F.sum(F.when(single, F.col("score")).otherwise(1.0 / (fusion.RRF + F.col("rank")))), 9)
-    out = listed.groupBy("target", "query_id", "doc_id").agg(score.alias("score")).withColumnRenamed("target", "method")
+    out = listed.groupBy("target", "query_id", "doc_id").agg(score.alias("score"), F.min("title").alias("title")).withColumnRenamed("target", "method")
     return evaluation.ranked(out, ["method", "query_id"]).where(F.col("rank") <= k)
 
 
@@ -87,91 +84,134 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return q.withColumn("query_id", F.explode(F.array(2 * F.col("query_id"), 2 * F.col("query_id") + 1)))
 
 
+def _input(n: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, INPUTS)), (n + 1).cast("int")).alias("query_input")
+
+
 def _told(df: DataFrame) -> DataFrame:
     """The form's id as query_id, and which of its texts was asked."""
-    asked = F.element_at(F.array(*map(F.lit, INPUTS)), (F.col("query_id") % 2 + 1).cast("int"))
-    return df.withColumn("query_input", asked).withColumn("query_id", F.floor(F.col("query_id") / 2))
+    return df.withColumn("query_input", _input(F.col("query_id") % 2)).withColumn("query_id", F.floor(F.col("query_id") / 2))
+
 
+def _settings(spark: SparkSession, name: str, values: list) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], f"{name} {'double' if isinstance(values[0], float) else 'string'}")
 
-def engine_grouped_metrics(spark: SparkSession, d: str) -> DataFrame:
+
+def grouped_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics of every method for both texts of the forms."""
-    methods = spark.createDataFrame([(m,) for m in fusion.METHODS], "method string")
-    s = evaluation.per_query(_runs(spark, d, fusion.METHODS), _judged(spark, d), by=["method"], settings=methods)
+    s = evaluation.per_query(_runs(spark, d, fusion.METHODS), _judged(spark, d), by=["method"], settings=_settings(spark, "method", fusion.METHODS))
     return evaluation.summary(_told(s), ["method", "query_input"])
 
 
-def engine_hit_matrix(spark: SparkSession, d: str) -> DataFrame:
+def hit_matrix(spark: SparkSession, d: str) -> DataFrame:
     return _told(evaluation.hit_matrix(_runs(spark, d, fusion.METHODS), _judged(spark, d), fusion.METHODS))
 
 
-def engine_total_hits(spark: SparkSession, d: str) -> DataFrame:
+def total_hits(spark: SparkSession, d: str) -> DataFrame:
     r = _runs(spark, d, fusion.METHODS).withColumn("label", F.concat_ws("|", "method", (F.col("query_id") % 2).cast("string")))
     h = evaluation.total_hits(r, _judged(spark, d), "label")
-    asked = F.element_at(F.array(*map(F.lit, INPUTS)), (F.split_part("label", F.lit("|"), F.lit(2)).cast("int") + 1))
-    return h.select(F.split_part("label", F.lit("|"), F.lit(1)).alias("method"), asked.alias("query_input"), "hits", "queries", "hit_rate")
+    return h.select(F.split_part("label", F.lit("|"), F.lit(1)).alias("method"), _input(F.split_part("label", F.lit("|"), F.lit(2)).cast("int")), "hits", "queries", "hit_rate")
 
 
-def engine_weight_sweep(spark: SparkSession, d: str) -> DataFrame:
+def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
     """bm25 and dense_e5 searched once, their documents fused for every weight: nDCG@10, RR@100, Recall@20."""
-    r = _runs(spark, d, ["bm25", "dense_e5"], 100)
-    fused = evaluation.weight_sweep(r.where("method = 'bm25'"), r.where("method = 'dense_e5'"))
-    weights = spark.createDataFrame([(w,) for w in evaluation.WEIGHTS], "weight double")
-    s = evaluation.per_query(fused, _judged(spark, d), k=100, k_recall=20, by=["weight"], settings=weights)
+    r = _runs(spark, d, ["bm25", "dense_e5"], SWEPT)
+    fused = evaluation.weight_sweep(r.where("method = 'bm25'"), r.where("method = 'dense_e5'"), k=SWEPT)
+    s = evaluation.per_query(fused, _judged(spark, d), k=SWEPT, k_recall=20, by=["weight"], settings=_settings(spark, "weight", evaluation.WEIGHTS))
     return evaluation.summary(_told(s), ["weight", "query_input"])
 
 
-def engine_mean_pool(spark: SparkSession, d: str) -> DataFrame:
-    """The mean over all vectors of a label; nothing is masked."""
-    e = load(spark, d, "embeddings").withColumn("mask", F.lit(1))
-    return vectors.mean_pool(e, "label", "embedding", "mask").select("label", "dim", F.round("value", 6).alias("value"))
-
-
-TOP, FETCHED = 10, 100
-
-
-def engine_search_all_methods(spark: SparkSession, d: str) -> DataFrame:
+def search_all_methods(spark: SparkSession, d: str) -> DataFrame:
     """The best documents of the four engines, and of both fusions of words and vectors."""
     return _told(_runs(spark, d, fusion.METHODS, TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "rank", "method")
 
 
-def engine_pool_results(spark: SparkSession, d: str) -> DataFrame:
-    r = _runs(spark, d, fusion.METHODS, TOP).select("query_id", F.col("doc_id").alias("doc"), "method", "rank", F.upper("doc_id").alias("title"))
+def pool_results(spark: SparkSession, d: str) -> DataFrame:
+    r = _runs(spark, d, fusion.METHODS, TOP).select("query_id", F.col("doc_id").alias("doc"), "method", "rank", "title")
     return _told(fusion.pool(r, "query_id", "doc"))
 
 
-def engine_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     """Words and vectors: both engines' best 3k chunks, each reduced to documents, then fused."""
     return _told(_runs(spark, d, ["hybrid"], TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "score", "rank")
 
 
-def engine_rrf_documents(spark: SparkSession, d: str) -> DataFrame:
+def rrf_documents(spark: SparkSession, d: str) -> DataFrame:
     return _told(_runs(spark, d, ["hybrid_e5"], TOP)).select("query_id", "query_input", F.col("doc_id").alias("doc"), "score", "rank")
 
 
-def engine_rrf_chunks(spark: SparkSession, d: str) -> DataFrame:
+def rrf_chunks(spark: SparkSession, d: str) -> DataFrame:
     lists = _hits(spark, d, ["bm25", "dense_e5"], DEEP * TOP).withColumn("list_no", F.when(F.col("method") == "bm25", 1).otherwise(2))
-    fused = fusion.reciprocal_ranks(lists, ["key"], F.when(F.col("list_no") == 1, 0.7).otherwise(0.3), TOP, ["query_id"])
-    return _told(fused).select("query_id", "query_input", F.col("key").alias("chunk_id"), "score", "rank")
+    fused = fusion.reciprocal_ranks(lists, ["chunk_id"], F.when(F.col("list_no") == 1, 0.7).otherwise(0.3), TOP, ["query_id"])
+    return _told(fused).select("query_id", "query_input", "chunk_id", "score", "rank")
 
 
-def engine_eval_buckets(spark: SparkSession, d: str) -> DataFrame:
+def eval_buckets(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of bm25, dense_e5 and hybrid_e5 for both texts of the forms: six buckets.
 
     bm25 has its chunks as they are; dense_e5 has the best chunk of each document of
     its best 100; hybrid_e5 fuses the best 3k of both, the dense side reduced so.
     """
-    words = _words(spark, d, "bm25", DEEP * TOP)
-    dense = _dense(spark, d, "dense_e5", FETCHED)
+    lists = _words(spark, d, "bm25", DEEP * TOP)
+    dense = _named(spark, d, _dense(spark, d, "dense_e5", FETCHED))
     one = lambda hits: fusion.best_per_document(hits, "doc", group=["query_id"]).drop("rank").withColumnRenamed("new_rank", "rank")
-    cols = ["query_id", "key", "score", "rank"]
-    both = words.select(cols).withColumn("list_no", F.lit(1)).unionByName(one(dense.where(F.col("rank") <= DEEP * TOP)).select(cols).withColumn("list_no", F.lit(2)))
-    parts = {"bm25": words, "dense_e5": one(dense), "hybrid_e5": fusion.reciprocal_ranks(both, ["key"], F.lit(1.0), TOP, ["query_id"])}
-    out = None
-    for m, hits in parts.items():
-        x = hits.where(F.col("rank") <= TOP).select(cols).withColumn("method", F.lit(m))
-        out = x if out is None else out.unionByName(x)
-    return _told(out).select("query_id", "query_input", "method", F.col("key").alias("chunk_id"), "score", "rank")
-
-
-QUERIES = {f.__name__: f for f in (engine_grouped_metrics, engine_hit_matrix, engine_total_hits, engine_weight_sweep, engine_mean_pool, engine_search_all_methods, engine_pool_results, engine_hybrid_topk, engine_rrf_documents, engine_rrf_chunks, engine_eval_buckets)}
-ORACLE: dict[str, str] = {}
+    cols = ["query_id", "chunk_id", "score", "rank"]
+    both = lists.select(cols).withColumn("list_no", F.lit(1)).unionByName(one(dense.where(F.col("rank") <= DEEP * TOP)).select(cols).withColumn("list_no", F.lit(2)))
+    parts = {"bm25": lists, "dense_e5": one(dense), "hybrid_e5": fusion.reciprocal_ranks(both, ["chunk_id"], F.lit(1.0), TOP, ["query_id"])}
+    out = reduce(DataFrame.unionByName, (x.where(F.col("rank") <= TOP).select(cols).withColumn("method", F.lit(m)) for m, x in parts.items()))
+    return _told(out).select("query_id", "query_input", "method", "chunk_id", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (grouped_metrics, hit_matrix, total_hits, weight_sweep, search_all_methods, pool_results, hybrid_topk, rrf_documents, rrf_chunks, eval_buckets)}
+
+ASKED = "select 2 * id query_id, query_text q from submissions where id % 20 = 0 and trim(query_text, ' ') <> '' union all select 2 * id + 1, information_need from submissions where id % 20 = 0 and trim(information_need, ' ') <> ''"
+
+
+def dense_sql(name: str, k: int, e5: bool) -> str:
+    q, c = (words.prefixed("q", "query"), words.prefixed("text", "passage")) if e5 else ("q", "text")
+    n = f"{name}_"
+    unit = "(select id, k, x::double / greatest(sqrt(sum(x::double * x::double) over (partition by id)), 1e-12) u from {} where x is not null)"
+    return f"""{words.HASHED.format(n + "q", f"select query_id id, {q} x from ({ASKED})")}, {words.HASHED.format(n + "v", f"select chunk_id id, {c} x from chunk_metadata where {words.HAS_WORD}")},
+{n}d as (select a.id query_id, b.id chunk_id, sum(a.u * b.u) s from {unit.format(n + "q")} a join {unit.format(n + "v")} b using (k) group by 1, 2),
+{n}s as (select query_id, chunk_id, round(coalesce(s, 0), 5) + 0.0 score from (select query_id from ({ASKED})) cross join (select chunk_id from chunk_metadata where {words.HAS_WORD}) left join {n}d using (query_id, chunk_id)),
+{name} as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rank from {n}s qualify rank <= {k})"""
+
+
+def hits_sql(k: int) -> str:
+    return f"{words.POST}, {words.bm25_sql(ASKED, k)}, {words.fts_sql(ASKED, k)}, {dense_sql('dn', k, False)}, {dense_sql('de', k, True)}"
+
+
+def runs_sql(k: int, deep: int = DEEP) -> str:
+    goes = [(m, m, k) for m in fusion.METHODS if m not in FUSED] + [(f, m, k * deep) for f, ms in FUSED.items() for m in ms]
+    return f"""{hits_sql(k * deep)}, hits as (select *, 'bm25' as method from (select query_id, chunk_id, score, rank from bm) union all select *, 'sqlite_fts' from fts union all select *, 'dense' from dn union all select *, 'dense_e5' from de),
+named as (select chunk_id, {words.TITLE} title, {words._doc_sql(words.TITLE)} doc_id from chunk_metadata),
+best as (select target, method, query_id, doc_id, max(score) score, min(title) title from hits join (values {", ".join(map(str, goes))}) g(target, method, most) using (method) join named using (chunk_id) where rank <= most and doc_id <> '' group by 1, 2, 3, 4),
+lst as (select *, row_number() over (partition by target, method, query_id order by score desc, doc_id) r from best),
+fused as (select target as method, query_id, doc_id, round(sum(case when target = method then score else 1.0::double / (60 + r) end), 9) score, min(title) title from lst group by 1, 2, 3),
+runs as (select *, row_number() over (partition by method, query_id order by score desc, doc_id) rank from fused qualify rank <= {k})"""
+
+
+JUDGED_TWICE = f"{JUDGED}, judged as (select unnest([2 * query_id, 2 * query_id + 1]) query_id, doc_id, relevance from qrels where query_id % 20 = 0)"
+TOLD = "query_id // 2 as query_id, case when query_id % 2 = 0 then 'query' else 'information_need' end as query_input"
+_METHODS = f"select unnest({fusion.METHODS}) as method"
+_GOLD = "g as (select distinct query_id, doc_id from judged where relevance > 0)"
+_ONE = "qualify row_number() over (partition by query_id, doc_id order by score desc, rank) = 1"
+_CHUNKS_FUSED = "(select query_id, chunk_id, round(sum(w / (60 + rank)), 9) score, min((l, rank)) fst from {} group by 1, 2)"
+_FUSED_RANK = "row_number() over (partition by query_id order by score desc, fst, chunk_id) rank"
+ORACLE = {
+    "grouped_metrics": f"with {JUDGED_TWICE}, {runs_sql(K)}, {metrics_sql('runs', 'method', qrels='judged', settings=_METHODS)} select method, {TOLD.split(', ', 1)[1]}, {SUMMARY} from sc group by 1, 2",
+    "hit_matrix": f"with {JUDGED_TWICE}, {runs_sql(K)}, {_GOLD}, h as (select distinct query_id, method from runs join g using (query_id, doc_id)) select {TOLD}, {', '.join(f"coalesce(max(1) filter (method = '{m}'), 0) as {m}" for m in fusion.METHODS)} from (select distinct query_id from judged) j left join h using (query_id) group by j.query_id",
+    "total_hits": f"with {JUDGED_TWICE}, {runs_sql(K)}, {_GOLD}, p as (select method, r.query_id, count(g.doc_id) h from runs r left join g on g.query_id = r.query_id and g.doc_id = r.doc_id group by 1, 2) select method, {TOLD.split(', ', 1)[1]}, sum(h)::bigint as hits, count(*) as queries, round(avg((h > 0)::int), 6) as hit_rate from p group by 1, 2",
+    "weight_sweep": f"with {JUDGED_TWICE}, {runs_sql(SWEPT, 1)}, ws as (select unnest(range(11)) / 10.0::double weight), f as (select weight, query_id, doc_id, round(sum((case when method = 'bm25' then weight else 1 - weight end) / (60 + rank)), 9) score from runs, ws where method in ('bm25', 'dense_e5') group by all), {metrics_sql('f', 'weight', SWEPT, 20, 'judged', 'select weight from ws')} select weight, {TOLD.split(', ', 1)[1]}, {SUMMARY} from sc group by 1, 2",
+    "search_all_methods": f"with {runs_sql(TOP)} select {TOLD}, doc_id as doc, rank, method from runs",
+    "pool_results": f"with {runs_sql(TOP)}, p as (select query_id, doc_id, method, rank, title, list_position({fusion.METHODS}, method) no from runs) select {TOLD}, doc_id as doc, string_agg(method, '|' order by no) as pooled_from, string_agg(method || ':' || rank, '|' order by no) as ranks, count(*) as n_methods, arg_min(title, no) as first_title from p group by query_id, doc_id",
+    "hybrid_topk": f"with {runs_sql(TOP)} select {TOLD}, doc_id as doc, score, rank from runs where method = 'hybrid'",
+    "rrf_documents": f"with {runs_sql(TOP)} select {TOLD}, doc_id as doc, score, rank from runs where method = 'hybrid_e5'",
+    "rrf_chunks": f"with {hits_sql(DEEP * TOP)}, a as {_CHUNKS_FUSED.format("(select query_id, chunk_id, rank, 0.7::double w, 1 l from bm union all select query_id, chunk_id, rank, 0.3::double, 2 from de)")}, b as (select *, {_FUSED_RANK} from a qualify rank <= {TOP}) select {TOLD}, chunk_id, score, rank from b",
+    "eval_buckets": f"""with {hits_sql(FETCHED)}, named as (select chunk_id, {words._doc_sql(words.TITLE)} doc_id from chunk_metadata),
+o as (select * from de join named using (chunk_id) where doc_id <> '' {_ONE}), o3 as (select * from de join named using (chunk_id) where doc_id <> '' and rank <= {DEEP * TOP} {_ONE}),
+r as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, rank) rank from o), r3 as (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, rank) rank from o3),
+h as {_CHUNKS_FUSED.format(f"(select query_id, chunk_id, rank, 1.0::double w, 1 l from bm where rank <= {DEEP * TOP} union all select query_id, chunk_id, rank, 1.0::double, 2 from r3)")},
+x as (select query_id, 'bm25' as method, chunk_id, score, rank from bm union all select query_id, 'dense_e5', chunk_id, score, rank from r union all select query_id, 'hybrid_e5', chunk_id, score, {_FUSED_RANK} from h)
+select {TOLD}, method, chunk_id, score, rank from x where rank <= {TOP}""",
+}

@@ -36,12 +36,6 @@ def _run(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.run_table(r)
 
 
-def _by_method(spark: SparkSession, d: str) -> DataFrame:
-    r = _run(spark, d)
-    odd = r.where("query_id % 3 <> 0").withColumn("method", F.lit("bm25"))
-    return odd.unionByName(r.withColumn("score", 1 - F.col("score")).withColumn("method", F.lit("dense")))
-
-
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.per_query(_run(spark, d), _qrels(spark, d))
 
@@ -124,10 +118,6 @@ def macro_summary(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.macro(_by_type(spark, d))
 
 
-def grouped_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.summary(evaluation.per_query(_by_method(spark, d), _qrels(spark, d), by=["method"]), ["method"])
-
-
 def ndcg_per_query(spark: SparkSession, d: str) -> DataFrame:
     q = load(spark, d, "submissions").select(F.col("id").alias("query_id"), "information_need")
     s = _scores(spark, d).join(q, "query_id")
@@ -185,14 +175,6 @@ def sweep_grid(spark: SparkSession, d: str) -> DataFrame:
     return F.broadcast(grid).join(got, "view", "left").drop("view", "query_input")
 
 
-def weight_sweep(spark: SparkSession, d: str) -> DataFrame:
-    run = _by_method(spark, d)
-    first = evaluation.ranked(run.where("method = 'bm25'"), ["query_id"])
-    second = evaluation.ranked(run.where("method = 'dense'"), ["query_id"])
-    fused = evaluation.weight_sweep(first, second)
-    return evaluation.summary(evaluation.per_query(fused, _qrels(spark, d), k=100, k_recall=20, by=["weight"]), ["weight"])
-
-
 def _compare(spark: SparkSession, d: str, units: DataFrame, labels: list[str]) -> DataFrame:
     """setting, query_input and the metrics of bm25 (RR@100, nDCG@10, Recall@20) for both texts of the forms; ``units`` has a part for each label."""
     got, size = _evaluated(spark, d, units, [(n, n, True) for n in range(len(labels))], list(TEXTS), 100, 100, 20)
@@ -221,14 +203,6 @@ def relevant_sets(spark: SparkSession, d: str) -> DataFrame:
     return r.select("query_type", "query_id", "docs", F.col("n").cast("long").alias("n"))
 
 
-def hit_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.hit_matrix(_by_method(spark, d), _qrels(spark, d), ["bm25", "dense"])
-
-
-def total_hits(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.total_hits(_by_method(spark, d), _qrels(spark, d), "method")
-
-
 def latest_run(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.latest(load(spark, d, "events"), "event_type", "ts").select("event_type", "event_id", "value")
 
@@ -278,7 +252,7 @@ def collect_runs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (submissions_scan, submissions_to_qrels, submission_audit, exclude_submissions, relevant_chunks, sheet_unpivot, load_qrels, clean_qrels, qrels_variants, run_table, rr_at_k, ndcg_at_k, recall_at_k, average_rank, macro_summary, grouped_metrics, ndcg_per_query, quantile_bins, sweep_grid, weight_sweep, chunking_compare, segmentation_compare, relevant_sets, hit_matrix, total_hits, latest_run, run_labels, ordered_methods, coerce_types, dedupe_runs, top_runs, rr_pivot, appended_csv, collect_runs)
+    for f in (submissions_scan, submissions_to_qrels, submission_audit, exclude_submissions, relevant_chunks, sheet_unpivot, load_qrels, clean_qrels, qrels_variants, run_table, rr_at_k, ndcg_at_k, recall_at_k, average_rank, macro_summary, ndcg_per_query, quantile_bins, sweep_grid, chunking_compare, segmentation_compare, relevant_sets, latest_run, run_labels, ordered_methods, coerce_types, dedupe_runs, top_runs, rr_pivot, appended_csv, collect_runs)
 }
 
 _J = "{\"query\": \"VARCHAR\", \"results\": [{\"title\": \"VARCHAR\", \"source_path\": \"VARCHAR\", \"url\": \"VARCHAR\", \"metadata\": {\"title\": \"VARCHAR\"}, \"assessment\": {\"rating\": \"VARCHAR\", \"relevant_scope\": \"VARCHAR\", \"relevant_section\": \"VARCHAR\", \"comment\": \"VARCHAR\"}}]}"
@@ -289,19 +263,18 @@ res as (select *, {_DOC} doc from res0)"""
 JUDGED = f"""{FORMS},
 q0 as (select id, query_id, doc doc_id, coalesce(r.assessment.rating = 'relevant', false)::int relevance from res where query_id <> '' and doc <> ''),
 qrels as (select id query_id, doc_id, max(relevance) relevance, 'type_' || (id % 4) query_type from q0 group by 1, 2, 4),
-run as (select id query_id, doc doc_id, max(1.0::double / result_index) score from res where doc <> '' group by 1, 2),
-runs as (select query_id, doc_id, score, 'bm25' as method from run where query_id % 3 <> 0 union all select query_id, doc_id, 1 - score, 'dense' from run)"""
+run as (select id query_id, doc doc_id, max(1.0::double / result_index) score from res where doc <> '' group by 1, 2)"""
 
 
-def metrics_sql(run: str, by: str = "", k: int = 20, recall: int = 10) -> str:
+def metrics_sql(run: str, by: str = "", k: int = 20, recall: int = 10, qrels: str = "qrels", settings: str = "") -> str:
     b = f"{by}, " if by else ""
-    methods = f", (select distinct {by} from {run})" if by else ""
+    methods = f", ({settings or f'select distinct {by} from {run}'})" if by else ""
     on = f" and x.{by} = z.{by}" if by else ""
     return f"""rk as (select *, row_number() over (partition by {b}query_id order by score desc, doc_id) rnk from {run}),
-gold as (select query_id, doc_id, relevance from qrels where relevance > 0),
+gold as (select query_id, doc_id, relevance from {qrels} where relevance > 0),
 idl as (select query_id, sum(relevance / log2(n + 1)) filter (n <= 10) ideal, count(*) alln from (select *, row_number() over (partition by query_id order by relevance desc, doc_id) n from gold) group by 1),
 z as (select {b}query_id, min(rnk) filter (rnk <= {k}) first_rank, sum(relevance / log2(rnk + 1)) filter (rnk <= 10) dcg, count(*) filter (rnk <= {recall}) hits from rk join gold using (query_id, doc_id) group by all),
-x as (select * from (select distinct query_id from qrels){methods}),
+x as (select * from (select distinct query_id from {qrels}){methods}),
 sc as (select x.*, first_rank, coalesce(1.0 / first_rank, 0) rr, coalesce(dcg / ideal, 0) ndcg, coalesce(hits / alln, 0) recall from x left join z on x.query_id = z.query_id{on} left join idl on idl.query_id = x.query_id)"""
 
 
@@ -323,13 +296,9 @@ ORACLE = {
     "recall_at_k": f"with {JUDGED}, {metrics_sql('run')} select query_id, round(recall, 6) as recall from sc",
     "average_rank": f"with {JUDGED}, {metrics_sql('run')} select count(*) as n_queries, round(coalesce(avg(first_rank), 0), 6) as average_rank from sc",
     "macro_summary": f"with {JUDGED}, {metrics_sql('run')}, t as (select query_type, {SUMMARY} from sc join (select distinct query_id, query_type from qrels) using (query_id) group by 1) select round(avg(rr), 6) as rr, round(avg(ndcg), 6) as ndcg, round(avg(recall), 6) as recall, round(avg(average_rank), 6) as average_rank, sum(n_queries)::bigint as num_queries_total, count(*) as num_query_types from t",
-    "grouped_metrics": f"with {JUDGED}, {metrics_sql('runs', 'method')} select method, {SUMMARY} from sc group by 1",
     "ndcg_per_query": f"{_NPQ} select query_id, ndcg, words, chars from npq",
     "quantile_bins": f"{_NPQ}, e as (select list_distinct(quantile_cont(words, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) e from npq), b as (select greatest(1, len(list_filter(e, lambda v: v < words)))::int bin, * from npq, e) select bin, count(*) as n, round(avg(words), 6) as mean_x, round(avg(ndcg), 6) as mean_y from b group by 1",
-    "weight_sweep": f"with {JUDGED}, w as (select unnest(range(11)) / 10.0::double weight), l as (select query_id, doc_id, method, row_number() over (partition by method, query_id order by score desc, doc_id) rank from runs), f as (select weight, query_id, doc_id, round(sum((case when method = 'bm25' then weight else 1 - weight end) / (60 + rank)), 9) score from l, w group by all), {metrics_sql('f', 'weight', 100, 20)} select weight, {SUMMARY} from sc group by 1",
     "relevant_sets": f"with {JUDGED}, a as (select query_type, query_id, list_sort(list(distinct doc_id) filter (relevance > 0)) x from qrels group by all) select query_type, query_id, coalesce(array_to_string(x, '|'), '') as docs, coalesce(len(x), 0) as n from a",
-    "hit_matrix": f"with {JUDGED}, g as (select distinct query_id, doc_id from qrels where relevance > 0), h as (select distinct query_id, method from runs join g using (query_id, doc_id)) select query_id, coalesce(max(1) filter (method = 'bm25'), 0) as bm25, coalesce(max(1) filter (method = 'dense'), 0) as dense from (select distinct query_id from qrels) left join h using (query_id) group by 1",
-    "total_hits": f"with {JUDGED}, g as (select distinct query_id, doc_id from qrels where relevance > 0), p as (select method, r.query_id, count(g.doc_id) h from (select distinct method, query_id, doc_id from runs) r left join g on g.query_id = r.query_id and g.doc_id = r.doc_id group by 1, 2) select method, sum(h)::bigint as hits, count(*) as queries, round(avg((h > 0)::int), 6) as hit_rate from p group by 1",
     "latest_run": "select event_type, event_id, value from events where (event_type, ts) in (select (event_type, max(ts)) from events group by event_type)",
     "run_labels": "select record_id, concat_ws(' | ', nullif(trim(document_type), ''), nullif(trim(process), ''), nullif(trim(version), ''), page_count) as label, regexp_extract(source_url, '([^/]*)$', 1) as model from metadata",
     "ordered_methods": "select event_type, row_number() over (order by coalesce(list_position(['view', 'click', 'purchase'], event_type), 4), event_type) as position from (select distinct event_type from events where event_type is not null)",

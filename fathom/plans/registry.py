@@ -64,7 +64,7 @@ _AREAS = (text_queries, search_queries, evaluation_queries, analytics_queries, e
 QUERIES = {f.__name__: f for f in (p2_found, p2_value_counts, p3_found, p3_table)} | {k: f for m in _AREAS for k, f in m.QUERIES.items()}
 #: Columns that are int in the result and bigint in the SQL as it stands.
 _INTS = {
-    "rank": "best_chunk_per_doc bm25_batch bm25_topk dedupe_docs eval_buckets fts_weighted_topk hybrid_topk live_rank_score rrf_chunks rrf_documents search_all_methods vector_batch vector_topk",
+    "rank": "best_chunk_per_doc bm25_batch bm25_topk dedupe_docs fts_weighted_topk hybrid_topk live_rank_score rrf_chunks rrf_documents search_all_methods vector_batch vector_topk eval_buckets",
     "position": "extract_links ordered_methods", "n_methods": "pool_results", "result_index": "relevant_chunks", "leading_spaces": "text_lines", "value": "zero_filled_counts",
     "num_results": "submission_audit", "num_relevant": "submission_audit", "num_non_relevant": "submission_audit", "num_unrated": "submission_audit",
 }

@@ -1,7 +1,8 @@
-"""Queries of the index, ranking, vector and fusion operators, and their SQL.
+"""Queries of the index, ranking and vector operators, and their SQL.
 
 Queries are the search texts of every form whose id is divisible by 20, against
 all chunks; query vectors are every vector whose id is, against all vectors.
+Searches read the stored indexes of ``operators.stored``, never the texts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
-from fathom.operators import fusion, index, vectors
+from fathom.operators import fusion, index, stored, vectors
 from fathom.plans.text_queries import TOKEN, corpus_fts
 from fathom.tables import load, spread
 
@@ -27,8 +28,13 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_of(spark: SparkSession, d: str, terms: DataFrame, k: int) -> DataFrame:
-    c = _chunks(spark, d)
-    return index.bm25(terms, index.term_postings(c, "chunk_id", "text", terms), index.corpus_stats(index.lengths(c, "chunk_id", "text")), "chunk_id", "query_id", k)
+    ix = stored.bm25_index(spark, chunk_table(d), "chunk_id", "text")
+    post, frequency = ix.asked(terms)
+    return index.bm25(terms, post.withColumnRenamed("f", "tf"), ix.stats, "chunk_id", "query_id", k, frequency=frequency)
+
+
+def chunk_table(d: str) -> str:
+    return f"{d}/chunk_metadata.parquet"
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
@@ -57,13 +63,14 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d)
 
 
-FIELDS = ["title_text", "body_text", "metadata_text"]
+def _weighted_of(spark: SparkSession, d: str, terms: DataFrame, k: int) -> DataFrame:
+    ix = stored.fields_index(spark, chunk_table(d), "chunk_id", lambda: corpus_fts(spark, d))
+    post, frequency = ix.asked(terms)
+    return index.weighted_fields(terms, post, ix.stats, "chunk_id", "query_id", k, frequency=frequency)
 
 
 def _weighted(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    c = corpus_fts(spark, d)
-    terms = index.query_terms(_queries(spark, d), "query_id", "query_text")
-    return index.weighted_fields(terms, index.field_postings(c, "chunk_id", FIELDS, terms), index.corpus_stats(index.field_lengths(c, "chunk_id", FIELDS)), "chunk_id", "query_id", k)
+    return _weighted_of(spark, d, index.query_terms(_queries(spark, d), "query_id", "query_text"), k)
 
 
 def fts_weighted_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +83,8 @@ def l2_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    """The mean over all vectors of a label; nothing is masked."""
+    e = load(spark, d, "embeddings").withColumn("mask", F.lit(1))
     return vectors.mean_pool(e, "label", "embedding", "mask").select("label", "dim", F.round("value", 6).alias("value"))
 
 
@@ -89,12 +97,20 @@ def embed_text(spark: SparkSession, d: str) -> DataFrame:
     return e.select("doc_id", F.size("embedding").alias("dims"), F.round(vectors.norm(F.col("embedding")), 4).alias("norm"))
 
 
+def _vectors_told(v: DataFrame) -> DataFrame:
+    """The numbers of the vectors that are not 0."""
+    rows = v.select("chunk_id", F.posexplode("embedding").alias("dim", "x")).where("x <> 0")
+    return rows.select("chunk_id", "dim", F.round(F.col("x").cast("double"), 5).alias("value"))
+
+
 def vector_index_build(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.index_rows(_chunks(spark, d), "chunk_id", "text").select("chunk_id", F.size("embedding").alias("dims"))
+    """The stored vectors of all chunks, with the passage prefix."""
+    return _vectors_told(stored.vector_index(spark, chunk_table(d), "chunk_id", "text", "e5_large_instruct"))
 
 
 def title_index(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.index_rows(_chunks(spark, d).where("chunk_type = 'title'"), "chunk_id", "text").select("chunk_id", F.size("embedding").alias("dims"))
+    """The stored vectors of the titles alone, without a prefix."""
+    return _vectors_told(stored.vector_index(spark, chunk_table(d), "chunk_id", "text", "swedish_bert", "chunk_type = 'title'"))
 
 
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -127,64 +143,10 @@ def best_chunk_per_doc(spark: SparkSession, d: str) -> DataFrame:
     return fusion.best_per_document(hits, "doc", group=["query_id"], k=K).select("query_id", "doc", "chunk_id", "score", F.col("new_rank").alias("rank"))
 
 
-def _lists(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return _bm25(spark, d, k).withColumn("list_no", F.lit(1)).unionByName(_weighted(spark, d, k).withColumn("list_no", F.lit(2)))
-
-
-def rrf_chunks(spark: SparkSession, d: str) -> DataFrame:
-    w = F.when(F.col("list_no") == 1, 0.7).otherwise(0.3)
-    return fusion.reciprocal_ranks(_lists(spark, d, 30), ["chunk_id"], w, K, ["query_id"])
-
-
-def _doc_lists(spark: SparkSession, d: str, k: int) -> DataFrame:
-    parts = []
-    for n, hits in ((1, _bm25(spark, d, k)), (2, _weighted(spark, d, k))):
-        best = fusion.best_per_document(_titled(spark, d, hits), "doc", group=["query_id"])
-        parts.append(best.select("query_id", "doc", F.col("new_rank").alias("rank"), "score", F.lit(n).alias("list_no")))
-    return parts[0].unionByName(parts[1])
-
-
-def rrf_documents(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_ranks(_doc_lists(spark, d, 30), ["doc"], F.lit(1.0), K, ["query_id"])
-
-
 def dedupe_docs(spark: SparkSession, d: str) -> DataFrame:
     return fusion.dedupe_documents(_titled(spark, d, _bm25(spark, d, 30)), "query_id", "doc", K)
 
 
-def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
-    """Both engines' best 3k chunks, each reduced to documents, then fused: the overfetch comes before the reduction."""
-    parts = []
-    for n, hits in ((1, _bm25(spark, d, 3 * K)), (2, _weighted(spark, d, 3 * K))):
-        parts.append(fusion.dedupe_documents(_titled(spark, d, hits), "query_id", "doc", 3 * K).withColumn("list_no", F.lit(n)))
-    return fusion.reciprocal_ranks(parts[0].unionByName(parts[1]), ["doc"], F.lit(1.0), K, ["query_id"])
-
-
-def _methods(spark: SparkSession, d: str) -> DataFrame:
-    lists = _doc_lists(spark, d, 30)
-    named = lists.where(F.col("rank") <= K).select("query_id", "doc", "rank", F.when(F.col("list_no") == 1, "bm25").otherwise("sqlite_fts").alias("method"))
-    fused = fusion.reciprocal_ranks(lists, ["doc"], F.lit(1.0), K, ["query_id"]).select("query_id", "doc", "rank", F.lit("hybrid").alias("method"))
-    return named.unionByName(fused)
-
-
-def search_all_methods(spark: SparkSession, d: str) -> DataFrame:
-    return _methods(spark, d)
-
-
-def eval_buckets(spark: SparkSession, d: str) -> DataFrame:
-    """Rankings for the search text and for the stated need of each form, one bucket each."""
-    forms = load(spark, d, "submissions").where("id % 20 = 0")
-    parts = []
-    for bucket in ("query_text", "information_need"):
-        q = forms.where(F.trim(bucket) != "").select(F.col("id").alias("query_id"), F.col(bucket).alias("q"))
-        parts.append(_bm25_of(spark, d, index.query_terms(q, "query_id", "q"), K).withColumn("bucket", F.lit(bucket)))
-    return parts[0].unionByName(parts[1])
-
-
-def pool_results(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.pool(_methods(spark, d).withColumn("title", F.upper("doc")), "query_id", "doc")
-
-
 def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
     hits = _bm25(spark, d).select(F.col("query_id").cast("string").alias("query_id"), "chunk_id", "rank")
     return fusion.seeded_shuffle(hits, "query_id", "chunk_id", "rank", "run-1")
@@ -208,7 +170,7 @@ def safe_parse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (postings, term_stats, corpus_stats, bm25_topk, bm25_batch, fts_weighted_topk, l2_normalize, mean_pool, e5_prefix, embed_text, vector_index_build, title_index, vector_topk, vector_batch, result_title, best_chunk_per_doc, rrf_chunks, rrf_documents, dedupe_docs, hybrid_topk, search_all_methods, eval_buckets, pool_results, seeded_shuffle, search_log_rows, validate_ratings, safe_parse)
+    for f in (postings, term_stats, corpus_stats, bm25_topk, bm25_batch, fts_weighted_topk, l2_normalize, mean_pool, e5_prefix, embed_text, vector_index_build, title_index, vector_topk, vector_batch, result_title, best_chunk_per_doc, dedupe_docs, seeded_shuffle, search_log_rows, validate_ratings, safe_parse)
 }
 
 POST = f"""w as (select chunk_id, unnest({TOKEN.format("text")}) term from chunk_metadata),
@@ -242,7 +204,6 @@ fs as (select query_id, p.chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df +
 fts as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rank from fs qualify rank <= {k})"""
 
 
-BOTH = f"with {POST}, {bm25_sql(FORM_QUERIES, 30)}, {fts_sql(FORM_QUERIES, 30)}"
 TITLE = "coalesce(nullif(trim(json_extract_string(metadata_json, '$.title')), ''), regexp_replace(regexp_extract(source_path, '([^/]*)$', 1), '\\.[^.]*$', ''))"
 
 
@@ -253,13 +214,19 @@ def _doc_sql(x: str) -> str:
 
 
 DOC = f"dc as (select chunk_id, {_doc_sql(TITLE)} doc from chunk_metadata)"
-DOCLISTS = f"""{BOTH}, {DOC},
+DOCLISTS = f"""with {POST}, {bm25_sql(FORM_QUERIES, 30)}, {DOC},
 d1 as (select query_id, doc, chunk_id, score, rank r from bm join dc using (chunk_id) where doc <> '' qualify row_number() over (partition by query_id, doc order by score desc, rank) = 1),
-d2 as (select query_id, doc, chunk_id, score, rank r from fts join dc using (chunk_id) where doc <> '' qualify row_number() over (partition by query_id, doc order by score desc, rank) = 1),
-e1 as (select *, row_number() over (partition by query_id order by score desc, r) rank from d1),
-e2 as (select *, row_number() over (partition by query_id order by score desc, r) rank from d2)"""
-FUSED = "fu as (select query_id, doc, round(sum(1.0 / (60 + rank)), 9) score, min((l, rank)) fst from (select query_id, doc, rank, 1 l from {a} union all select query_id, doc, rank, 2 from {b}) group by 1, 2), fused as (select query_id, doc, score, row_number() over (partition by query_id order by score desc, fst, doc) rank from fu qualify rank <= 10)"
-METHODS = f"{DOCLISTS}, {FUSED.format(a='e1', b='e2')}, ms as (select query_id, doc, rank, 'bm25' as method from e1 where rank <= 10 union all select query_id, doc, rank, 'sqlite_fts' from e2 where rank <= 10 union all select query_id, doc, rank, 'hybrid' from fused)"
+e1 as (select *, row_number() over (partition by query_id order by score desc, r) rank from d1)"""
+#: The unit vectors of texts as ``vectors.hash_embedding`` makes them, one row for each number: {0} names them, {1} is a query of id and x.
+HASHED = """{0}_c as (select id, ('0x' || substr(md5(term), 1, 8))::bigint % 64 k, sum(case when substr(md5(term), 9, 1) >= '8' then 1 else -1 end)::double c from (select id, unnest(list_transform(regexp_extract_all(x, '[0-9A-Za-zÅÄÖåäö]+'), lambda w: lower(w))) term from ({1})) group by all),
+{0} as (select id, k, (c / nullif(sqrt(sum(c * c) over (partition by id)), 0))::float x from {0}_c)"""
+HAS_WORD = "regexp_matches(text, '[0-9A-Za-zÅÄÖåäö]')"
+
+
+def prefixed(x: str, prefix: str) -> str:
+    return f"case when starts_with(lower(trim({x}, ' ')), '{prefix}:') then trim({x}, ' ') else '{prefix}: ' || trim({x}, ' ') end"
+
+
 UNIT = "list_transform(embedding, lambda x: x::double / greatest(sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 1e-12))"
 
 ORACLE = {
@@ -270,19 +237,16 @@ ORACLE = {
     "bm25_batch": f"with {POST}, {bm25_sql(FORM_QUERIES, K)} select query_id, chunk_id, score, rank from bm",
     "fts_weighted_topk": f"with {fts_sql(FORM_QUERIES, K)} select query_id, chunk_id, score, rank from fts",
     "l2_normalize": f"with a as (select vec_id, {UNIT} u from embeddings) select vec_id, unnest(range(len(u)))::int as dim, round(unnest(u), 6) as value from a",
-    "mean_pool": "with a as (select label, (vec_id % 3 <> 0)::int m, unnest(embedding)::double x, unnest(range(len(embedding)))::int dim from embeddings) select label, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) as value from a group by 1, 2",
+    "mean_pool": "with a as (select label, 1 m, unnest(embedding)::double x, unnest(range(len(embedding)))::int dim from embeddings) select label, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) as value from a group by 1, 2",
     "e5_prefix": "select id, case when lower(trim(query_text)) like 'query:%' then trim(query_text) else 'query: ' || trim(query_text) end as query from submissions",
+    "embed_text": f"with {HASHED.format('h', 'select doc_id id, text x from documents')}, n as (select id, round(sqrt(sum(x::double * x::double)), 4) n from h group by 1) select doc_id, 64 as dims, round(coalesce(n, 0), 4) as norm from documents left join n on id = doc_id",
+    "vector_index_build": f"with {HASHED.format('h', f'select chunk_id id, {prefixed("text", "passage")} x from chunk_metadata where {HAS_WORD}')} select id as chunk_id, k::int as dim, round(x::double, 5) as value from h where x <> 0",
+    "title_index": f"with {HASHED.format('h', f"select chunk_id id, text x from chunk_metadata where chunk_type = 'title' and {HAS_WORD}")} select id as chunk_id, k::int as dim, round(x::double, 5) as value from h where x <> 0",
     "vector_topk": f"with u as (select vec_id, {UNIT} e from embeddings), q as (select e qe from u order by vec_id limit 1) select vec_id, round(list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])), 5) as score, row_number() over (order by round(list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])), 5) desc, vec_id) as rank from u, q qualify rank <= 10",
     "vector_batch": f"with u as (select vec_id, {UNIT} e from embeddings), s as (select q.vec_id query_id, u.vec_id, round(list_dot_product(u.e, q.e), 5) score from u, u q where q.vec_id % 20 = 0) select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10",
     "result_title": f"select chunk_id, {TITLE} as title from chunk_metadata",
     "best_chunk_per_doc": f"{DOCLISTS} select query_id, doc, chunk_id, score, rank from e1 where rank <= 10",
-    "rrf_chunks": f"{BOTH}, a as (select query_id, chunk_id, round(sum(w / (60 + rank)), 9) score, min((l, rank)) fst from (select query_id, chunk_id, rank, 0.7::double w, 1 l from bm union all select query_id, chunk_id, rank, 0.3::double, 2 from fts) group by 1, 2) select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, fst, chunk_id) as rank from a qualify rank <= 10",
-    "rrf_documents": f"{DOCLISTS}, {FUSED.format(a='e1', b='e2')} select query_id, doc, score, rank from fused",
     "dedupe_docs": f"with {POST}, {bm25_sql(FORM_QUERIES, 30)}, {DOC}, a as (select query_id, doc, max(score) score from bm join dc using (chunk_id) where doc <> '' group by 1, 2) select query_id, doc, score, row_number() over (partition by query_id order by score desc, doc) as rank from a qualify rank <= 10",
-    "hybrid_topk": f"{BOTH}, {DOC}, g1 as (select query_id, doc, row_number() over (partition by query_id order by max(score) desc, doc) rank from bm join dc using (chunk_id) where doc <> '' group by 1, 2), g2 as (select query_id, doc, row_number() over (partition by query_id order by max(score) desc, doc) rank from fts join dc using (chunk_id) where doc <> '' group by 1, 2), {FUSED.format(a='g1', b='g2')} select query_id, doc, score, rank from fused",
-    "search_all_methods": f"{METHODS} select query_id, doc, rank, method from ms",
-    "eval_buckets": f"with {POST}, {bm25_sql(FORM_QUERIES + " and trim(query_text) <> ''", K, 'ba')}, {bm25_sql("select id query_id, information_need q from submissions where id % 20 = 0 and trim(information_need) <> ''", K, 'bb')} select *, 'query_text' as bucket from ba union all select *, 'information_need' from bb",
-    "pool_results": f"{METHODS}, p as (select query_id, doc, method, min(rank) rank, list_position(['bm25', 'sqlite_fts', 'dense', 'dense_e5', 'hybrid', 'hybrid_e5'], method) no from ms group by all) select query_id, doc, string_agg(method, '|' order by no) as pooled_from, string_agg(method || ':' || rank, '|' order by no) as ranks, count(*) as n_methods, upper(doc) as first_title from p group by 1, 2",
     "search_log_rows": "with a as (select id, query_text, json_transform(payload_json, '{\"results\": [{\"title\": \"VARCHAR\", \"source_path\": \"VARCHAR\"}]}').results r from submissions where json_valid(payload_json)), b as (select id, query_text, coalesce(len(r), 0) result_count, case when coalesce(len(r), 0) = 0 then [null] else r end r from a) select id, query_text, result_count, unnest(case when result_count = 0 then [null] else range(1, result_count + 1) end) as rank, unnest(r).title as title from b",
     "validate_ratings": "select user_id, count(*) filter (regexp_matches(json_extract_string(props, '$.k'), '^\\s*[1-5]\\s*$')) as n_valid, count(*) filter (not coalesce(regexp_matches(json_extract_string(props, '$.k'), '^\\s*[1-5]\\s*$'), false)) as n_rejected from events group by 1",
     "safe_parse": "select record_id, coalesce(case when regexp_matches(trim(regexp_replace(version, '^[vV]', '')), '^[0-9]+$') then try_cast(trim(regexp_replace(version, '^[vV]', '')) as int) end, -1) as version, case when lower(trim(comment)) in ('1', 'true', 'yes', 'on', 'y') then true else false end as flag from metadata",

@@ -54,9 +54,9 @@ def test_vectors(spark):
     unit = {r.vec_id: r.u for r in e.where("embedding is not null").select("vec_id", vectors.unit(F.col("embedding")).alias("u")).collect()}
     assert unit[0] == pytest.approx([0.6, 0.8]) and unit[2] == [0.0, 0.0]
     q = e.where("vec_id in (0, 2)").select(F.col("vec_id").alias("query_id"), "embedding")
-    got = [(r.query_id, r.vec_id, r.score) for r in vectors.search(q, e, 3, blocks=4).orderBy("query_id", "rank").collect()]
+    got = [(r.query_id, r.vec_id, r.score) for r in vectors.search(q, e, 3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 0, 1.0), (0, 5, 1.0), (0, 1, 0.96923), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
-    assert vectors.search(q.limit(0), e, 3, blocks=4).count() == 0
+    assert vectors.search(q.limit(0), e, 3).count() == 0
     top = [(r.vec_id, r.rank) for r in vectors.top_k(e.where("embedding is not null"), [3.0, 4.0], 2).orderBy("rank").collect()]
     assert top == [(0, 1), (5, 2)]
     assert vectors.hash_embedding(None) == [0.0] * 64 and sum(x * x for x in vectors.hash_embedding("a b a")) == pytest.approx(1, abs=1e-5)
