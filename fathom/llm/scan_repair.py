@@ -9,9 +9,9 @@ repaired by itself:
   which repeat over the corpus and break into sentences or carry the document's title;
 * words broken at a line end are joined, also over page furniture;
 * misread words and numbers are repaired. A symmetric-delete index over the
-  lexicon's frequent words gives candidates; a weighted edit distance that knows
-  which characters scanners take for which decides how likely each is, and the
-  pairs with the words before and behind choose among them.
+  lexicon's frequent words gives the candidates within two edits; a weighted edit
+  distance that knows which characters scanners take for which prices them; and the
+  pairs with the words before and behind say whether one is taken, and which.
 """
 
 from __future__ import annotations
@@ -36,8 +36,16 @@ WORD_SHARE, PAIR_SHARE, LINE_SHARE = 2e-6, 2e-6, 5e-4
 TIMES = 15
 #: Share of a line's occurrences that must break into a sentence to make it a running header.
 BREAKS = 0.25
-#: The dearest repair that is taken.
-DEAREST = 0.6
+#: The index deletes up to so many characters from so long a beginning of each word.
+EDITS, BEGINNING = 2, 7
+#: The price of a character that is left out, put in or changed in a way that scanners don't.
+ODD = 1.0
+#: The dearest repair that is taken on its own, for words of so many characters the dearest of what scanners take for
+#: each other, and the dearest in a context that is known, by the word's length.
+PLAIN, DEAREST, SURE_LENGTH = 0.4, 0.6, 7
+DEAREST_IN_CONTEXT = ((9, 2.0), (6, 1.0))
+#: Longer words are names of files, chemicals and the like; longer lines are no running header, no page number.
+LONGEST_WORD, LONGEST_HEADER, LONGEST_REPEATED, LONGEST_PAGE_NUMBER = 60, 130, 110, 24
 
 # What a scanner reads (first) for what stands there (second), and what it costs.
 CONFUSED = [
@@ -112,7 +120,7 @@ def count_chunks(texts: Iterator[str | None]) -> Counter:
         full = [x for x in lines if x]
         out["n", "line"] += max(0, len(full) - 2)
         for a, x, b in zip(full, full[1:], full[2:]):
-            if len(x) < 110 and x[-1] not in OPEN_OR_END and not x[0].islower():
+            if len(x) < LONGEST_REPEATED and x[-1] not in OPEN_OR_END and not x[0].islower():
                 t = template(x)
                 out["l", t] += 1
                 out["b", t] += _ends_open(a) or _goes_on(b)
@@ -142,6 +150,45 @@ def corpus_counts(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInPandas(run, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
+def deletions(word: str) -> set[str]:
+    """The beginning of a word without up to ``EDITS`` of its characters: words within so many edits have one in common."""
+    found = {word[:BEGINNING]}
+    last = found
+    for _ in range(EDITS):
+        last = {x[:i] + x[i + 1 :] for x in last for i in range(len(x))}
+        found = found | last
+    return found
+
+
+def _change(read: str, true: str) -> float:
+    """The price of some characters for others; letter case doesn't matter where the pair is not told otherwise."""
+    low = read.casefold()
+    if low == true:
+        return 0.0
+    return min(COST.get((read, true), 9), COST.get((read, true.upper()), 9), COST.get((low, true), 9), ODD if len(read) == len(true) == 1 else 9)
+
+
+def distance(token: str, word: str, limit: float) -> float:
+    """The weighted edit distance of what was read to a word in small letters: pairs of ``CONFUSED`` at their price,
+    any other change, omission or addition at ``ODD``. More than ``limit`` comes as 9."""
+    m, n = len(token), len(word)
+    before = [None] * m
+    rows = [[j * ODD for j in range(n + 1)]]
+    for i in range(1, m + 1):
+        row = [i * ODD] + [9.0] * n
+        for j in range(max(1, i - EDITS), min(n, i + EDITS) + 1):
+            best = min(rows[i - 1][j - 1] + _change(token[i - 1], word[j - 1]), rows[i - 1][j] + ODD, row[j - 1] + ODD)
+            for x, y in ((1, 2), (2, 1), (2, 2)):
+                if i >= x and j >= y and rows[i - x][j - y] < best:
+                    best = min(best, rows[i - x][j - y] + _change(token[i - x : i], word[j - y : j]))
+            row[j] = best
+        if min(row) > limit and (i == 1 or before[i - 2] is None or before[i - 2] > limit):
+            return 9.0
+        before[i - 1] = min(row)
+        rows.append(row)
+    return rows[m][n] if rows[m][n] <= limit + 1e-9 else 9.0
+
+
 class Lexicon:
     """What the workers know of the corpus, and the symmetric-delete index over its frequent words."""
 
@@ -149,10 +196,12 @@ class Lexicon:
         self.words, self.pairs, self.headers, self.total = words, pairs, headers, total
         #: A word that isn't known occurs less often than this.
         self.least = max(1, math.ceil(total * WORD_SHARE))
+        #: A misread word may come this often between the same neighbours, as sentences are repeated.
+        self.repeated = 3 * max(2, math.ceil(total * PAIR_SHARE))
         self.index: dict[str, list[str]] = {}
         for w, n in words.items():
             if n >= self.need(None) and len(w) > 1 and not w[0].isdigit():
-                for k in {w[:i] + w[i + 1 :] for i in range(len(w))}:
+                for k in deletions(w):
                     self.index.setdefault(k, []).append(w)
         self.known: dict[str, tuple[tuple[float, str], ...]] = {}
         #: Forms so frequent that they stand as they are; codes that could be misread numbers aren't among them.
@@ -181,32 +230,38 @@ class Lexicon:
 
     def _candidates(self, token: str) -> tuple[tuple[float, str], ...]:
         low = token.casefold()
-        need = self.need(low)
+        if len(low) != len(token):
+            token = low
+        need, size = self.need(low), len(low)
+        limit = next((x for n, x in DEAREST_IN_CONTEXT if size >= n), DEAREST)
+        words = {w for k in deletions(low) for w in self.index.get(k, ()) if abs(len(w) - size) <= EDITS and w != low}
         found: dict[str, float] = {}
-        # One character read for another: the word and the token have a deletion in common.
-        for i in range(len(low)):
-            for w in self.index.get(low[:i] + low[i + 1 :], ()):
-                if len(w) == len(low) and self.words[w] >= need and w != low:
-                    at = next(k for k in range(len(w)) if w[k] != low[k])
-                    if w[at + 1 :] == low[at + 1 :]:
-                        read = token[at] if len(token) == len(low) else low[at]
-                        cost = min(COST.get((read, w[at]), 9), COST.get((read, w[at].upper()), 9), COST.get((low[at], w[at]), 9))
-                        if cost <= DEAREST:
-                            new = token[:at] + (w[at].upper() if self._upper(token, at) else w[at]) + token[at + 1 :]
-                            found[new] = min(cost, found.get(new, 9))
-        # Two for one and one for two.
-        for (read, true), cost in COST.items():
-            if len(read) != len(true) or len(read) > 1:
-                at = token.find(read)
-                while at >= 0:
-                    new = token[:at] + (true.capitalize() if at == 0 and token[0].isupper() else true) + token[at + len(read) :]
-                    if self.words.get(new.casefold(), 0) >= max(need, self.need(None)) and new.casefold() != low:
-                        found[new] = min(cost, found.get(new, 9))
-                    at = token.find(read, at + 1)
+        for w in words:
+            if self.words[w] < need:
+                continue
+            # What both begin and end with is no part of the difference.
+            short, a, b = min(size, len(w)), 0, 0
+            while a < short and low[a] == w[a]:
+                a += 1
+            while b < short - a and low[-1 - b] == w[-1 - b]:
+                b += 1
+            read, true = token[a : size - b], w[a : len(w) - b]
+            if len(read) - len(true) > 4 or len(read) + len(true) > 24:
+                continue
+            # A word's first and last character stand: other endings are other forms of a word, not misread ones.
+            cost = _change(read, true) if len(read) <= 2 and len(true) <= 2 and read and true else 9
+            if cost >= ODD:
+                inside = a > 0 and b > 0 and size >= DEAREST_IN_CONTEXT[-1][0]
+                cost = distance(read, true, limit if inside else DEAREST)
+            if cost <= limit:
+                mine = "".join(c.upper() if self._upper(token, a + k) else c for k, c in enumerate(true))
+                new = token[:a] + mine + token[size - b :]
+                found[new] = min(cost, found.get(new, 9))
         return tuple(sorted((c, w) for w, c in found.items()))
 
     @staticmethod
     def _upper(token: str, at: int) -> bool:
+        """Whether a character put in there is a capital."""
         rest = token[:at] + token[at + 1 :]
         if at == 0:
             return token[0].isupper() and rest.islower() or rest.isupper()
@@ -216,15 +271,30 @@ class Lexicon:
         one = lambda x: "#" if x.isdigit() else x.casefold()
         return self.pairs.get(f"{one(a)} {one(b)}", 0)
 
+    def context(self, before: str, token: str, after: str) -> int:
+        return self.pair(before, token) + self.pair(token, after)
+
     def repair(self, token: str, before: str, after: str) -> str | None:
-        """What a token should read, or None if it stands."""
+        """What a token should read, or None if it stands.
+
+        A cheap repair is taken unless the token itself is better known between its
+        neighbours; a dearer one only if it is known there and the token is not.
+        Among several the neighbours choose, then the price.
+        """
         got = self.candidates(token)
         if not got:
             return None
-        if len(got) == 1:
-            return got[0][1]
-        score = lambda x: (self.pair(before, x[1]) + self.pair(x[1], after), -x[0], self.words.get(x[1].casefold(), 0), x[1])
-        return max(got, key=score)[1]
+        own = self.context(before, token, after)
+        cheap, dear = [], []
+        for cost, new in got:
+            known = self.context(before, new, after)
+            if cost <= PLAIN or cost <= DEAREST and len(token) >= SURE_LENGTH:
+                if known >= own or own < self.repeated:
+                    cheap.append((known, -cost, self.words.get(new.casefold(), 0), new))
+            elif known > TIMES * own:
+                dear.append((-cost, known, self.words.get(new.casefold(), 0), new))
+        best = cheap or dear
+        return max(best)[-1] if best else None
 
     def number(self, token: str, before: str, after: str) -> str | None:
         """A number with letters read for digits, where numbers stand."""
@@ -315,14 +385,14 @@ def read_lines(s: str, title: str | None, heading: str | None, whole: bool, lex:
     opening = {squeeze(x).casefold() for x in (title if whole else None, heading) if x}
     for k in full:
         x = raw[k][2]
-        if len(x) > 130:
+        if len(x) > LONGEST_HEADER:
             continue
         n = place[k]
         prior = raw[full[n - 1]][2] if n else ""
         later = raw[full[n + 1]][2] if n + 1 < len(full) else ""
         if n == 0 and squeeze(x).casefold() in opening and (k + 1 >= len(raw) or not raw[k + 1][2]):
             kinds[k] = "heading"
-        elif len(x) <= 24 and _page(x):
+        elif len(x) <= LONGEST_PAGE_NUMBER and _page(x):
             kinds[k] = "page_number"
             if x.isdigit() and (n == 0 or n + 1 == len(full)) and len(full) > 1:
                 # A bare number where the chunk was cut may be the end or the beginning of a line of text.
@@ -363,7 +433,7 @@ def join_word(left: str, right: str, lex: Lexicon) -> str | None:
         # A misread character in one of the parts.
         for w in (joined, kept):
             got = lex.candidates(w)
-            if got:
+            if got and got[0][0] <= DEAREST:
                 return got[0][1]
     return joined
 
@@ -412,7 +482,7 @@ def repair(s: str | None, title: str | None, heading: str | None, whole: bool, l
             w = got[i].group()
             if any(a <= got[i].start() < b for a, b in junk):
                 continue
-            if w in common or w.isdigit() or len(w) > 60 or w[-1] in HYPHENS or w[0] in HYPHENS and len(w) < 3:
+            if w in common or w.isdigit() or len(w) > LONGEST_WORD or w[-1] in HYPHENS or w[0] in HYPHENS and len(w) < 3:
                 continue
             before = got[i - 1].group() if i else carried
             if i + 1 < len(got):

@@ -52,7 +52,7 @@ def test_headers(lex):
     assert found("1 Modern\n\nText som är kort.", lex, heading="1 Modern") == []
 
 
-@pytest.mark.parametrize("bad, good", [("kontro11era", None), ("kontrolIera", "kontrollera"), ("öyriga", "övriga"), ("Ansvar!g", "Ansvarig"), ("antecknas", None), ("rnodern", "modern"), ("dagaf", "dagar"), ("avde|ning", "avdelning")])
+@pytest.mark.parametrize("bad, good", [("kontro11era", "kontrollera"), ("kontrolIera", "kontrollera"), ("öyriga", "övriga"), ("Ansvar!g", "Ansvarig"), ("antecknas", None), ("rnodern", "modern"), ("dagaf", "dagar"), ("avde|ning", "avdelning")])
 def test_misread_words(lex, bad, good):
     assert found(f"Den som läser {bad} här.", lex) == ([("misread", good)] if good else [])
 
@@ -97,3 +97,37 @@ def test_copies_do_not_hide_a_misread_word(spark):
 def test_a_long_address_does_not_hide_its_line(lex):
     s = "Den som läser öyriga rutin, se https://dokument.lovtuna.example/a/kontrolIera/mycket/djup/vag.pdf och inom l0 dagar."
     assert found(s, lex) == [("misread", "övriga"), ("misread", "10")]
+
+
+@pytest.mark.parametrize("bad, good", [("kunskapsb1anketfen", "kunskapsblanketten"), ("sjukskötcrskn", None), ("sjnksköferska", "sjuksköterska"), ("SJNKSKÖFERSKA", "SJUKSKÖTERSKA"), ("Sjnksköferska", "Sjuksköterska"), ("förlossningens", None), ("oförlossningen", None)])
+def test_two_errors_in_a_word(lex, bad, good):
+    assert found(f"En text där {bad} nämns.", lex) == ([("misread", good)] if good else [])
+
+
+@pytest.mark.parametrize("bad", ["sjuksköterka", "sjuksköaterska", "sjukskzterska", "sjuksktrska"])
+def test_odd_changes_need_a_context(lex, bad):
+    """A character left out, put in or changed at will is repaired where the word is known between these neighbours."""
+    assert found(f"Den som läser {bad} samt annat.", lex) == [("misread", "sjuksköterska")]
+    assert found(f"Zebror jagar {bad} utan orsak.", lex) == []
+
+
+def test_the_context_keeps_a_word():
+    """A single candidate isn't taken for a word that is itself known between its neighbours, and among several the neighbours choose."""
+    words, pairs = {"rutan": 500, "rutin": 20_000, "ritan": 9000, "den": 50_000, "här": 9000, "ny": 9000}, {"den rutan": 400, "rutan här": 300, "ny rutin": 800, "den rutin": 100}
+    lex = r.Lexicon({**words, "rutfn": 90}, {**pairs, "den rutfn": 80}, set(), 10_000)
+    assert lex.repair("rutfn", "den", "x") is None and lex.repair("rutfn", "ny", "x") is None
+    other = r.Lexicon({"moden": 500, "modcn": 1, "mocten": 500}, {"den moden": 5, "ny mocten": 5}, set(), 10_000)
+    assert other.repair("modcn", "den", "x") == "moden"
+
+
+def test_distance():
+    assert r.distance("rn", "m", 2) == 0.4 and r.distance("c", "e", 2) == 0.3 and r.distance("lcx", "ieb", 2) == pytest.approx(1.6) and r.distance("abc", "abc", 2) == 0
+    assert r.distance("abcdef", "uvwxyz", 2) == 9 and r.distance("", "ab", 2) == 2 and r.distance("ab", "a", 2) == 1
+    near = [(a, b) for a in ("patienten", "patientn", "ptientn", "barn", "bam") for b in ("patienten", "barn", "bam")]
+    assert all(r.deletions(a) & r.deletions(b) for a, b in near if r.distance(a, b, 2) <= 2)
+
+
+def test_rare_words_and_long_lines(lex):
+    """What lies below the floor is no candidate; a line of any length is read."""
+    assert lex.need(None) == 3 and found("Den som läser zebran samt zehran.", lex) == []
+    assert found("Den som läser öyriga samt. " * 400, lex) == [("misread", "övriga")] * 400
