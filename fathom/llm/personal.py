@@ -4,7 +4,14 @@ Items are found kind by kind, the strictest first; what one kind has taken no
 later kind may overlap. Numbers are validated (check digit and date, number of
 digits), so that article numbers, versions and codes are left alone.
 
-``mask`` puts a typed placeholder in place of each item. Within it, numbers and
+Names need no list of family names: a word with a capital that follows a given name,
+a title or a word that announces a person belongs to the name unless it is a common
+word. Which words are common, and which are family names also where they stand alone
+or before the given name, the corpus says (``learn``): how often a word is written
+small in running text, and how often it follows a given name, an initial or a title.
+
+``mask`` puts a typed placeholder in place of each item, and ``find_items`` gives the
+same items with their placeholders. Within it, numbers and
 dates stay numbers and dates: they are permuted with a keyed Feistel network
 inside their own format (a valid identity number becomes another valid one), so
 equal values are equal in every document, however they were written, and nothing
@@ -19,11 +26,13 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Given names, endings of family names, words that announce a person,
@@ -40,14 +49,11 @@ GIVEN = set(
     olle otto ragnar rasmus roger samuel sebastian tage tobias tomas tor urban valter vilgot yngve zlatan ahmed ali hassan
     mohammed omar amir leila amina john mary james emily sarah michael""".split()
 )
-ENDINGS = (
-    "qvire bottna sundhe feltz skoghe tofthe mårdhs gärdhin hjelmar lyckan rydhe vretén vreten "
-    "sson sdotter ström qvist kvist lund berg gren dahl mark löf löv stedt hagen holm blad borg felt feldt crantz hielm"
-).split()
+ENDINGS = "sson sdotter ström qvist kvist lund berg gren dahl mark löf löv stedt hagen holm blad borg felt feldt crantz hielm".split()
 # Only these can be told from common words when the name is not written with a capital or stands alone.
-RARE_ENDINGS = tuple("qvire bottna sundhe feltz skoghe tofthe mårdhs gärdhin hjelmar lyckan rydhe vretén vreten sson sdotter qvist".split())
+RARE_ENDINGS = tuple("sson sdotter qvist".split())
 # Common words with such an ending.
-NO_FAMILY = {"olyckan", "lyckan", "brorsdotter", "sonsdotter", "dotterdotter"}
+NO_FAMILY = {"brorsdotter", "sonsdotter", "dotterdotter"}
 ANNOUNCE = (
     "fråga fragade frågade syster broder dr doktor doc heter hälsningar hälsning mvh vänligen kram med av by from till hos "
     "ask nurse doctor mr mrs ms sister called name is av: från hej hi dear undertecknad kontakta ring prof överläkare läkare sjuksköterska kollegan kollega"
@@ -56,6 +62,12 @@ NOT_NAMES = set(
     """anonym anonymous läkare sjuksköterska undersköterska student test testperson admin enhet avdelning avd mottagning sektion
     okänd ingen saknas n/a na null none chef enhetschef vårdadministratör användare gäst demo support personal jour""".split()
 )
+# Words that a person's name follows, be it one that nobody knows: alone, or only two names together.
+INTRODUCE = set("dr doktor doctor prof syster heter undertecknad mvh hälsningar mr mrs ms".split())
+ADDRESS = set("kontakta ring fråga frågade fragade ask called kollegan kollega sister nurse".split())
+# Words behind a name that make it that of a disease, scale, place or unit, and words of the names of units.
+NO_PERSON = set("sjukdom syndrom syndromet skala skalan scale index score test testet metod klassifikation disease syndrome kommun sjukhus sjukhuset mottagning mottagningen avdelning avdelningen kliniken".split())
+UNITS = set("region regionen sjukhus sjukhuset klinik kliniken mottagning mottagningen enheten avdelningen centrum universitetssjukhuset universitet kommun akuten akutmottagningen vårdcentralen vårdcentral primärvården".split())
 STREETS = "gatan vägen stigen gränd backen torget allén gata väg stig torg plan esplanaden kajen liden slingan brinken gången".split()
 
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -78,9 +90,26 @@ _MAYBE_NUMBER = re.compile(r"\d(?:[^\w\n]{0,4}\d){7}")
 _MAYBE_STREET = re.compile(rf"(?:{'|'.join(STREETS)})\s\d", re.I)
 _DATE_LIKE = re.compile(r"\d{6}\s?[-–+ ]\s?\d{4}")
 _WORD = re.compile(rf"(?<![\w@])[{_L}]+(?:-[{_L}]+)*\.?")
+_INITIAL = re.compile(r"[A-ZÅÄÖa-zåäö](?:-[A-ZÅÄÖ])?\.")
 _GAP = re.compile(r"[ \t\xa0]{1,2}")
 
 
+#: What ``learn`` keeps of the words: at most as many as this share of all words allows, 200,000.
+WORD_SHARE = 5e-6
+#: A word is common if it is written small at least so often, and more often than it follows a given name or title; it is a
+#: family name if it follows them at least so often, and is hardly ever written small.
+SMALL, FOLLOWS, HARDLY = 3, 2, 0.05
+#: Two-digit years after this one are of the century before.
+LATEST_YEAR = 2029
+
+
+class Known(NamedTuple):
+    """What the corpus says of words, in small letters."""
+
+    family: frozenset[str] = frozenset()
+    common: frozenset[str] = frozenset()
+
+
 class Item(NamedTuple):
     start: int
     end: int
@@ -109,7 +138,7 @@ def _identity(m: re.Match) -> str | None:
         return None
     year = int((century or "19") + yy)
     if not century:
-        year = 2000 + int(yy) if int(yy) <= 29 else 1900 + int(yy)
+        year = LATEST_YEAR - (LATEST_YEAR - int(yy)) % 100
         year -= 100 * (sign == "+")
     try:
         datetime.date(year, int(mm), day)
@@ -147,22 +176,35 @@ def _is_given(w: str) -> bool:
 
 
 @functools.lru_cache(50_000)
-def _is_family(w: str, rare: bool = False) -> bool:
+def _has_ending(w: str, rare: bool = False) -> bool:
     ends = RARE_ENDINGS if rare else tuple(ENDINGS)
     parts = _bare(w).split("-")
-    return all(len(p) > 4 and p.endswith(ends) and p not in NO_FAMILY for p in parts)
+    return bool(ends) and all(len(p) > 4 and p.endswith(ends) and p not in NO_FAMILY for p in parts)
 
 
 def _capital(w: str) -> bool:
     return w[:1].isupper()
 
 
-def _names(s: str, whole_field: bool) -> Iterator[tuple[int, int]]:
+@functools.lru_cache(50_000)
+def _may_be_name(w: str, like: str = "Aa") -> bool:
+    """A word, written like another (small, all in capitals, else with a capital and small letters), that is no word of a unit, role or greeting."""
+    bare = _bare(w)
+    alike = w.islower() if like.islower() else w.isupper() if like.isupper() and len(like) > 1 else w[:1].isupper() and (w[1:].islower() or "-" in w)
+    return alike and len(bare) > 2 and not w.endswith(".") and bare not in NOT_NAMES and bare not in ANNOUNCE and bare not in UNITS and not bare.endswith(tuple(STREETS))
+
+
+def _names(s: str, whole_field: bool, known: Known = Known()) -> Iterator[tuple[int, int]]:
     """Spans of persons' names: given name and family name in either order, with initials, or either alone where it names a person."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(s)]
     text = [s[a:b] for a, b in words]
     n, i = len(words), 0
-    if not any(_is_given(w.rstrip(".")) or _is_family(w) for w in text):
+
+    def family(w: str, rare: bool = False) -> bool:
+        return _has_ending(w, rare) or (len(w) > 2 and all(p in known.family for p in _bare(w).split("-")))
+
+    announced = INTRODUCE | ADDRESS
+    if not any(_is_given(w.rstrip(".")) or family(w) or _bare(w) in announced or _INITIAL.fullmatch(w) for w in text):
         return
 
     def near(k: int, comma: bool = False) -> bool:
@@ -173,11 +215,31 @@ def _names(s: str, whole_field: bool) -> Iterator[tuple[int, int]]:
         return (re.fullmatch(r",[ \xa0]{1,2}", gap) if comma else _GAP.fullmatch(gap)) is not None
 
     def initial(k: int) -> bool:
-        return k < n and re.fullmatch(r"[A-ZÅÄÖa-zåäö](?:-[A-ZÅÄÖ])?\.", text[k]) is not None
+        return k < n and _INITIAL.fullmatch(text[k]) is not None
 
     def end_of(k: int) -> int:
         return words[k][1] - text[k].endswith(".") * (not initial(k))
 
+    def unheard(k: int, like: str = "Aa") -> bool:
+        """A word that nothing speaks against being a name: no common one, and what follows makes it no disease, scale or unit."""
+        w = text[k].rstrip(".") if not initial(k) else text[k]
+        return _may_be_name(w, like) and _bare(w) not in known.common and not (near(k) and not text[k].endswith(".") and _bare(text[k + 1]) in NO_PERSON)
+
+    def behind(k: int) -> bool:
+        """Whether a word announces that a person follows."""
+        return k > 0 and _bare(text[k - 1]) in ANNOUNCE and re.fullmatch(r"[:,.]?[ \xa0]{1,2}", s[words[k - 1][1] : words[k][0]]) is not None
+
+    def run_of(k: int) -> int:
+        """The last of up to three unheard words, with initials between, from k on; k - 1 if there is none."""
+        last, count = k - 1, 0
+        while k < n and count < 3 and (unheard(k) or _is_given(text[k].rstrip(".")) and _capital(text[k]) or initial(k) and count):
+            count += not initial(k)
+            last = last if initial(k) else k
+            if text[k].endswith(".") and not initial(k) or not near(k):
+                break
+            k += 1
+        return last
+
     while i < n:
         w = text[i]
         # Given name, initials, family name.
@@ -185,7 +247,12 @@ def _names(s: str, whole_field: bool) -> Iterator[tuple[int, int]]:
             j = i
             while near(j) and (initial(j + 1) or (_is_given(text[j + 1]) and j - i < 2 and _capital(text[j + 1]) == _capital(w))):
                 j += 1
-            if near(j) and not text[j].endswith(".") | initial(j) and _is_family(text[j + 1]) and (_is_family(text[j + 1], True) or _capital(text[j + 1])) or (j > i and initial(j) and near(j) and _is_family(text[j + 1])):
+            follows = near(j) and (not text[j].endswith(".") or initial(j))
+            if follows and family(text[j + 1]) and (family(text[j + 1], True) or _capital(text[j + 1]) or j > i and initial(j)):
+                yield words[i][0], end_of(j + 1)
+                i = j + 2
+                continue
+            if follows and (_capital(w) or whole_field) and unheard(j + 1, w):
                 yield words[i][0], end_of(j + 1)
                 i = j + 2
                 continue
@@ -194,12 +261,12 @@ def _names(s: str, whole_field: bool) -> Iterator[tuple[int, int]]:
             j = i
             while near(j) and initial(j + 1):
                 j += 1
-            if near(j) and _is_family(text[j + 1]):
+            if near(j) and (family(text[j + 1]) or w[0].isupper() and unheard(j + 1) and (i == 0 if whole_field else behind(i))):
                 yield words[i][0], end_of(j + 1)
                 i = j + 2
                 continue
         # Family name, comma, given name or initial.
-        if _is_family(w) and not w.endswith("."):
+        if not w.endswith(".") and (family(w) or _capital(w) and near(i, comma=True) and unheard(i) and (whole_field or behind(i) and _capital(text[i + 1]))):
             if near(i, comma=True) and (_is_given(text[i + 1].rstrip(".")) or initial(i + 1)):
                 j = i + 1
                 while near(j) and initial(j + 1):
@@ -207,11 +274,18 @@ def _names(s: str, whole_field: bool) -> Iterator[tuple[int, int]]:
                 yield words[i][0], end_of(j)
                 i = j + 1
                 continue
-            if near(i) and _is_given(text[i + 1].rstrip(".")) and _capital(text[i + 1]) == _capital(w) and _is_family(w, True):
+            if near(i) and _is_given(text[i + 1].rstrip(".")) and _capital(text[i + 1]) == _capital(w) and family(w, True):
                 yield words[i][0], end_of(i + 1)
                 i += 2
                 continue
-        if _is_family(w, True) or (_is_family(w) and _capital(w) and i and _bare(text[i - 1]) in ("dr", "doktor", "syster", "nurse", "prof")):
+        # Names that nobody knows, behind a title or a word that introduces or addresses a person.
+        if behind(i) and (told := _bare(text[i - 1])) in announced and unheard(i):
+            j = run_of(i)
+            if j > i or told in INTRODUCE:
+                yield words[i][0], end_of(j)
+                i = j + 1
+                continue
+        if family(w, True) or (family(w) and _capital(w) and i and _bare(text[i - 1]) in ("dr", "doktor", "syster", "nurse", "prof")):
             yield words[i][0], end_of(i)
         elif _is_given(w.rstrip(".")) and _alone(s, words, text, i, whole_field):
             yield words[i][0], end_of(i)
@@ -233,10 +307,10 @@ def _alone(s: str, words: list[tuple[int, int]], text: list[str], i: int, whole_
     return re.match(r"\s(?:hjälpte|bad|hittade|sa |sade|säger|på avdelning|på mottagning|ringde|skrev|vill|tyckte|tycker|visade|helped|asked|said|told|wants)", after) is not None
 
 
-def find(s: str | None, field: str = "") -> list[Item]:
+def find(s: str | None, field: str = "", known: Known = Known()) -> list[Item]:
     """Items in order of their place, none overlapping another; none for null and blank texts.
 
-    In the field ``participant_name`` a given name alone is a name.
+    In the field ``participant_name`` a given name alone is a name. ``known`` is what ``learn`` has of the corpus.
     """
     if not s or not s.strip():
         return []
@@ -264,7 +338,7 @@ def find(s: str | None, field: str = "") -> list[Item]:
     rest = list(s)
     for x in found:
         rest[x.start : x.end] = "\x00" * (x.end - x.start)
-    for a, b in _names("".join(rest), field == "participant_name"):
+    for a, b in _names("".join(rest), field == "participant_name", known):
         take(a, b, "name")
     return sorted(found)
 
@@ -345,38 +419,100 @@ def pseudonym(item: Item, key: bytes) -> str:
     return _code(key, item.kind, re.sub(r"[\s,]+", " ", v.casefold()))
 
 
-def mask(s: str | None, field: str, key: bytes) -> str | None:
-    """The text with a placeholder [kind:pseudonym] for each item; null stays null."""
+def linked(s: str | None, field: str, key: bytes, known: Known = Known()) -> list[tuple[Item, str]]:
+    """The items of a text, each with its placeholder [kind:pseudonym]."""
+    return [(x, f"[{x.kind}:{pseudonym(x, key)}]") for x in find(s, field, known)]
+
+
+def mask(s: str | None, field: str, key: bytes, known: Known = Known()) -> str | None:
+    """The text with a placeholder for each item; null stays null."""
     if not s:
         return s
     out, at = [], 0
-    for x in find(s, field):
-        out += [s[at : x.start], f"[{x.kind}:{pseudonym(x, key)}]"]
+    for x, placeholder in linked(s, field, key, known):
+        out += [s[at : x.start], placeholder]
         at = x.end
     return "".join([*out, s[at:]])
 
 
-def find_items(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, field, start, kind, value: one row per item. Null and blank fields have none; a value that
-    occurs twice has two rows. Rows are independent, whole texts are read, nothing is shuffled."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("field", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])
+def count_words(texts: Iterator[tuple[str, str]]) -> Counter:
+    """Of the words of some texts (field, text): how often each stands in running text ("n"), there in small letters and
+    beside no given name ("s"), and behind a given name or an initial written alike, or behind a title ("f"). Parts of double names count by themselves."""
+    out: Counter = Counter()
+    for field, s in texts:
+        if _MAYBE_EMAIL.search(s):
+            s = _EMAIL.sub(" ; ", s)
+        words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(s)]
+        given = [_is_given(w.rstrip(".")) for w, _, _ in words]
+        beside = [k + 1 < len(words) and re.fullmatch(r",?[ \t\xa0]{1,2}", s[words[k][2] : words[k + 1][1]]) is not None for k in range(len(words))]
+        for k, (w, _, _) in enumerate(words):
+            before = words[k - 1][0] if k and beside[k - 1] else ""
+            alike = bool(before) and (_capital(before) == _capital(w) or field == "participant_name")
+            behind = alike and (given[k - 1] and not before.endswith(".") or re.fullmatch(r"[A-ZÅÄÖ]\.", before) is not None) or _capital(w) and _bare(before) in INTRODUCE
+            named = behind or alike and given[k - 1] or beside[k] and given[k + 1]
+            for bare in _bare(w).split("-"):
+                if field != "participant_name":
+                    out["n", bare] += 1
+                    out["s", bare] += w[:1].islower() and not named
+                if behind and (_capital(w) or field == "participant_name") and len(bare) > 2 and not given[k] and bare not in NOT_NAMES and bare not in ANNOUNCE and bare not in UNITS:
+                    out["f", bare] += 1
+    return out
+
+
+def learn(df: DataFrame, fields: list[str]) -> Known:
+    """The common words and the family names of a corpus. Counted within each task; what comes to the driver is bounded by its share of all words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+
+        def told() -> pd.DataFrame:
+            rows = [(k, w, n) for (k, w), n in total.items() if n]
+            total.clear()
+            return pd.DataFrame(rows, columns=["kind", "word", "n"])
+
+        for b in batches:
+            total.update(count_words((f, s) for f in fields for s in b[f] if isinstance(s, str)))
+            total["t", ""] = sum(n for (k, _), n in total.items() if k in "nt")
+            if len(total) > 500_000:
+                yield told()
+        yield told()
+
+    made = df.select(*fields).mapInPandas(run, "kind string, word string, n long")
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+    counts = made.groupBy("word").agg(of("n"), of("s"), of("f"), of("t")).persist()
+    try:
+        total = counts.where("word = ''").agg(F.sum("t")).first()[0] or 0
+        least = max(1, total * WORD_SHARE)
+        common = (F.col("s") >= max(least, SMALL)) & (F.col("s") > F.col("f"))
+        family = (F.col("f") >= max(least, FOLLOWS)) & (F.col("s") <= HARDLY * (F.col("n") + F.col("f")))
+        rows = counts.where((F.col("word") != "") & (common | family)).select("word", common.alias("common")).collect()
+    finally:
+        counts.unpersist()
+    return Known(frozenset(r.word for r in rows if not r.common), frozenset(r.word for r in rows if r.common))
+
+
+def find_items(df: DataFrame, key: str, fields: list[str], secret: bytes, known: Known | None = None) -> DataFrame:
+    """key, field, start, kind, value, placeholder: one row per item, as ``mask_fields`` replaces it. Null and blank
+    fields have none; a value that occurs twice has two rows. Whole texts are read, nothing is shuffled but counts of words."""
+    names = ["field", "start", "kind", "value", "placeholder"]
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(c, T.IntegerType() if c == "start" else T.StringType()) for c in names)])
+    shared = df.sparkSession.sparkContext.broadcast(known or learn(df, fields))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, f, x.start, x.kind, x.value) for f in fields for k, s in zip(b[key], b[f]) if isinstance(s, str) for x in find(s, f)]
+            rows = [(k, f, x.start, x.kind, x.value, to) for f in fields for k, s in zip(b[key], b[f]) if isinstance(s, str) for x, to in linked(s, f, secret, shared.value)]
             yield pd.DataFrame(rows, columns=schema.names)
 
     return df.select(key, *fields).mapInPandas(run, schema)
 
 
-def mask_fields(df: DataFrame, key: str, fields: list[str], secret: bytes) -> DataFrame:
+def mask_fields(df: DataFrame, key: str, fields: list[str], secret: bytes, known: Known | None = None) -> DataFrame:
     """key and the fields with placeholders; one row per row."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *(T.StructField(f, T.StringType()) for f in fields)])
+    shared = df.sparkSession.sparkContext.broadcast(known or learn(df, fields))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(**{f: [mask(s if isinstance(s, str) else None, f, secret) for s in b[f]] for f in fields})
+            yield b.assign(**{f: [mask(s if isinstance(s, str) else None, f, secret, shared.value) for s in b[f]] for f in fields})
 
     return df.select(key, *fields).mapInPandas(run, schema)
-
-
