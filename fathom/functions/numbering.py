@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.session import checkpointed
+
 
 def dense_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with ``name`` (long, from 0) in the order given.
 
     Rows are numbered within ranges of the order: one sort by range, a count per
-    range, and a window over those counts alone. The ranges are persisted, as both
-    the counts and the rows read them.
+    range, and a window over those counts alone. The ranges are kept by a
+    checkpoint, as both the counts and the rows read them.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).persist()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ranged = checkpointed(ranged)
     # Within a partition that number begins at 0 in its lower 33 bits.
     low = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import NamedTuple
@@ -22,20 +21,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.operators import index, vectors
+from fathom.session import shared_folder
 
 BUCKETS = 16
 VERSION = 1
-_OWN: list[tempfile.TemporaryDirectory] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, else one of this machine that goes with the process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.TemporaryDirectory(prefix="fathom-"))
-    return f"file:{_OWN[0].name}"
 
 
 def _path(spark: SparkSession, where: str):
