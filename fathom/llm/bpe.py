@@ -13,6 +13,7 @@ no merge across the border has a lower rank than the merges that built them.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -65,11 +66,10 @@ class _Kept(dict):
 
 
 class Backtracking:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary, the content of its file."""
 
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+    def __init__(self, vocabulary: bytes):
+        model = json.loads(vocabulary)["model"]
         letters = _byte_letters()
         ids: dict[str, int] = model["vocab"]
         size = max(ids.values()) + 1
@@ -194,12 +194,35 @@ class Backtracking:
         return b"".join(pool[o[i] : o[i + 1]] for i in ids).decode("utf-8", errors="replace")
 
 
-@lru_cache(2)
-def encoder(path: str = VOCABULARY) -> Backtracking:
-    """One per Python worker, built when first needed."""
+def _content(path: str) -> bytes:
     if not os.path.exists(path):
         raise FileNotFoundError(f"no vocabulary at {path}")
-    return Backtracking(path)
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@lru_cache(2)
+def encoder(path: str = VOCABULARY) -> Backtracking:
+    """The encoder on the driver."""
+    return Backtracking(_content(path))
+
+
+_ENCODERS: dict[str, Backtracking] = {}
+
+
+def shipped(df: DataFrame, path: str):
+    """The vocabulary as a broadcast: a file of some megabytes that only the driver has to have."""
+    content = _content(path)
+    return df.sparkSession.sparkContext.broadcast((hashlib.sha256(content).hexdigest(), content))
+
+
+def encoder_of(shared) -> Backtracking:
+    """The encoder of a worker, built when first needed."""
+    key, content = shared.value
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Backtracking(content)
+    return _ENCODERS[key]
 
 
 def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
@@ -210,9 +233,10 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", pat
     """
     key_type = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    shared = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder_of(shared)
         for b in batches:
             # A batch may hold long texts; ids go out in parts of bounded size.
             keys, texts = b.column(0), b.column(1)
@@ -231,9 +255,10 @@ def encode_documents(df: DataFrame, key: str = "doc_id", text: str = "text", pat
 def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
     """key, text: the texts that the ids stand for. A null list gives null, an empty one ''."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("text", T.StringType())])
+    shared = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder_of(shared)
         for b in batches:
             texts = [None if x is None else enc.decode(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[key, "text"])
@@ -244,9 +269,10 @@ def decode_documents(df: DataFrame, key: str = "doc_id", ids: str = "ids", path:
 def token_counts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
     """key, n_tokens (int)."""
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("n_tokens", T.IntegerType())])
+    shared = shipped(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder_of(shared)
         for b in batches:
             counts = pa.array([enc.count(x.as_py()) for x in b.column(1)], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), counts], names=[key, "n_tokens"])

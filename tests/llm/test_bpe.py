@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathom.llm import bpe, packing
+from fathom.llm import bpe
 
 pytestmark = pytest.mark.skipif(not os.path.exists(bpe.VOCABULARY), reason="no vocabulary here")
 
@@ -40,38 +40,3 @@ def test_frames(spark):
     assert back == {1: "Hej på dig", 2: "", 3: "", 4: " "}
     assert bpe.encode_documents(df.limit(0)).count() == 0
     assert {r.doc_id: r.n_tokens for r in bpe.token_counts(df, "doc_id", "text").collect()}[2] == 0
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=120))
-def test_containers(sizes):
-    boxes = packing.SumOfSquares(64)
-    level = {}
-    for s in sizes:
-        box, at = boxes.place(s)
-        assert level.get(box, 0) == at
-        level[box] = at + s
-        assert level[box] <= 64
-    assert sum(level.values()) == sum(sizes)
-    assert [int(n) for n in boxes.levels[1:64]] == [sum(v == h for v in level.values()) for h in range(1, 64)]
-
-
-def test_packing_is_whole(spark):
-    df = spark.createDataFrame([(k, "ord " * (k * 37 % 900)) for k in range(1, 120)] + [(500, None), (501, ""), (502, "a b " * 4000)], "doc_id long, text string")
-    rows = packing.pack_documents(df).collect()
-    want = {r.doc_id: r.n_tokens for r in bpe.token_counts(df, "doc_id", "text").collect() if r.n_tokens}
-    by_doc, by_box = {}, {}
-    for r in rows:
-        by_doc.setdefault(r.doc_id, []).append(r)
-        by_box.setdefault(r.container, []).append(r)
-    assert {k: sum(r.n_tokens for r in v) for k, v in by_doc.items()} == want
-    assert all(sum(r.n_tokens for r in v) <= packing.CAPACITY for v in by_box.values())
-    assert all(len(v) == 1 for k, v in by_doc.items() if want[k] <= packing.CAPACITY)
-    report = packing.fill_report(packing.pack_documents(df)).first()
-    assert report.tokens == sum(want.values()) and report.containers == len(by_box)
-    empty = packing.fill_report(packing.pack_documents(df.limit(0))).first()
-    assert (empty.containers, empty.tokens, empty.used_share) == (0, 0, None)
-
-
-def test_pieces():
-    assert packing.pieces(5000, 2048) == [2048, 2048, 904] and packing.pieces(4096, 2048) == [2048, 2048] and packing.pieces(0, 2048) == []
