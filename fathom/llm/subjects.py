@@ -50,13 +50,17 @@ _MOJIBAKE = re.compile(r"[ÂÃÅâ][\x80-\xbfŒœŠšŸŽžƒˆ˜–—‘’‚
 _JUNK = re.compile(
     r" ?<b>[^<]{0,12}</b> ?(?:&nbsp;)?| ?</?(?:s|p|b|i|u|em|strong|span|div|br|li|ul|ol|td|tr|th|table|h[1-6])\b[^>]{0,200}>(?:</?s>)? ?| ?<\|[^|>]{1,40}\|> ?"
     r"| ?(?:\[/?INST\]|<<?/?SYS>?>|\[(?:PAD|UNK|CLS|SEP|MASK|BOS|EOS)\]) ?"
-    r"| ?[​-‏⁠﻿­]+ ?| ?(?:[☀-➿️‍🀀-🯿]+ ?)+| ?(?:[Ͱ-῿぀-鿿가-힯]+(?: (?=[Ͱ-῿぀-鿿가-힯]))?)+ ?|(?<=\w)\t{2,}(?=\w)"
+    r"| ?[​-‏⁠﻿­]+ ?| ?(?:[☀-➿️‍🀀-🯿]+ ?)+|(?<=\w)\t{2,}(?=\w)"
 )
+# Other scripts: some words of one within a text are put in by mistake, unless they are this share of its letters, and so many.
+_OTHER = re.compile(r"[Ͱ-῿぀-鿿가-힯]")
+_OTHER_WORDS = re.compile(r" ?(?:[Ͱ-῿぀-鿿가-힯]+(?: (?=[Ͱ-῿぀-鿿가-힯]))?)+ ?")
+OTHER_SHARE, OTHER_LEAST = 0.2, 20
 _ENGLISH = set("the and is are of to be in on for by with this that when must have has it then first not do if does after before".split())
 _SWEDISH = set("och att är som för av på om den det i till med en ett ska inte har när vid från eller sedan först efter före får hur".split())
 # Most texts have none of these and need no cleaning.
 _MAYBE_JUNK = re.compile(r"[<\[\t​-‏⁠﻿­☀-➿️\U0001f000-\U0001fbffͰ-῿぀-鿿가-힯]")
-_END = re.compile(r"[.!?…][\"'”»)\]]*(?=\s|$)")
+_END = re.compile(r"[.!?…][\"'”»)\]]*(?=\s|$)|[。！？]")
 _LINE = re.compile(r"[\n\r\f]+")
 _TERM = re.compile(r"[^\W\d_]{2,}")
 _GOES_ON = re.compile(r"\s*(?:därför att|otherwise|annars|because)\b")
@@ -64,13 +68,17 @@ _PARAGRAPH = re.compile(r"</?p>", re.I)
 
 
 def plain(s: str) -> str:
-    """A text without mark-up, wrongly decoded characters and inserted symbols, composed and in small letters."""
+    """A text without mark-up, wrongly decoded characters, inserted symbols and some words of another script, composed and in small letters.
+
+    A text that is written in another script stays."""
     if "Ã" in s or "â€" in s or "Â" in s:
         s = _MOJIBAKE.sub(_decode, s)
     if "<" in s:
         s = _PARAGRAPH.sub("\n", s)
     if _MAYBE_JUNK.search(s):
         s = _JUNK.sub("", s)
+        if 0 < (n := len(_OTHER.findall(s))) < max(OTHER_LEAST, OTHER_SHARE * sum(map(str.isalpha, s))):
+            s = _OTHER_WORDS.sub("", s)
     if "&" in s:
         s = html.unescape(s)
     return unicodedata.normalize("NFC", s).casefold()
@@ -101,12 +109,12 @@ def sentences(s: str | None) -> list[str]:
         for m in _END.finditer(line):
             part = line[at : m.end()]
             at = m.end()
-            if len(part) > 8 and " " in part.strip():
+            if len(part) > 8 and (" " in part.strip() or _OTHER.search(part)):
                 if out and _GOES_ON.match(part) and out[-1][-1:] == "?":
                     out[-1] += part
                 else:
                     out.append(part)
-    if not out and len(whole.split()) > 2:
+    if not out and (len(whole.split()) > 2 or len(_OTHER.findall(whole)) > 8):
         out = [" ".join(whole.split())]
     return out
 
@@ -170,16 +178,46 @@ def _codes(texts: list[list[tuple[str, list[str]]]], vocabulary: dict[str, int],
     return np.array(flat, dtype=np.int64), np.array(ends, dtype=np.int64), np.array(of, dtype=np.int64)
 
 
-def _leading(gram: np.ndarray, most: int) -> np.ndarray:
-    """The leading eigenvectors of a Gram matrix, by subspace iteration."""
+def _leading(gram: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest eigenvalues of a Gram matrix and their vectors, by subspace iteration."""
     n = len(gram)
     if n <= most:
-        return np.linalg.eigh(gram)[1][:, ::-1] if n else np.zeros((0, 0))
+        values, vectors = np.linalg.eigh(gram) if n else (np.zeros(0), np.zeros((0, 0)))
+        return values[::-1], vectors[:, ::-1]
     q = np.linalg.qr(np.random.default_rng(7).standard_normal((n, min(n, most + 8))))[0]
     for _ in range(12):
         q = np.linalg.qr(gram @ q)[0]
     values, small = np.linalg.eigh(q.T @ gram @ q)
-    return (q @ small)[:, ::-1][:, :most]
+    return values[::-1][:most], (q @ small)[:, ::-1][:, :most]
+
+
+def _products(group: np.ndarray, other: np.ndarray, entry: np.ndarray, n: int) -> np.ndarray:
+    """The inner products of the ``other`` axis of a sparse matrix, added up group by group."""
+    order = np.argsort(group, kind="stable")
+    group, other, entry = group[order], other[order], entry[order]
+    gram = np.zeros((n, n))
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, dtype=int)
+    for a, b in zip(starts, np.r_[starts[1:], len(group)]):
+        gram[np.ix_(other[a:b], other[a:b])] += np.outer(entry[a:b], entry[a:b])
+    return gram
+
+
+def decompose(rows: np.ndarray, cols: np.ndarray, entry: np.ndarray, n_rows: int, n_cols: int, most: int) -> np.ndarray:
+    """The leading right singular vectors of a sparse matrix of documents by terms.
+
+    By way of the inner products of its shorter side: documents are at most as many
+    as the fitting sample, so no more than its square is held, however many terms
+    there are.
+    """
+    if n_cols <= n_rows:
+        return _leading(_products(rows, cols, entry, n_cols), most)[1]
+    values, left = _leading(_products(cols, rows, entry, n_rows), most)
+    kept = values > 1e-12 * max(1.0, values[0] if len(values) else 0.0)
+    left = left[:, kept]
+    out = np.zeros((n_cols, left.shape[1]))
+    for k in range(left.shape[1]):
+        out[:, k] = np.bincount(cols, weights=entry * left[rows, k], minlength=n_cols)
+    return out / np.linalg.norm(out, axis=0)
 
 
 def _information(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -226,7 +264,7 @@ def _fit(sents: list[list[tuple[str, list[str]]]], labels: list[set[int]], subje
     for turn in range(rounds):
         info = _information(counts, prior)
         kept = np.flatnonzero(info > 0)
-        # The weighted documents by terms, and the truncated decomposition by way of the terms' inner products.
+        # The weighted documents by terms, and the truncated decomposition.
         value = info * inverse
         number = np.full(len(words), -1)
         number[kept] = np.arange(len(kept))
@@ -234,12 +272,8 @@ def _fit(sents: list[list[tuple[str, list[str]]]], labels: list[set[int]], subje
         cells, times = np.unique(of[where[used]] * len(kept) + number[flat[used]], return_counts=True) if len(kept) else (np.zeros(0, dtype=int), np.zeros(0))
         rows, cols = np.divmod(cells, max(1, len(kept)))
         entry = (1 + np.log(np.maximum(1, times))) * value[kept[cols]]
-        gram = np.zeros((len(kept), len(kept)))
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, dtype=int)
-        for a, b in zip(starts, np.r_[starts[1:], len(rows)]):
-            x = entry[a:b] / np.linalg.norm(entry[a:b])
-            gram[np.ix_(cols[a:b], cols[a:b])] += np.outer(x, x)
-        base = _leading(gram, dimensions)
+        length = np.sqrt(np.bincount(rows, weights=entry * entry, minlength=len(sents))) if len(rows) else np.zeros(len(sents))
+        base = decompose(rows, cols, entry / length[rows], len(sents), len(kept), dimensions)
         vectors = np.zeros((len(words), base.shape[1]))
         vectors[kept] = base * value[kept, None]
         points = _unit(_sums(vectors, flat, ends))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from fathom.llm import subjects as s
@@ -73,3 +74,25 @@ def test_frames(spark):
     assert len(found & {(k, 1 + k % 3) for k in range(90)}) >= 85 and (102, 1) in found and not {r for r in found if r[0] in (100, 101)}
     comp = {r.subject_id: r for r in s.composition(got, docs, areas).collect()}
     assert comp[4].n_docs == 0 and len(comp) == 4
+
+
+def test_decomposition_by_either_side():
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((30, 50)) < 0.3, rng.random((30, 50)), 0)
+    for m in (x, x.T):
+        rows, cols = np.nonzero(m)
+        got = s.decompose(rows, cols, m[rows, cols], *m.shape, 5)
+        want = np.linalg.svd(m)[2][:5].T
+        assert np.allclose(np.abs((got * want).sum(0)), 1, atol=1e-4)
+
+
+def test_other_scripts():
+    """Some words of another script are left out, a text in one is read."""
+    assert s.sentences("Först modern, sedan 血液検査 vaggan här.") == ["först modern, sedan vaggan här."] or "血" not in s.sentences("Först modern, sedan 血液検査 vaggan här.")[0]
+    assert len(s.sentences("Η εξέταση αίματος γίνεται το πρωί. Ο ασθενής περιμένει στην αίθουσα.")) == 2
+    assert len(s.sentences("血液検査は朝に行われます。患者は待合室で待ちます。")) == 2
+    greek = {1: ["αίματος", "καρδιά", "πίεση", "φλέβα"], 2: ["φόρος", "τιμολόγιο", "προϋπολογισμός", "σύμβαση"]}
+    rng = random.Random(4)
+    made = lambda k: " ".join(f"Ελέγξτε {rng.choice(greek[k])} και {rng.choice(greek[k])} σήμερα." for _ in range(4))
+    model = s.fit([made(1 + k % 2) for k in range(60)], [{1 + k % 2} for k in range(60)], [1, 2], dimensions=4)
+    assert s.assign([made(1), made(2), ""], model) == [[1], [2], []]
