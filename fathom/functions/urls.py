@@ -44,6 +44,15 @@ def url_filename(c: Column) -> Column:
     return run(c)
 
 
+def name_in_address(url: Column) -> Column:
+    """``document_name`` within the engine: the query's first name of a file, else the last part of the path that is no "getdocument"; '' if there is none."""
+    query = F.regexp_extract(url, r"\?([^#]*)", 1)
+    named = [F.try_url_decode(F.regexp_extract(query, f"(?:^|&){k}=([^&]+)", 1)) for k in NAME_KEYS]
+    parts = F.filter(F.split(F.regexp_replace(url, r"^[^/:]*://[^/?#]*|[?#].*$", ""), "/"), lambda x: x != "")
+    last = F.try_url_decode(F.replace(F.try_element_at(parts, F.lit(-1)), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(*(F.nullif(n, F.lit("")) for n in named), F.when(F.lower(last) != "getdocument", last), F.lit(""))
+
+
 def is_document_link(url: Column, types: tuple[str, ...] = DOCUMENT_TYPES) -> Column:
     """A path that ends in a document's extension or asks for a document, or a query value that ends in one."""
     ends = f"(?i)\\.({'|'.join(types)})$"

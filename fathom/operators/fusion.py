@@ -9,17 +9,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
+from fathom.functions import urls
 
 RRF = 60
 #: The order in which methods are pooled.
 METHODS = ["bm25", "sqlite_fts", "dense", "dense_e5", "hybrid", "hybrid_e5"]
 
 
+#: Where a result's title, address and user are looked for, in order.
+TITLE_KEYS = ["title", "document_title", "doc_title", "name", "filename", "file_name"]
+URL_KEYS = ["source_url", "url", "link", "href", "source"]
+USER_KEYS = ["user_name", "participant_name", "user", "name"]
+
+
+def result_url(metadata: Column) -> Column:
+    """The first address of the metadata's keys that is not blank, '' if that is none of http."""
+    url = t.first_value(*(metadata[k] for k in URL_KEYS))
+    return F.when(url.rlike("(?i)^https?://"), url).otherwise("")
+
+
 def result_title(metadata: Column, path: Column) -> Column:
-    """The title of a hit: of the metadata's keys in order, else the last part of the path without its extension."""
-    keys = ["title", "document_title", "doc_title", "name", "filename", "file_name"]
-    base = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return t.first_value(*(metadata[k] for k in keys), base)
+    """The title of a hit: of the metadata's keys in order, else the name in its address, else the last part of its path."""
+    last = F.filter(F.split(F.trim(path), "/"), lambda x: x != "")
+    return t.first_value(*(metadata[k] for k in TITLE_KEYS), urls.name_in_address(result_url(metadata)), F.try_element_at(last, F.lit(-1)))
+
+
+def score_text(score: Column) -> Column:
+    """A number with at most twelve significant digits, without needless zeros; null gives ''."""
+    s = F.format_string("%.12g", score.cast("double"))
+    return F.when(score.isNull(), "").otherwise(F.regexp_replace(F.regexp_replace(s, r"(\.[0-9]*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1"))
+
+
+def user_name(payload: Column) -> Column:
+    return F.coalesce(t.first_value(*(payload[k] for k in USER_KEYS)), F.lit(""))
 
 
 def best_per_document(hits: DataFrame, doc: str, score: str = "score", order: str = "rank", group: list[str] | None = None, k: int | None = None) -> DataFrame:
@@ -112,6 +134,21 @@ def valid_rating(rating: Column) -> Column:
     return F.coalesce(rating.rlike(r"^\s*[1-5]\s*$"), F.lit(False))
 
 
+def rating_errors(request: Column) -> Column:
+    """What is wrong with a rating (search_id, user_score): '' if it is accepted."""
+    return F.when(t.first_value(request["search_id"]).isNull(), "search_id is required").when(~valid_rating(request["user_score"]), "user_score must be 1 to 5").otherwise("")
+
+
+def rated_document(request: Column) -> Column:
+    """The document that a rating is of: as named, else its title, path or address."""
+    return F.coalesce(t.first_value(*(request[k] for k in ("document", "title", "source_path", "url"))), F.lit(""))
+
+
+def submission_errors(fields: dict[str, Column]) -> Column:
+    """The names of the fields that are blank, joined by "|"."""
+    return F.concat_ws("|", *(F.when(t.first_value(c).isNull(), name) for name, c in fields.items()))
+
+
 def safe_int(c: Column, default: int) -> Column:
     return F.coalesce(F.trim(c).try_cast("int"), F.lit(default))
 

@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
+from fathom.operators import fusion
 
-RESULT = "struct<title:string, source_path:string, chunk_id:string, chunk_type:string, url:string, metadata:map<string,string>, pooled_from:array<string>, section_heading:string, chunk_text:string, text:string, assessment:struct<rating:string, relevant_scope:string, relevant_section:string, comment:string>>"
+_TEXTS = "document title source_path source_url url link href source chunk_id chunk_type section_heading section_text chunk_text preview_text text result_method demo_method".split()
+RESULT = f"struct<{', '.join(f'{c}:string' for c in _TEXTS)}, metadata:map<string,string>, assessment:struct<rating:string, relevant_scope:string, relevant_section:string, comment:string>>"
 PAYLOAD = f"struct<query:string, information_need:string, participant_name:string, general_comment:string, results:array<{RESULT}>>"
+#: The metadata's keys that may hold a result's document, in order.
+DOCUMENT_KEYS = [*fusion.TITLE_KEYS, "source_path", "source_url", "url"]
 
 
 def parsed(submissions: DataFrame) -> DataFrame:
@@ -22,8 +26,11 @@ def _text(c: Column) -> Column:
 
 
 def result_doc(r: Column) -> Column:
-    """The document of a result: its title, its metadata's title, else its path, in normal form."""
-    return t.plain_doc_id(t.first_value(r["title"], r["metadata"]["title"], r["source_path"], r["url"]))
+    """The document of a result in normal form: the first that has one of its name and title, its metadata's keys, its path and address."""
+    options = [r["document"], r["title"], *(r["metadata"][k] for k in DOCUMENT_KEYS), r["source_path"], r["source_url"], r["url"]]
+    # Texts that are nothing but a known extension have no normal form.
+    found = F.filter(F.array(*(F.trim(F.coalesce(o, F.lit(""))) for o in options)), lambda x: (x != "") & ~F.lower(x).rlike(r"^[\s.]*$"))
+    return t.plain_doc_id(F.try_element_at(found, F.lit(1)))
 
 
 def results(forms: DataFrame) -> DataFrame:
@@ -58,10 +65,28 @@ def excluding(forms: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def relevant_chunks(forms: DataFrame) -> DataFrame:
-    """A row per relevant result with its document, section and comment; missing values are ''."""
-    r = F.col("r")
-    return results(forms).where(r["assessment"]["rating"] == "relevant").select(
-        "id", "created_at", "query_id", "information_need", "result_index", _text(r["source_path"]).alias("source_path"), _text(t.first_value(r["title"], r["metadata"]["title"])).alias("document_title"),
-        _text(r["assessment"]["relevant_scope"]).alias("relevant_scope"), _text(r["assessment"]["relevant_section"]).alias("relevant_section"), _text(r["assessment"]["comment"]).alias("assessment_comment"),
-        F.coalesce(F.array_join(r["pooled_from"], "|"), F.lit("")).alias("pooled_from_methods"),
+    """A row per relevant result, with the form, the document, where its text was found and what was said of it; missing values are ''."""
+    r, m, p = F.col("r"), F.col("r.metadata"), F.col("p")
+    rows = forms.select("id", "created_at", "p", F.posexplode("p.results").alias("n", "r")).where(F.trim(F.col("r.assessment.rating")) == "relevant")
+    one = lambda *options: F.coalesce(t.first_value(*options), F.lit(""))
+    pooled = F.array_join(F.filter(F.transform(F.from_json(m["pooled_from"], "array<string>"), F.trim), lambda x: x != ""), "|")
+    return rows.select(
+        "id", "created_at", one(p["participant_name"]).alias("participant_name"), one(p["information_need"]).alias("information_need"), one(p["query"]).alias("query"), one(p["general_comment"]).alias("general_comment"),
+        (F.col("n") + 1).alias("result_index"), one(r["chunk_id"]).alias("chunk_id"), one(r["chunk_type"]).alias("chunk_type"), one(r["source_path"]).alias("source_path"),
+        one(r["title"], *(m[k] for k in fusion.TITLE_KEYS)).alias("document_title"), one(*(r[k] for k in fusion.URL_KEYS), *(m[k] for k in fusion.URL_KEYS)).alias("document_url"),
+        one(pooled, r["result_method"], r["demo_method"], m["demo_method"]).alias("pooled_from_methods"), one(r["section_heading"], m["section_heading"]).alias("section_heading"),
+        one(r["section_text"], r["chunk_text"], r["preview_text"], r["text"], m["section_text"]).alias("chunk_text"),
+        *(one(r["assessment"][c]).alias(a) for c, a in (("relevant_scope", "relevant_scope"), ("relevant_section", "relevant_section"), ("comment", "assessment_comment"))),
     )
+
+
+def write_submissions(forms: DataFrame, folder: str) -> None:
+    """Accepted forms appended to a table, one file of rows per write; ids come with the rows."""
+    forms.write.mode("append").parquet(folder)
+
+
+def accepted(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The forms that name a participant, a need and a query, and those that don't, with the names of the blank fields."""
+    fields = {"participant_name": F.col("participant_name"), "information_need": F.col("information_need"), "query": F.col("query_text")}
+    checked = forms.withColumn("errors", fusion.submission_errors(fields))
+    return checked.where("errors = ''").drop("errors"), checked.where("errors <> ''")

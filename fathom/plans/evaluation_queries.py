@@ -255,8 +255,16 @@ QUERIES = {
     for f in (submissions_scan, submissions_to_qrels, submission_audit, exclude_submissions, relevant_chunks, sheet_unpivot, load_qrels, clean_qrels, qrels_variants, run_table, rr_at_k, ndcg_at_k, recall_at_k, average_rank, macro_summary, ndcg_per_query, quantile_bins, sweep_grid, chunking_compare, segmentation_compare, relevant_sets, latest_run, run_labels, ordered_methods, coerce_types, dedupe_runs, top_runs, rr_pivot, appended_csv, collect_runs)
 }
 
-_J = "{\"query\": \"VARCHAR\", \"results\": [{\"title\": \"VARCHAR\", \"source_path\": \"VARCHAR\", \"url\": \"VARCHAR\", \"metadata\": {\"title\": \"VARCHAR\"}, \"assessment\": {\"rating\": \"VARCHAR\", \"relevant_scope\": \"VARCHAR\", \"relevant_section\": \"VARCHAR\", \"comment\": \"VARCHAR\"}}]}"
-_DOC = doc_id_sql("coalesce(nullif(trim(r.title), ''), nullif(trim(r.metadata.title), ''), nullif(trim(r.source_path), ''), nullif(trim(r.url), ''))")
+_TEXTS = ", ".join(f'"{c}": "VARCHAR"' for c in judgements._TEXTS)
+_KEYS = ", ".join(f'"{c}": "VARCHAR"' for c in dict.fromkeys([*judgements.DOCUMENT_KEYS, *fusion.URL_KEYS, "section_heading", "section_text", "demo_method", "pooled_from"]))
+_J = f'{{"query": "VARCHAR", "information_need": "VARCHAR", "participant_name": "VARCHAR", "general_comment": "VARCHAR", "results": [{{{_TEXTS}, "metadata": {{{_KEYS}}}, "assessment": {{"rating": "VARCHAR", "relevant_scope": "VARCHAR", "relevant_section": "VARCHAR", "comment": "VARCHAR"}}}}]}}'
+
+
+def _one(*options: str) -> str:
+    return f"coalesce({', '.join(f"nullif(trim({o}, ' '), '')" for o in options)}, '')"
+
+
+_DOC = doc_id_sql(_one("r.document", "r.title", *(f"r.metadata.{k}" for k in judgements.DOCUMENT_KEYS), "r.source_path", "r.source_url", "r.url"))
 FORMS = f"""forms as (select *, json_transform(payload_json, '{_J}') p from submissions where json_valid(payload_json)),
 res0 as (select id, created_at, coalesce(nullif(trim(p.query), ''), trim(query_text), '') query_id, trim(coalesce(information_need, '')) information_need, unnest(p.results) r, unnest(range(1, len(p.results) + 1)) result_index from forms),
 res as (select *, {_DOC} doc from res0)"""
@@ -285,7 +293,7 @@ ORACLE = {
     "submissions_to_qrels": f"with {JUDGED} select id, query_id, doc_id, relevance from q0",
     "submission_audit": f"with {FORMS}, a as (select *, list_transform(coalesce(p.results, []), lambda r: coalesce(r.assessment.rating, '')) x from forms), b as (select id, coalesce(nullif(trim(p.query), ''), trim(query_text), '') as query_id, len(x) as num_results, len(list_filter(x, lambda v: v = 'relevant')) as num_relevant, len(list_filter(x, lambda v: v = 'not_relevant')) as num_non_relevant, lower(trim(coalesce(p.query, ''))) = 'test' or lower(trim(coalesce(information_need, ''))) = 'test' as looks_like_test from a) select *, num_results - num_relevant - num_non_relevant as num_unrated from b",
     "exclude_submissions": "select id, query_text from submissions where coalesce(lower(trim(information_need)), '') <> 'test'",
-    "relevant_chunks": f"with {FORMS} select id, created_at, query_id, information_need, result_index, coalesce(trim(r.source_path), '') as source_path, coalesce(nullif(trim(r.title), ''), nullif(trim(r.metadata.title), ''), '') as document_title, coalesce(trim(r.assessment.relevant_scope), '') as relevant_scope, coalesce(trim(r.assessment.relevant_section), '') as relevant_section, coalesce(trim(r.assessment.comment), '') as assessment_comment, '' as pooled_from_methods from res where r.assessment.rating = 'relevant'",
+    "relevant_chunks": f"with {FORMS} select id, created_at, {', '.join(f'{_one(f"p.{c}")} as {c}' for c in ('participant_name', 'information_need', 'query', 'general_comment'))}, result_index, {_one('r.chunk_id')} as chunk_id, {_one('r.chunk_type')} as chunk_type, {_one('r.source_path')} as source_path, {_one('r.title', *(f'r.metadata.{k}' for k in fusion.TITLE_KEYS))} as document_title, {_one(*(f'r.{k}' for k in fusion.URL_KEYS), *(f'r.metadata.{k}' for k in fusion.URL_KEYS))} as document_url, {_one("array_to_string(from_json(r.metadata.pooled_from, '[\"VARCHAR\"]'), '|')", 'r.result_method', 'r.demo_method', 'r.metadata.demo_method')} as pooled_from_methods, {_one('r.section_heading', 'r.metadata.section_heading')} as section_heading, {_one('r.section_text', 'r.chunk_text', 'r.preview_text', 'r.text', 'r.metadata.section_text')} as chunk_text, {_one('r.assessment.relevant_scope')} as relevant_scope, {_one('r.assessment.relevant_section')} as relevant_section, {_one('r.assessment.comment')} as assessment_comment from (select f.*, res.r, res.result_index from res join forms f using (id)) where trim(r.assessment.rating) = 'relevant'",
     "sheet_unpivot": f"with a as (select title, unnest(['tax_keyword', 'comment', 'process']) query_type, unnest([tax_keyword, comment, process]) q from metadata) select distinct query_type, {sq('q')} as query_id, {doc_id_sql('title')} as doc_id, 1 as relevance from a where {sq("coalesce(q, '')")} <> '' and {doc_id_sql('title')} <> ''",
     "load_qrels": f"with {JUDGED} select query_type, count(distinct query_id) as n_queries, count(*) as n_rows, min(query_id) as first_seen from qrels group by 1",
     "clean_qrels": f"with {FORMS} select distinct query_id as query, information_need, doc as doc_id, 1 as relevance from res where query_id <> '' and information_need <> '' and doc <> ''",

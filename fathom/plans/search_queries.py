@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
-from fathom.operators import fusion, index, stored, vectors
+from fathom.functions import urls
+from fathom.operators import fusion, index, judgements, stored, vectors
 from fathom.plans.text_queries import TOKEN, corpus_fts
 from fathom.tables import load, spread
 
@@ -134,8 +135,11 @@ def _titled(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
 
 
 def result_title(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "chunk_metadata")
-    return c.select("chunk_id", fusion.result_title(F.from_json("metadata_json", "map<string,string>"), F.col("source_path")).alias("title"))
+    """Title, address, score as text and user of the chunks as hits; every other one has no title."""
+    c = load(spark, d, "chunk_metadata").withColumn("m", F.from_json("metadata_json", "map<string,string>"))
+    bare = F.when(F.col("chunk_id") % 2 == 0, F.map_filter("m", lambda k, v: k != "title")).otherwise(F.col("m"))
+    score = fusion.score_text(F.col("section_level") / (F.col("section_index") + 3))
+    return c.select("chunk_id", fusion.result_title(F.col("m"), F.col("source_path")).alias("title"), fusion.result_title(bare, F.col("source_path")).alias("other_title"), fusion.result_url(F.col("m")).alias("url"), score.alias("score"))
 
 
 def best_chunk_per_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -159,8 +163,17 @@ def search_log_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def validate_ratings(spark: SparkSession, d: str) -> DataFrame:
-    e = load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("rating"), "user_id")
-    return e.groupBy("user_id").agg(F.count_if(fusion.valid_rating(F.col("rating"))).alias("n_valid"), F.count_if(~fusion.valid_rating(F.col("rating"))).alias("n_rejected"))
+    """Ratings made of the events: what is wrong with them, and the documents of those that are accepted."""
+    blank = F.when(F.col("event_id") % 11 == 0, " ")
+    request = F.struct(F.coalesce(blank, F.col("user_id").cast("string")).alias("search_id"), F.get_json_object("props", "$.k").alias("user_score"), F.lit("").alias("document"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("title"), F.col("event_type").alias("source_path"), F.lit("u").alias("url"))
+    e = load(spark, d, "events").select(request.alias("q")).select(fusion.rating_errors(F.col("q")).alias("error"), fusion.rated_document(F.col("q")).alias("document"))
+    return e.groupBy("error", "document").agg(F.count(F.lit(1)).alias("n"))
+
+
+def validate_submissions(spark: SparkSession, d: str) -> DataFrame:
+    fine, wrong = judgements.accepted(load(spark, d, "submissions"))
+    user = fusion.user_name(F.create_map(F.lit("user_name"), F.lit(" "), F.lit("participant_name"), F.col("participant_name")))
+    return fine.withColumn("errors", F.lit("")).unionByName(wrong).select("id", "errors", user.alias("user_name"))
 
 
 def safe_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +183,7 @@ def safe_parse(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (postings, term_stats, corpus_stats, bm25_topk, bm25_batch, fts_weighted_topk, l2_normalize, mean_pool, e5_prefix, embed_text, vector_index_build, title_index, vector_topk, vector_batch, result_title, best_chunk_per_doc, dedupe_docs, seeded_shuffle, search_log_rows, validate_ratings, safe_parse)
+    for f in (postings, term_stats, corpus_stats, bm25_topk, bm25_batch, fts_weighted_topk, l2_normalize, mean_pool, e5_prefix, embed_text, vector_index_build, title_index, vector_topk, vector_batch, result_title, best_chunk_per_doc, dedupe_docs, seeded_shuffle, search_log_rows, validate_ratings, validate_submissions, safe_parse)
 }
 
 POST = f"""w as (select chunk_id, unnest({TOKEN.format("text")}) term from chunk_metadata),
@@ -204,7 +217,21 @@ fs as (select query_id, p.chunk_id, round(sum(greatest(ln((n - df + 0.5) / (df +
 fts as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) rank from fs qualify rank <= {k})"""
 
 
-TITLE = "coalesce(nullif(trim(json_extract_string(metadata_json, '$.title')), ''), regexp_replace(regexp_extract(source_path, '([^/]*)$', 1), '\\.[^.]*$', ''))"
+def first_sql(*options: str) -> str:
+    return f"coalesce({', '.join(f"nullif(trim({o}, ' '), '')" for o in options)})"
+
+
+def json_text(json: str, key: str) -> str:
+    """A member of a JSON object as text, null if there is none."""
+    return f"json_extract_string({json}, '$.{key}')"
+
+
+_ADDRESS = first_sql(*(json_text("metadata_json", k) for k in fusion.URL_KEYS))
+_URL = f"case when regexp_matches({_ADDRESS}, '(?i)^https?://') then {_ADDRESS} else '' end"
+_LAST = "list_filter(string_split(regexp_replace({}, '^[^/:]*://[^/?#]*|[?#].*$', '', 'g'), '/'), lambda x: x <> '')[-1]"
+_NAMED = ", ".join(f"nullif(url_decode(replace(regexp_extract({_URL}, '[?&]{k}=([^&#]+)', 1), '+', ' ')), '')" for k in urls.NAME_KEYS)
+_NAME = f"coalesce({_NAMED}, case when lower(url_decode({_LAST.format(_URL)})) <> 'getdocument' then url_decode({_LAST.format(_URL)}) end)"
+TITLE = first_sql(*(json_text("metadata_json", k) for k in fusion.TITLE_KEYS), _NAME, "list_filter(string_split(trim(source_path, ' '), '/'), lambda x: x <> '')[-1]")
 
 
 def _doc_sql(x: str) -> str:
@@ -244,10 +271,11 @@ ORACLE = {
     "title_index": f"with {HASHED.format('h', f"select chunk_id id, text x from chunk_metadata where chunk_type = 'title' and {HAS_WORD}")} select id as chunk_id, k::int as dim, round(x::double, 5) as value from h where x <> 0",
     "vector_topk": f"with u as (select vec_id, {UNIT} e from embeddings), q as (select e qe from u order by vec_id limit 1) select vec_id, round(list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])), 5) as score, row_number() over (order by round(list_sum(list_transform(list_zip(e, qe), lambda p: p[1] * p[2])), 5) desc, vec_id) as rank from u, q qualify rank <= 10",
     "vector_batch": f"with u as (select vec_id, {UNIT} e from embeddings), s as (select q.vec_id query_id, u.vec_id, round(list_dot_product(u.e, q.e), 5) score from u, u q where q.vec_id % 20 = 0) select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s qualify rank <= 10",
-    "result_title": f"select chunk_id, {TITLE} as title from chunk_metadata",
+    "result_title": f"select chunk_id, {TITLE} as title, case when chunk_id % 2 = 0 then {first_sql(*(json_text('metadata_json', k) for k in fusion.TITLE_KEYS[1:]), _NAME, "list_filter(string_split(trim(source_path, ' '), '/'), lambda x: x <> '')[-1]")} else {TITLE} end as other_title, {_URL} as url, coalesce(printf('%.12g', section_level / (section_index + 3)::double), '') as score from chunk_metadata",
     "best_chunk_per_doc": f"{DOCLISTS} select query_id, doc, chunk_id, score, rank from e1 where rank <= 10",
     "dedupe_docs": f"with {POST}, {bm25_sql(FORM_QUERIES, 30)}, {DOC}, a as (select query_id, doc, max(score) score from bm join dc using (chunk_id) where doc <> '' group by 1, 2) select query_id, doc, score, row_number() over (partition by query_id order by score desc, doc) as rank from a qualify rank <= 10",
     "search_log_rows": "with a as (select id, query_text, json_transform(payload_json, '{\"results\": [{\"title\": \"VARCHAR\", \"source_path\": \"VARCHAR\"}]}').results r from submissions where json_valid(payload_json)), b as (select id, query_text, coalesce(len(r), 0) result_count, case when coalesce(len(r), 0) = 0 then [null] else r end r from a) select id, query_text, result_count, unnest(case when result_count = 0 then [null] else range(1, result_count + 1) end) as rank, unnest(r).title as title from b",
-    "validate_ratings": "select user_id, count(*) filter (regexp_matches(json_extract_string(props, '$.k'), '^\\s*[1-5]\\s*$')) as n_valid, count(*) filter (not coalesce(regexp_matches(json_extract_string(props, '$.k'), '^\\s*[1-5]\\s*$'), false)) as n_rejected from events group by 1",
+    "validate_ratings": "with a as (select case when event_id % 11 = 0 then 'search_id is required' when not coalesce(regexp_matches(json_extract_string(props, '$.k'), '^\\s*[1-5]\\s*$'), false) then 'user_score must be 1 to 5' else '' end as error, event_type as document from events) select error, document, count(*) as n from a group by 1, 2",
+    "validate_submissions": f"select id, concat_ws('|', case when {first_sql('participant_name')} is null then 'participant_name' end, case when {first_sql('information_need')} is null then 'information_need' end, case when {first_sql('query_text')} is null then 'query' end) as errors, coalesce({first_sql('participant_name')}, '') as user_name from submissions",
     "safe_parse": "select record_id, coalesce(case when regexp_matches(trim(regexp_replace(version, '^[vV]', '')), '^[0-9]+$') then try_cast(trim(regexp_replace(version, '^[vV]', '')) as int) end, -1) as version, case when lower(trim(comment)) in ('1', 'true', 'yes', 'on', 'y') then true else false end as flag from metadata",
 }
