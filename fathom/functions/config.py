@@ -65,3 +65,10 @@ class Point(NamedTuple):
 def sweep(sizes: str, overlaps: str, titles: str = "true") -> list[Point]:
     """All combinations, in the order given."""
     return [Point(*x) for x in itertools.product(parse_list(sizes, int), parse_list(overlaps, int), parse_list(titles, parse_bool))]
+
+
+def text_source(name: str) -> str:
+    """The field that indexes are made of; only "text" is known."""
+    if name != "text":
+        raise ValueError(f"no such text: {name!r}; there is 'text' only")
+    return name

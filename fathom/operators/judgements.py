@@ -28,9 +28,7 @@ def _text(c: Column) -> Column:
 def result_doc(r: Column) -> Column:
     """The document of a result in normal form: the first that has one of its name and title, its metadata's keys, its path and address."""
     options = [r["document"], r["title"], *(r["metadata"][k] for k in DOCUMENT_KEYS), r["source_path"], r["source_url"], r["url"]]
-    # Texts that are nothing but a known extension have no normal form.
-    found = F.filter(F.array(*(F.trim(F.coalesce(o, F.lit(""))) for o in options)), lambda x: (x != "") & ~F.lower(x).rlike(r"^[\s.]*$"))
-    return t.plain_doc_id(F.try_element_at(found, F.lit(1)))
+    return t.plain_doc_id(t.first_value(*options))
 
 
 def results(forms: DataFrame) -> DataFrame:
@@ -69,7 +67,7 @@ def relevant_chunks(forms: DataFrame) -> DataFrame:
     r, m, p = F.col("r"), F.col("r.metadata"), F.col("p")
     rows = forms.select("id", "created_at", "p", F.posexplode("p.results").alias("n", "r")).where(F.trim(F.col("r.assessment.rating")) == "relevant")
     one = lambda *options: F.coalesce(t.first_value(*options), F.lit(""))
-    pooled = F.array_join(F.filter(F.transform(F.from_json(m["pooled_from"], "array<string>"), F.trim), lambda x: x != ""), "|")
+    pooled = F.array_join(F.filter(F.transform(F.from_json(m["pooled_from"], "array<string>"), lambda x: F.trim(x)), lambda x: x != ""), "|")
     return rows.select(
         "id", "created_at", one(p["participant_name"]).alias("participant_name"), one(p["information_need"]).alias("information_need"), one(p["query"]).alias("query"), one(p["general_comment"]).alias("general_comment"),
         (F.col("n") + 1).alias("result_index"), one(r["chunk_id"]).alias("chunk_id"), one(r["chunk_type"]).alias("chunk_type"), one(r["source_path"]).alias("source_path"),

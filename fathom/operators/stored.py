@@ -32,6 +32,11 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, where: str) -> bool:
+    path, fs = _path(spark, where)
+    return fs.exists(path)
+
+
 def signature(spark: SparkSession, source: str, **settings) -> str:
     """A name for what is built from the files of ``source`` (a file or folder of files) by these settings."""
     path, fs = _path(spark, source)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.functions import urls
-from fathom.operators import analytics, sections
+from fathom.operators import analytics, sections, stored
 from fathom.plans.text_queries import WS, doc_id_sql, sq
+from fathom.session import shared_folder
 from fathom.sources import documents
 from fathom.streaming import events as streaming
 from fathom.tables import load
@@ -24,10 +25,14 @@ def _meta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_documents(spark: SparkSession, d: str) -> DataFrame:
-    """The stored chunks' metadata read as documents: one row per path."""
-    m = F.from_json("metadata_json", "map<string,string>")
-    c = load(spark, d, "chunk_metadata").select("source_path", m.alias("m"))
-    return c.groupBy("source_path").agg(F.min(F.col("m.title")).alias("title"), F.max(F.col("m.page_count").try_cast("int")).alias("page_count"), F.count(F.lit(1)).alias("n_chunks"))
+    """The documents of the chunks, written as parsed JSON once and scanned."""
+    folder = f"{shared_folder(spark)}/fathom-parsed/{stored.signature(spark, f'{d}/chunk_metadata.parquet', kind='parsed')}"
+    if not stored.exists(spark, f"{folder}/_SUCCESS"):
+        m = F.from_json("metadata_json", "map<string,string>")
+        c = load(spark, d, "chunk_metadata").groupBy(F.col("source_path").alias("path")).agg(F.min_by("metadata_json", "chunk_id").alias("metadata_json"), F.min("chunk_id").cast("string").alias("binary_path"))
+        documents.write_parsed(c.select("path", "binary_path", m.alias("metadata")), folder)
+    docs = documents.scan_parsed(spark, folder, lines=True)
+    return docs.select(F.col("path").alias("source_path"), F.col("metadata.title").alias("title"), F.col("metadata.page_count").try_cast("int").alias("page_count"), F.col("binary_path").cast("long").alias("first_chunk"))
 
 
 def dir_signature(spark: SparkSession, d: str) -> DataFrame:
@@ -102,8 +107,10 @@ def url_digest_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_title(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of the records, of the name in the address where every other record has none."""
     m = _meta(spark, d)
-    return m.select("record_id", t.first_value(F.col("title"), F.regexp_replace("stem", r"\.[^.]*$", "")).alias("title"))
+    known = F.create_map(F.lit("title"), F.when(F.col("record_id") % 2 == 1, F.col("title")), F.lit("name"), F.lit(" "))
+    return m.select("record_id", documents.title_of(known, F.concat("source_url", F.lit("&file=Rutin%20"), F.col("record_id"), F.lit(".v2.doc"))).alias("title"))
 
 
 def sanitize_query(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +213,7 @@ _FIELDS = ", ".join(f"'{f}=' || regexp_replace({f}, '^{WS}|{WS}$', '', 'g')" for
 _LINKS = f"""a as (select record_id // 25 as page_id, record_id, source_url url, {sq("coalesce(title, '')")} title, '' as name, array_to_string(list_filter([{_FIELDS}], lambda v: v is not null), '|') fields from metadata),
 b as (select * from a qualify row_number() over (partition by page_id, url order by record_id) = 1)"""
 ORACLE = {
-    "scan_documents": "select source_path, min(json_extract_string(metadata_json, '$.title')) as title, max(try_cast(json_extract_string(metadata_json, '$.page_count') as int)) as page_count, count(*) as n_chunks from chunk_metadata group by 1",
+    "scan_documents": "select source_path, json_extract_string(arg_min(metadata_json, chunk_id), '$.title') as title, try_cast(json_extract_string(arg_min(metadata_json, chunk_id), '$.page_count') as int) as page_count, min(chunk_id) as first_chunk from chunk_metadata group by 1",
     "backfill_missing": "select record_id, coalesce(page_count, max(page_count) over (partition by stem)) as page_count from metadata",
     "page_urls": "select n as page, 'https://dokument.lovtuna.example/search?q=rutin&page=' || n as url from range(1, 51) t(n)",
     "url_set_param": f"with a as (select record_id, {_PLAIN_URL.format('metadata_url')} u from metadata) select record_id, u || (case when contains(u, '?') then '&' else '?' end) || 'page=' || record_id as url from a",
@@ -218,7 +225,7 @@ select search_id, doc_id, greatest(1, 20 - (row_number() over (partition by sear
     "is_document_link": "with a as (select record_id, case record_id % 4 when 0 then source_url || '&f=a.PDF' when 1 then 'https://x.example/d/' || stem || '.docx#p' when 2 then 'https://x.example/d/index.html' else source_url end u from metadata) select record_id, coalesce(regexp_matches(regexp_extract(u, '^[^?#]*'), '(?i)\\.(pdf|docx?|xlsx?|pptx?)$') or contains(lower(regexp_extract(u, '^[^?#]*')), 'getdocument') or len(list_filter(string_split(regexp_extract(u, '\\?([^#]*)', 1), '&'), lambda x: regexp_matches(x, '(?i)\\.(pdf|docx?|xlsx?|pptx?)$'))) > 0, false) as is_link from a",
     "url_filename": "select record_id, stem || '.pdf' as by_path, 'Rutin ' || record_id || '.doc' as by_query from metadata",
     "url_digest_id": "select record_id, 'doc_' || substr(sha256(source_url || '&f=a.pdf'), 1, 12) || '.pdf' as file_id from metadata",
-    "doc_title": "select record_id, coalesce(nullif(trim(title, ' '), ''), nullif(regexp_replace(stem, '\\.[^.]*$', ''), '')) as title from metadata",
+    "doc_title": "select record_id, coalesce(case when record_id % 2 = 1 then nullif(trim(title, ' '), '') end, 'Rutin ' || record_id || '.v2') as title from metadata",
     "sanitize_query": "select id, trim(regexp_replace(regexp_replace(information_need, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s\\x{a0}\\-]', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) as query from submissions",
     "length_stats": "select count(*) as n, count(page_count) as n_known, round(avg(page_count), 6) as mean, round(quantile_cont(page_count, 0.5), 6) as median, max(page_count) as max, count(*) filter (page_count > 20) as over_20, count(*) filter (page_count > 50) as over_50, count(*) filter (page_count > 100) as over_100 from metadata",
     "percentiles": "select " + ", ".join(f"round(quantile_cont(page_count, {p}), 6) as p{round(p * 100)}" for p in analytics.PERCENTILES) + " from metadata",

@@ -123,8 +123,14 @@ def section_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sections_stored(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "chunk_metadata").where("chunk_type = 'section_title'").withColumn("title", F.get_json_object("metadata_json", "$.title")).withColumn("key", F.col("chunk_id"))
-    return sections.stored_sections(c, "key", "section_heading", "title", "section_level").select(F.col("key").alias("chunk_id"), "section_index", "heading", F.col("level").cast("long").alias("level"))
+    """Each heading's chunk as a document of one stored section."""
+    c = load(spark, d, "chunk_metadata").where("chunk_type = 'section_title'").withColumn("title", F.get_json_object("metadata_json", "$.title"))
+    s = F.struct(
+        F.col("section_index").alias("index"), F.col("section_heading").alias("heading"), F.lit(None).cast("string").alias("title"), F.col("section_level").alias("level"), F.lit(0).alias("page"), F.lit(" ").alias("source"),
+        F.lit(None).cast("string").alias("raw_text"), F.col("section_text").alias("text"), F.from_json("section_path_json", "array<string>").alias("path"), F.col("section_path_text").alias("path_text"),
+    )
+    got = sections.parsed_sections(c.withColumn("sections", F.array(s)), "chunk_id", "sections", "text", "title")
+    return got.select("chunk_id", "heading", F.col("level").cast("long").alias("level"), "page", "source", F.length("text").cast("long").alias("n_chars"), F.array_join("path", "|").alias("path"), "path_text")
 
 
 def sections_whole(spark: SparkSession, d: str) -> DataFrame:
@@ -225,7 +231,10 @@ r as (select *, sum(head::int) over (partition by doc_id order by line_index) as
 g as (select doc_id, run, max(normalized) filter (head) as found, string_agg(raw, chr(10) order by line_index) filter (not head) as body from r group by 1, 2 having count(*) filter (not head) > 0),
 n as (select g.doc_id, row_number() over (partition by g.doc_id order by run) - 1 as section_index, coalesce(found, nullif({sq("d.title")}, ''), 'Document') as heading, {sq("body")} as body from g left join documents d on d.doc_id = g.doc_id)
 select doc_id, section_index::int as section_index, heading, {level_sql("heading")}::bigint as level, body from n""",
-    "sections_stored": f"with a as (select chunk_id, section_index, coalesce(nullif({sq('section_heading')}, ''), nullif({sq(chr(39).join(['json_extract_string(metadata_json, ', '$.title', ')']))}, ''), 'Document') as heading, section_level l from chunk_metadata where chunk_type = 'section_title') select chunk_id, section_index, heading, (case when l > 0 then l else {level_sql('heading')} end)::bigint as level from a",
+    "sections_stored": f"with a as (select chunk_id, coalesce(nullif({sq('section_heading')}, ''), nullif({sq("json_extract_string(metadata_json, '$.title')")}, ''), 'Document') as heading, section_level l, coalesce(trim(section_text, ' '), '') x, list_filter(list_transform(coalesce(from_json(section_path_json, '[\"VARCHAR\"]'), []), lambda v: {sq('v')}), lambda v: v <> '') p, coalesce(trim(section_path_text, ' '), '') pt from chunk_metadata where chunk_type = 'section_title') select chunk_id, heading, (case when l > 0 then l else {level_sql('heading')} end)::bigint as level, null::int as page, 'stored' as source, length(x) as n_chars, case when len(p) = 0 then heading else array_to_string(p, '|') end as path, case when len(p) = 0 then heading else pt end as path_text from a",
+    "section_paths": """with recursive s as (select source_path, section_index, coalesce(min(section_level), 1) l, coalesce(min(section_heading), '') h, row_number() over (partition by source_path order by section_index) n from chunk_metadata where chunk_type = 'section_title' group by 1, 2),
+r as (select source_path, section_index, n, [h] p from s where n = 1 union all select s.source_path, s.section_index, s.n, list_append(r.p[1:greatest(1, s.l) - 1], s.h) from r join s on s.source_path = r.source_path and s.n = r.n + 1)
+select source_path, section_index, len(p)::int as depth, array_to_string(p, ' > ') as path_text from r""",
     "sections_whole": f"select doc_id, coalesce(nullif({sq('title')}, ''), 'Document') as heading, length({sq('text')}) as n_chars from documents where {sq('text')} <> ''",
     "doc_headings": f"with {HEADS} select * from heads",
     "enrich_headings": f"with {HEADS} select c.chunk_id, c.source_path, headings from chunk_metadata c left join heads using (source_path) where chunk_type = 'title'",

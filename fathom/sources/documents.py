@@ -6,6 +6,7 @@ import html.parser
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from urllib.parse import urldefrag, urljoin
 
@@ -25,9 +26,9 @@ BUTTON_FIELDS = {
 }
 
 
-def scan_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """Parsed documents of a folder, one JSON object a file, with ``path`` (its own, else the file's). Malformed files are left out."""
-    raw = spark.read.schema(PARSED).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
+def scan_parsed(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Parsed documents of a folder with ``path`` (its own, else the file's), one JSON object a file, or with ``lines`` one a line, as ``write_parsed`` writes them. Malformed ones are left out."""
+    raw = spark.read.schema(PARSED).option("multiLine", not lines).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(folder)
     named = raw.withColumn("path", F.coalesce("path", F.col("_metadata.file_path")))
     return named.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
@@ -37,6 +38,16 @@ def write_parsed(docs: DataFrame, folder: str) -> None:
     docs.write.mode("overwrite").json(folder)
 
 
+def write_metadata(records: DataFrame, folder: str, source_url: str = "source_url", metadata: str = "metadata") -> None:
+    """Documents that were not fetched: their address and metadata as JSON lines."""
+    records.select(F.col(source_url).alias("source_url"), F.col(metadata).alias("metadata")).write.mode("overwrite").json(folder)
+
+
+def crawl_summary(results: DataFrame, path: str = "path") -> DataFrame:
+    """attempted, downloaded: one row; a result without a path was not fetched."""
+    return results.agg(F.count(F.lit(1)).alias("attempted"), F.count(t.first_value(F.col(path))).alias("downloaded"))
+
+
 def folder_signature(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """n_files, last_modified, n_bytes: one row that changes when the files do."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(folder)
@@ -55,13 +66,51 @@ def _docx_text(data: bytes) -> str:
     return re.sub(r"<[^>]+>", "", re.sub(r"</w:p>", "\n", body))
 
 
+_STREAM = re.compile(rb"<<(?P<dict>(?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(?P<data>.*?)\r?\n?endstream", re.S)
+_SHOWN = re.compile(rb"\((?P<text>(?:[^()\\]|\\.)*)\)|<(?P<hex>[0-9A-Fa-f\s]+)>|(?P<line>\bT\*|\bT[dDm]\b|\bET\b|['\"](?=\s))", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b"\n", b"\n": b"", b"\r": b""}
+
+
+def _pdf_streams(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """The dictionary and the content of a PDF's streams; those that can't be inflated are left out."""
+    for m in _STREAM.finditer(data):
+        raw = m["data"]
+        if b"FlateDecode" in m["dict"]:
+            try:
+                raw = zlib.decompressobj().decompress(raw)
+            except zlib.error:
+                continue
+        yield m["dict"], raw
+
+
 def _pdf_pages(data: bytes) -> int | None:
-    n = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))
+    """The page objects of a PDF, also those within object streams; None if there is none."""
+    inside = b"".join(x for d, x in _pdf_streams(data) if b"/ObjStm" in d)
+    n = sum(len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", x)) for x in (_STREAM.sub(b"", data), inside))
     return n or None
 
 
-#: Readers of binary documents by extension; one for .pdf text can be registered.
-READERS: dict[str, Callable[[bytes], str]] = {".docx": _docx_text, ".txt": lambda b: b.decode("utf-8", "replace")}
+def _pdf_text(data: bytes) -> str:
+    """The strings that a PDF's pages show, in the order of its content streams.
+
+    Fonts of one byte a character (WinAnsi) are read; others need a library's reader in ``READERS``.
+    """
+    lines = [b""]
+    for _, x in _pdf_streams(data):
+        for block in re.findall(rb"\bBT\b(.*?\bET\b)", x, re.S):
+            for m in _SHOWN.finditer(block):
+                if m["line"]:
+                    lines += [b""] * bool(lines[-1])
+                elif m["hex"]:
+                    digits = re.sub(rb"\s", b"", m["hex"])
+                    lines[-1] += bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+                else:
+                    lines[-1] += re.sub(rb"\\([0-7]{1,3}|.)", lambda e: bytes([int(e[1], 8) % 256]) if e[1].isdigit() else _ESCAPES.get(e[1], e[1]), m["text"], flags=re.S)
+    return "\n".join(x.decode("cp1252", "replace") for x in lines if x.strip())
+
+
+#: Readers of binary documents by extension; better ones can be registered.
+READERS: dict[str, Callable[[bytes], str]] = {".docx": _docx_text, ".pdf": _pdf_text, ".txt": lambda b: b.decode("utf-8", "replace")}
 
 
 def extract(binaries: DataFrame) -> DataFrame:
@@ -187,6 +236,6 @@ def append_log(rows: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def title_of(metadata: Column, url: Column) -> Column:
-    """The first title that is not blank in the metadata, else the name in the address without its extension."""
+    """The first title that is not blank in the metadata, else the name in the address without its extension, else ''."""
     keys = ["title", "document_title", "doc_title", "name", "filename", "file_name"]
-    return t.first_value(*(metadata[k] for k in keys), F.regexp_replace(urls.url_filename(url), r"\.[^.]*$", ""))
+    return F.coalesce(t.first_value(*(metadata[k] for k in keys), F.regexp_replace(urls.name_in_address(url), r"(?<=.)\.[^.]*$", "")), F.lit(""))

@@ -12,7 +12,7 @@ def tables(spark):
     return chunks, spark.createDataFrame([(1, "läkemedel rutin"), (2, " "), (3, "saknas")], "query_id long, query string")
 
 
-@pytest.mark.parametrize("method", ["bm25", "sqlite_fts", "vector", "hybrid"])
+@pytest.mark.parametrize("method", ["bm25", "sqlite_fts", "vector", "vector_e5", "hybrid", "hybrid_e5"])
 def test_methods(tables, method):
     got = [(r.query_id, r.chunk_id) for r in search.search(*tables, method, 2).orderBy("query_id", "rank").collect()]
     assert [c for q, c in got if q == 1] == [1, 2] and not [q for q, _ in got if q == 2]
@@ -26,7 +26,18 @@ def test_all_default_and_unknown(tables):
         search.search(*tables, "nothing")
 
 
+def test_default_and_errors(tables):
+    assert {r.method for r in search.default_search(*tables).collect()} == {"hybrid"}
+    runs, errors = search.search_each(*tables, ["bm25", "nothing"], 2)
+    assert {r.method for r in runs.collect()} == {"bm25"} and list(errors) == ["nothing"]
+    with pytest.raises(ValueError, match="no such method"):
+        search.search_each(*tables, ["nothing"])
+
+
 def test_settings():
+    assert config.text_source("text") == "text"
+    with pytest.raises(ValueError):
+        config.text_source("raw_text")
     assert config.parse_list(" 1, 2,,3 ", int) == [1, 2, 3] and config.parse_bool(" Y ") and not config.parse_bool("off")
     for bad in (lambda: config.parse_list(" , "), lambda: config.parse_bool("kanske"), lambda: config.flat_settings(["a b=1"]), lambda: config.flat_settings(["a=1", "a=2"])):
         with pytest.raises(ValueError):

@@ -1,10 +1,11 @@
+import json
 import math
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.operators import fusion, index, vectors
+from fathom.operators import fusion, index, judgements, vectors
 
 
 def frame(spark, texts):
@@ -90,3 +91,35 @@ def test_pool_and_shuffle(spark):
 def test_parsing(spark):
     df = spark.createDataFrame([(" 3 ", "Yes"), ("x", "?"), (None, None)], "n string, b string")
     assert [tuple(r) for r in df.select(fusion.safe_int(F.col("n"), -1), fusion.safe_bool(F.col("b"), False), fusion.valid_rating(F.col("n"))).collect()] == [(3, True, True), (-1, False, False), (-1, False, False)]
+
+
+def test_result_chains(spark):
+    url = "https://x.example/a/getdocument?id=1"
+    rows = [(1, {"title": " ", "name": "N"}, "p/q.json", 1.5), (2, {"url": url + "&file=A+b%20c.pdf"}, "p/q.json", 1e-05), (3, {"url": url}, " /p/q.json/ ", 123456789012.75), (4, {"url": "ftp://x.example/z.pdf"}, "", None), (5, {"link": "https://x.example/d/e%20f.doc#g"}, None, 2.0), (6, None, "r", 0.1)]
+    df = spark.createDataFrame(rows, "k int, m map<string,string>, path string, score double")
+    got = {r.k: (r.title, r.score) for r in df.select("k", fusion.result_title(F.col("m"), F.col("path")).alias("title"), fusion.score_text(F.col("score")).alias("score")).collect()}
+    assert got == {1: ("N", "1.5"), 2: ("A b c.pdf", "1e-05"), 3: ("q.json", f"{123456789012.75:.12g}"), 4: (None, ""), 5: ("e f.doc", "2"), 6: ("r", "0.1")}
+
+
+def test_ratings_and_forms(spark):
+    q = spark.createDataFrame([(" ", "3", "", "T", "", ""), ("s", "6", "", "", "", ""), ("s", " 5 ", "", " ", "p", "u"), ("s", "2", "D", "T", "", ""), ("s", None, None, None, None, None)], "search_id string, user_score string, document string, title string, source_path string, url string").select(F.struct("*").alias("q"))
+    got = [tuple(r) for r in q.select(fusion.rating_errors(F.col("q")), fusion.rated_document(F.col("q"))).collect()]
+    assert got == [("search_id is required", "T"), ("user_score must be 1 to 5", ""), ("", "p"), ("", "D"), ("user_score must be 1 to 5", "")]
+    forms = spark.createDataFrame([(1, "A", "n", "q"), (2, " ", None, "q")], "id long, participant_name string, information_need string, query_text string")
+    fine, wrong = judgements.accepted(forms)
+    assert [r.id for r in fine.collect()] == [1] and [(r.id, r.errors) for r in wrong.collect()] == [(2, "participant_name|information_need")]
+
+
+def test_relevant_chunks(spark, tmp_path):
+    payload = {"query": "q", "participant_name": "P", "results": [
+        {"title": "no", "assessment": {"rating": "not_relevant"}},
+        {"document": " ", "metadata": {"name": "Rutin.PDF", "pooled_from": ["bm25", " ", "dense"], "link": "L", "section_heading": "H"}, "chunk_id": 7, "preview_text": "text", "assessment": {"rating": " relevant ", "comment": "c"}},
+        {"title": "T", "source": "S", "result_method": "bm25", "assessment": {"rating": "relevant"}}]}
+    forms = judgements.parsed(spark.createDataFrame([(1, "2024", "x", "need", json.dumps(payload)), (2, "2024", "x", "n", "{cut")], "id long, created_at string, query_text string, information_need string, payload_json string"))
+    a, b = judgements.relevant_chunks(forms).orderBy("result_index").collect()
+    assert (a.result_index, a.document_title, a.document_url, a.pooled_from_methods, a.section_heading, a.chunk_text, a.chunk_id, a.assessment_comment, a.participant_name) == (2, "Rutin.PDF", "L", "bm25|dense", "H", "text", "7", "c", "P")
+    assert (b.document_title, b.document_url, b.pooled_from_methods, b.chunk_text) == ("T", "S", "bm25", "") and len(a) == 18
+    assert sorted(r.doc_id for r in judgements.to_qrels(forms, True).collect()) == ["no", "rutin", "t"]
+    judgements.write_submissions(forms.drop("p"), str(tmp_path / "s"))
+    judgements.write_submissions(forms.drop("p"), str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2

@@ -3,7 +3,10 @@ import io
 import json
 import zipfile
 
-from fathom.sources import documents
+from pyspark.sql import functions as F
+
+from fathom.operators import schema_drift
+from fathom.sources import documents, results
 from fathom.streaming import events
 
 
@@ -71,3 +74,39 @@ def test_stream(spark, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
     still = events.windowed_counts(spark.createDataFrame(rows, events.EVENTS).selectExpr("event_id", "cast(ts as timestamp) ts", "event_type", "value"))
     assert sorted((r.event_type, r.n, r.total) for r in still.collect()) == [("click", 1, 4.0), ("view", 3, 4.0)]
+
+
+def test_pdf(spark):
+    import zlib
+
+    page = zlib.compress(b"BT /F1 12 Tf 72 700 Td (Rutin f\\366r \\(l\344kemedel\\)) Tj 0 -14 Td [(an) -20 (dra)] TJ T* <48656a> Tj ET")
+    objects = zlib.compress(b"1 0 2 40 << /Type /Page >> << /Type /Pages >> << /Type /Page >>")
+    data = b"%PDF-1.5\n1 0 obj << /Length 9 /Filter /FlateDecode >>\nstream\n" + page + b"\nendstream endobj\n2 0 obj << /Type /ObjStm /N 2 /Filter /FlateDecode >>\nstream\n" + objects + b"\nendstream endobj\n3 0 obj << /Type /Page >> endobj"
+    df = spark.createDataFrame([("a.PDF", bytearray(data)), ("b.pdf", bytearray(b"<< /Filter /FlateDecode >>\nstream\nbroken\nendstream"))], "path string, content binary")
+    got = {r.path: (r.text, r.page_count) for r in documents.extract(df).collect()}
+    assert got == {"a.PDF": ("Rutin för (läkemedel)\nandra\nHej", 3), "b.pdf": ("", None)}
+
+
+def test_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([("p1", "x", {"title": "T"}), ("p2", None, None)], "path string, text string, metadata map<string,string>")
+    documents.write_parsed(docs, str(tmp_path / "d"))
+    (tmp_path / "d" / "bad.json").write_text("{broken\n")
+    back = {r.path: (r.text, r.metadata) for r in documents.scan_parsed(spark, str(tmp_path / "d"), lines=True).collect()}
+    assert back == {"p1": ("x", {"title": "T"}), "p2": (None, None)}
+    documents.write_metadata(docs.withColumnRenamed("path", "source_url"), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).where("source_url = 'p1'").first().metadata.title == "T"
+    assert tuple(documents.crawl_summary(docs.withColumn("path", F.when(F.col("path") == "p1", F.col("path")))).first()) == (2, 1)
+
+
+def test_result_files(spark, tmp_path):
+    for name, text in (("e1/results/aggregate/s.csv", "method,rank\r\nbm25,1\n"), ("e2/results/runs/x/y.csv", "method,rank,experiment\ndense,2,own\n"), ("e2/results/runs/x/y.txt", "no"), ("all.csv", "method,rank\nfts,3")):
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    files = results.discover(spark, str(tmp_path), root=str(tmp_path / "all.csv")).persist()
+    fields = [("method", "string"), ("rank", "double"), ("experiment", "string")]
+    got = results.with_experiment(schema_drift.ingest(files, fields), files)
+    assert {(r.method, r["rank"], r.experiment, r.source_kind) for r in got.collect()} == {("bm25", 1.0, "e1", "aggregate"), ("dense", 2.0, "own", "runs"), ("fts", 3.0, None, "root")}
+    assert results.discover(spark, str(tmp_path), runs=False).select("source_kind").distinct().count() == 1 and results.discover(spark, str(tmp_path / "none")).count() == 0
+    page = results.html_report("A & B", {"<t>": files.select("line_no").orderBy("line_no")}, most=2)
+    assert "<h1>A &amp; B</h1>" in page and "&lt;t&gt;" in page and page.count("<tr>") == 3
