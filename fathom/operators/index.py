@@ -58,16 +58,32 @@ def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
     return words.groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf"), F.min("pos").alias("qpos"))
 
 
+#: A query set of at most so many terms is known to all tasks; a larger one is joined by term.
+MOST_TERMS = 200_000
+
+
+def held(terms: DataFrame, most: int = MOST_TERMS) -> tuple[DataFrame, bool]:
+    """The terms as rows at hand and True if they are at most ``most``, else as they are and False."""
+    rows = terms.limit(most + 1).collect()
+    return (terms.sparkSession.createDataFrame(rows, terms.schema), True) if len(rows) <= most else (terms, False)
+
+
+def _by_text(post: DataFrame, key: str) -> DataFrame:
+    """The postings by the hash of their text. The number is given, as postings that look small are many more rows once they meet the queries."""
+    return post.repartition(int(post.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log1p((n - df + 0.5) / (df + 0.5))
 
 
-def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B, frequency: DataFrame | None = None) -> DataFrame:
+def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, k1: float = K1, b: float = B, frequency: DataFrame | None = None, small: bool = False) -> DataFrame:
     """query_id, key, score, rank (int) of the best ``k`` texts of each query.
 
     ``post`` is that of ``term_postings``, for these terms or more, ``stats`` that of
     ``corpus_stats``, ``frequency`` (term, df) that of ``term_stats``, counted here if
-    it isn't given. A query's term counts as often as it occurs in the query. Ties go
+    it isn't given. With ``small`` the terms are few (see ``held``) and sent to all
+    tasks. A query's term counts as often as it occurs in the query. Ties go
     by the first query term found, then by key. A query without known terms, and any
     query with k of 0 or less, has no rows. Only postings of query terms are joined;
     texts are ranked within each query after partial ranking (WindowGroupLimit).
@@ -76,8 +92,10 @@ def bm25(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id
     # All columns are read, so that this is the same exchange as that of the postings and is used twice.
     if frequency is None:
         frequency = post.groupBy("term").agg(F.count_if((F.col("tf") > 0) & (F.col("dl") > 0)).alias("df"))
-    # Statistics are one row.
-    scored = post.join(terms.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
+    # The postings go to their texts before they meet the queries' terms, so that a text's scores are added up and
+    # ranked where they are, and no row for each query and text is shuffled. Statistics are one row.
+    asked = terms.join(frequency, "term")
+    scored = _by_text(post, key).join(F.broadcast(asked) if small else asked, "term").crossJoin(F.broadcast(stats))
     tf = F.col("tf")
     part = F.col("qtf") * idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     sums = scored.groupBy(query_id, key).agg(F.round(F.sum(part), SCORE_PLACES).alias("score"), F.min("qpos").alias("qpos"))
@@ -102,7 +120,7 @@ def field_lengths(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     return df.select(key, sum((F.size(t.unicode_tokens(F.coalesce(F.col(f), F.lit("")))) for f in fields), F.lit(0)).alias("dl"))
 
 
-def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None, frequency: DataFrame | None = None) -> DataFrame:
+def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: str, query_id: str, k: int, weights: dict[str, float] | None = None, frequency: DataFrame | None = None, small: bool = False) -> DataFrame:
     """query_id, key, score, rank: one score over weighted fields.
 
     ``post`` is that of ``field_postings``, or has its fields already merged into ``f``.
@@ -117,8 +135,8 @@ def weighted_fields(terms: DataFrame, post: DataFrame, stats: DataFrame, key: st
         merged = post.groupBy("term", key).agg(F.sum(weight[F.col("field")] * F.col("tf")).alias("f"), F.first("dl").alias("dl"))
     if frequency is None:
         frequency = merged.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("dl") > 0)).alias("df"))
-    asked = terms.select(query_id, "term").distinct()
-    scored = merged.join(asked.join(frequency, "term"), "term").crossJoin(F.broadcast(stats))
+    asked = terms.select(query_id, "term").distinct().join(frequency, "term")
+    scored = _by_text(merged, key).join(F.broadcast(asked) if small else asked, "term").crossJoin(F.broadcast(stats))
     rare = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     f = F.col("f")
     part = rare * f * (FIELD_K1 + 1) / (f + FIELD_K1 * (1 - FIELD_B + FIELD_B * F.col("dl") / F.col("avgdl")))

@@ -23,8 +23,9 @@ from fathom.functions import text as t
 from fathom.operators import index, vectors
 from fathom.session import shared_folder
 
-BUCKETS = 16
-VERSION = 1
+#: Terms lie in so many folders, each in at least so many files by the hash of the text, so that a common term is read by many tasks.
+BUCKETS, LEAST_PARTS = 8, 8
+VERSION = 2
 
 
 def _path(spark: SparkSession, where: str):
@@ -72,10 +73,11 @@ class WordIndex(NamedTuple):
     terms: DataFrame
     stats: DataFrame
 
-    def asked(self, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The postings of some terms, and in how many texts each is. Only the terms' parts of the index are read."""
-        some = terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term")))
-        return self.postings.join(some, ["bucket", "term"]), self.terms.join(terms.select("term").distinct(), "term")
+    def asked(self, terms: DataFrame, small: bool = False) -> tuple[DataFrame, DataFrame]:
+        """The postings of some terms, and in how many texts each is. Only the terms' parts of the index are read; few terms (``index.held``) are sent to all tasks."""
+        hint = F.broadcast if small else lambda x: x
+        some = terms.select("term").distinct()
+        return self.postings.join(hint(some.withColumn("bucket", _bucket(F.col("term")))), ["bucket", "term"]), self.terms.join(hint(some), "term")
 
 
 def _bucket(term: Column) -> Column:
@@ -100,7 +102,7 @@ def word_index(spark: SparkSession, name: str, texts: Callable[[], DataFrame], k
         words = F.flatten(F.transform("xs", lambda x: F.transform(x["words"], lambda w: F.struct(w.alias("term"), x["w"].alias("w")))))
         long = counted.select(key, "dl", words.alias("ws")).select(key, "dl", F.posexplode_outer("ws").alias("pos", "x")).select(key, "dl", "pos", "x.*")
         post = long.groupBy("term", key).agg(F.sum("w").alias("f"), F.first("dl").alias("dl"), F.max(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("marked"))
-        salt = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+        salt = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
         placed = post.withColumn("bucket", F.coalesce(_bucket(F.col("term")), F.lit(0)))
         return placed.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(salt))).sortWithinPartitions("bucket", "term")
 

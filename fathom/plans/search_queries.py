@@ -30,8 +30,9 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25_of(spark: SparkSession, d: str, terms: DataFrame, k: int) -> DataFrame:
     ix = stored.bm25_index(spark, chunk_table(d), "chunk_id", "text")
-    post, frequency = ix.asked(terms)
-    return index.bm25(terms, post.withColumnRenamed("f", "tf"), ix.stats, "chunk_id", "query_id", k, frequency=frequency)
+    terms, small = index.held(terms)
+    post, frequency = ix.asked(terms, small)
+    return index.bm25(terms, post.withColumnRenamed("f", "tf"), ix.stats, "chunk_id", "query_id", k, frequency=frequency, small=small)
 
 
 def chunk_table(d: str) -> str:
@@ -66,8 +67,9 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def _weighted_of(spark: SparkSession, d: str, terms: DataFrame, k: int) -> DataFrame:
     ix = stored.fields_index(spark, chunk_table(d), "chunk_id", lambda: corpus_fts(spark, d))
-    post, frequency = ix.asked(terms)
-    return index.weighted_fields(terms, post, ix.stats, "chunk_id", "query_id", k, frequency=frequency)
+    terms, small = index.held(terms)
+    post, frequency = ix.asked(terms, small)
+    return index.weighted_fields(terms, post, ix.stats, "chunk_id", "query_id", k, frequency=frequency, small=small)
 
 
 def _weighted(spark: SparkSession, d: str, k: int = K) -> DataFrame:
