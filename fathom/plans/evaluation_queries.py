@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.operators import batch, chunking, evaluation, fusion, judgements, schema_drift, sections
+from fathom.plans.chunk_sql import chunks_sql, corpus_sql, runs_sql, units_sql
+from fathom.plans.section_sql import strategy_units_sql
 from fathom.plans.text_queries import doc_id_sql, sq
+from fathom.session import checkpointed
 from fathom.tables import load, spread
 
 SHEET_TYPES = ["tax_keyword", "comment", "process"]
@@ -186,16 +189,19 @@ def chunking_compare(spark: SparkSession, d: str) -> DataFrame:
     return _compare(spark, d, _stored_units(spark, d, [(500, 50), (None, 50)]), ["chunked", "per_section"])
 
 
+STRATEGIES = ["whole", "cascade", "toc_or_whole"]
+
+
 def segmentation_compare(spark: SparkSession, d: str) -> DataFrame:
     """The sections of each strategy, chunked alike."""
     docs = spread(load(spark, d, "documents").select("doc_id", "text", "title"))
     doc = docs.select("doc_id", t.plain_doc_id(F.col("title")).alias("doc"))
-    strategies = ["whole", "cascade", "toc_or_whole"]
     parts = []
-    for n, strategy in enumerate(strategies):
-        s = sections.document_sections(docs, "doc_id", "text", "title", strategy).select("doc_id", F.col("index").alias("section_index"), "heading", "text").persist()  # headings and bodies read it, in both passes
+    for n, strategy in enumerate(STRATEGIES):
+        made = sections.document_sections(docs, "doc_id", "text", "title", strategy).select("doc_id", F.col("index").alias("section_index"), "heading", "text")
+        s = checkpointed(made)  # headings and bodies read it, in both passes
         parts.append(_units(docs, s, "doc_id", doc, 500, 50, n))
-    return _compare(spark, d, reduce(DataFrame.unionByName, parts), strategies)
+    return _compare(spark, d, reduce(DataFrame.unionByName, parts), STRATEGIES)
 
 
 def relevant_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -315,3 +321,41 @@ ORACLE = {
     "top_runs": "select event_id, event_type, value from events order by value desc, event_id limit 20",
     "rr_pivot": "select user_id % 7 as query_type, " + ", ".join(f"round(avg(value) filter (event_type = '{e}'), 6) as {e}" for e in ("click", "error", "purchase", "signup", "view")) + " from events group by 1",
 }
+
+_SETTINGS = "select part, size, overlap from (values " + ", ".join(f"({n}, {s}, {o})" for n, (s, o) in enumerate((s, o) for s in SIZES for o in OVERLAPS)) + ") g(part, size, overlap)"
+_POINTS = f"select 2 * part + (1 - titles::int) view, part, size, overlap, titles from ({_SETTINGS}), (values (true), (false)) t(titles)"
+
+
+def asked_sql(texts: list[str]) -> tuple[str, str]:
+    """The texts of the forms that are asked, and their qrels, with a number for each form and text."""
+    n = len(texts)
+    q = " union all ".join(f"select id * {n} + {k} query_id, {TEXTS[x]} q from submissions where id % 20 = 0" for k, x in enumerate(texts))
+    return q, f"judged as (select unnest([{', '.join(f'query_id * {n} + {k}' for k in range(n))}]) query_id, doc_id, relevance from qrels where query_id % 20 = 0)"
+
+
+def _compared_sql(units: str, views: str, texts: list[str], k: int, recall: int, labels: str, keep: str, docs: str = "") -> str:
+    asked, judged = asked_sql(texts)
+    told = f"case query_id % {len(texts)} {' '.join(f"when {n} then '{x}'" for n, x in enumerate(texts))} end"
+    scores = metrics_sql("run", "view", k, recall, "judged", f"select view from ({views})")
+    return f"with recursive {JUDGED.replace('run as (', 'shown as (')}, {judged}, {units}, {runs_sql(views, asked, k, docs)}, {scores}, told as (select view, {told} query_input, {SUMMARY} from sc group by 1, 2) select {keep} from told join ({labels}) using (view) join sizes using (view)"
+
+
+_COMPARED = "setting, n_chunks, query_input, n_queries, rr, ndcg, recall, average_rank"
+
+
+def _alike(n: int) -> str:
+    return f"select view, view part, true titles from (select unnest(range({n})) view)"
+
+
+def _labels(names: list[str]) -> str:
+    return f"select unnest(range({len(names)})) view, unnest({names}) setting"
+
+
+ORACLE |= {
+    "chunk_text": f"with recursive {chunks_sql('select doc_id id, text x from documents', 'select 0 part, 250 size, 50 overlap')} select id as doc_id, k::int as chunk_index, chunk from chunks",
+    "corpus_bm25": corpus_sql(500, 50, "source_path, section_index, unit, chunk_index, chunk_type, text, preview_text"),
+    "corpus_vector": corpus_sql(500, 25, "source_path, section_index, unit, chunk_index, 'passage: ' || trim(text, ' ') as text"),
+    "sweep_grid": _compared_sql(units_sql(_SETTINGS), _POINTS, ["query"], SWEPT_K, 10, _POINTS, "size::bigint as size, overlap::bigint as overlap, titles, n_chunks, n_queries, rr, ndcg, recall, average_rank"),
+    "chunking_compare": _compared_sql(units_sql("select 0 part, 500 size, 50 overlap", "select 1 part"), _alike(2), list(TEXTS), 100, 20, _labels(["chunked", "per_section"]), _COMPARED),
+    "segmentation_compare": _compared_sql(strategy_units_sql(STRATEGIES, 500, 50), _alike(3), list(TEXTS), 100, 20, _labels(STRATEGIES), _COMPARED, doc_id_sql("title")),
+}

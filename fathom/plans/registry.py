@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import packed_values, schema_drift
-from fathom.plans import analytics_queries, engine_queries, evaluation_queries, search_queries, text_queries
+from fathom.plans import analytics_queries, engine_queries, evaluation_queries, search_queries, section_sql, text_queries
 from fathom.tables import load, small_rows
 
 FLAGSHIP = "bm25_batch"
@@ -75,4 +75,4 @@ def _typed(name: str, sql: str) -> str:
     return f"select * replace ({', '.join(casts)}) from ({sql})" if casts else sql
 
 
-ORACLE: dict[str, str] = {k: _typed(k, s) for m in _AREAS for k, s in m.ORACLE.items()}
+ORACLE: dict[str, str] = {k: _typed(k, s) for m in (*_AREAS, section_sql) for k, s in m.ORACLE.items()}
