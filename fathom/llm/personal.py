@@ -58,6 +58,7 @@ ANNOUNCE = (
     "fråga fragade frågade syster broder dr doktor doc heter hälsningar hälsning mvh vänligen kram med av by from till hos "
     "ask nurse doctor mr mrs ms sister called name is av: från hej hi dear undertecknad kontakta ring prof överläkare läkare sjuksköterska kollegan kollega"
 ).split()
+_ANNOUNCED = frozenset(ANNOUNCE)
 NOT_NAMES = set(
     """anonym anonymous läkare sjuksköterska undersköterska student test testperson admin enhet avdelning avd mottagning sektion
     okänd ingen saknas n/a na null none chef enhetschef vårdadministratör användare gäst demo support personal jour""".split()
@@ -92,13 +93,16 @@ _DATE_LIKE = re.compile(r"\d{6}\s?[-–+ ]\s?\d{4}")
 _WORD = re.compile(rf"(?<![\w@])[{_L}]+(?:-[{_L}]+)*\.?")
 _INITIAL = re.compile(r"[A-ZÅÄÖa-zåäö](?:-[A-ZÅÄÖ])?\.")
 _GAP = re.compile(r"[ \t\xa0]{1,2}")
+_BESIDE = re.compile(r",?[ \t\xa0]{1,2}")
 
 
 #: What ``learn`` keeps of the words: at most as many as this share of all words allows, 200,000.
 WORD_SHARE = 5e-6
-#: A word is common if it is written small at least so often, and more often than it follows a given name or title; it is a
-#: family name if it follows them at least so often, and is hardly ever written small.
-SMALL, FOLLOWS, HARDLY = 3, 2, 0.05
+#: A word is common if it is written small at least so often, and more often than it follows a given name or title, or if
+#: it stands in running text so often and follows them in less than this share of its places.
+SMALL, STANDS, ELSEWHERE = 3, 10, 0.05
+#: It is a family name if it follows them at least so often, in at least this share of its places, and is hardly ever written small.
+FOLLOWS, BEHIND, HARDLY = 2, 0.3, 0.05
 #: Two-digit years after this one are of the century before.
 LATEST_YEAR = 2029
 
@@ -182,6 +186,23 @@ def _has_ending(w: str, rare: bool = False) -> bool:
     return bool(ends) and all(len(p) > 4 and p.endswith(ends) and p not in NO_FAMILY for p in parts)
 
 
+class Traits(NamedTuple):
+    """What can be said of a word by itself."""
+
+    bare: str
+    parts: tuple[str, ...]
+    given: bool  # a given name, also with a full stop behind
+    ending: bool
+    rare: bool
+    initial: bool
+
+
+@functools.lru_cache(100_000)
+def _traits(w: str) -> Traits:
+    bare = _bare(w)
+    return Traits(bare, tuple(bare.split("-")), _is_given(w.rstrip(".")), _has_ending(w), _has_ending(w, True), _INITIAL.fullmatch(w) is not None)
+
+
 def _capital(w: str) -> bool:
     return w[:1].isupper()
 
@@ -191,20 +212,23 @@ def _may_be_name(w: str, like: str = "Aa") -> bool:
     """A word, written like another (small, all in capitals, else with a capital and small letters), that is no word of a unit, role or greeting."""
     bare = _bare(w)
     alike = w.islower() if like.islower() else w.isupper() if like.isupper() and len(like) > 1 else w[:1].isupper() and (w[1:].islower() or "-" in w)
-    return alike and len(bare) > 2 and not w.endswith(".") and bare not in NOT_NAMES and bare not in ANNOUNCE and bare not in UNITS and not bare.endswith(tuple(STREETS))
+    return alike and len(bare) > 2 and not w.endswith(".") and bare not in NOT_NAMES and bare not in _ANNOUNCED and bare not in UNITS and not bare.endswith(tuple(STREETS))
 
 
 def _names(s: str, whole_field: bool, known: Known = Known()) -> Iterator[tuple[int, int]]:
     """Spans of persons' names: given name and family name in either order, with initials, or either alone where it names a person."""
     words = [(m.start(), m.end()) for m in _WORD.finditer(s)]
     text = [s[a:b] for a, b in words]
+    traits = [_traits(w) for w in text]
     n, i = len(words), 0
+    learnt = known.family
 
     def family(w: str, rare: bool = False) -> bool:
-        return _has_ending(w, rare) or (len(w) > 2 and all(p in known.family for p in _bare(w).split("-")))
+        x = _traits(w)
+        return (x.rare if rare else x.ending) or (len(w) > 2 and learnt.issuperset(x.parts))
 
     announced = INTRODUCE | ADDRESS
-    if not any(_is_given(w.rstrip(".")) or family(w) or _bare(w) in announced or _INITIAL.fullmatch(w) for w in text):
+    if not any(x.given or x.ending or x.initial or x.bare in announced or x.parts[0] in learnt for x in traits):
         return
 
     def near(k: int, comma: bool = False) -> bool:
@@ -215,7 +239,7 @@ def _names(s: str, whole_field: bool, known: Known = Known()) -> Iterator[tuple[
         return (re.fullmatch(r",[ \xa0]{1,2}", gap) if comma else _GAP.fullmatch(gap)) is not None
 
     def initial(k: int) -> bool:
-        return k < n and _INITIAL.fullmatch(text[k]) is not None
+        return k < n and traits[k].initial
 
     def end_of(k: int) -> int:
         return words[k][1] - text[k].endswith(".") * (not initial(k))
@@ -227,7 +251,7 @@ def _names(s: str, whole_field: bool, known: Known = Known()) -> Iterator[tuple[
 
     def behind(k: int) -> bool:
         """Whether a word announces that a person follows."""
-        return k > 0 and _bare(text[k - 1]) in ANNOUNCE and re.fullmatch(r"[:,.]?[ \xa0]{1,2}", s[words[k - 1][1] : words[k][0]]) is not None
+        return k > 0 and traits[k - 1].bare in _ANNOUNCED and re.fullmatch(r"[:,.]?[ \xa0]{1,2}", s[words[k - 1][1] : words[k][0]]) is not None
 
     def run_of(k: int) -> int:
         """The last of up to three unheard words, with initials between, from k on; k - 1 if there is none."""
@@ -241,7 +265,10 @@ def _names(s: str, whole_field: bool, known: Known = Known()) -> Iterator[tuple[
         return last
 
     while i < n:
-        w = text[i]
+        w, x = text[i], traits[i]
+        if not (x.given or x.initial or x.ending or w[:1].isupper() or x.parts[0] in learnt):
+            i += 1  # a small word that nobody knows as a name
+            continue
         # Given name, initials, family name.
         if _is_given(w):
             j = i
@@ -419,9 +446,14 @@ def pseudonym(item: Item, key: bytes) -> str:
     return _code(key, item.kind, re.sub(r"[\s,]+", " ", v.casefold()))
 
 
+@functools.lru_cache(100_000)
+def _placeholder(kind: str, value: str, key: bytes) -> str:
+    return f"[{kind}:{pseudonym(Item(0, len(value), kind, value), key)}]"
+
+
 def linked(s: str | None, field: str, key: bytes, known: Known = Known()) -> list[tuple[Item, str]]:
     """The items of a text, each with its placeholder [kind:pseudonym]."""
-    return [(x, f"[{x.kind}:{pseudonym(x, key)}]") for x in find(s, field, known)]
+    return [(x, _placeholder(x.kind, x.value, key)) for x in find(s, field, known)]
 
 
 def mask(s: str | None, field: str, key: bytes, known: Known = Known()) -> str | None:
@@ -435,27 +467,43 @@ def mask(s: str | None, field: str, key: bytes, known: Known = Known()) -> str |
     return "".join([*out, s[at:]])
 
 
+@functools.lru_cache(100_000)
+def _no_family(bare: str) -> bool:
+    return len(bare) < 3 or bare in NOT_NAMES or bare in _ANNOUNCED or bare in UNITS
+
+
 def count_words(texts: Iterator[tuple[str, str]]) -> Counter:
     """Of the words of some texts (field, text): how often each stands in running text ("n"), there in small letters and
     beside no given name ("s"), and behind a given name or an initial written alike, or behind a title ("f"). Parts of double names count by themselves."""
-    out: Counter = Counter()
+    stands: Counter = Counter()
+    small: Counter = Counter()
+    follows: Counter = Counter()
     for field, s in texts:
+        own = field == "participant_name"
         if _MAYBE_EMAIL.search(s):
             s = _EMAIL.sub(" ; ", s)
-        words = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(s)]
-        given = [_is_given(w.rstrip(".")) for w, _, _ in words]
-        beside = [k + 1 < len(words) and re.fullmatch(r",?[ \t\xa0]{1,2}", s[words[k][2] : words[k + 1][1]]) is not None for k in range(len(words))]
-        for k, (w, _, _) in enumerate(words):
-            before = words[k - 1][0] if k and beside[k - 1] else ""
-            alike = bool(before) and (_capital(before) == _capital(w) or field == "participant_name")
-            behind = alike and (given[k - 1] and not before.endswith(".") or re.fullmatch(r"[A-ZÅÄÖ]\.", before) is not None) or _capital(w) and _bare(before) in INTRODUCE
-            named = behind or alike and given[k - 1] or beside[k] and given[k + 1]
-            for bare in _bare(w).split("-"):
-                if field != "participant_name":
-                    out["n", bare] += 1
-                    out["s", bare] += w[:1].islower() and not named
-                if behind and (_capital(w) or field == "participant_name") and len(bare) > 2 and not given[k] and bare not in NOT_NAMES and bare not in ANNOUNCE and bare not in UNITS:
-                    out["f", bare] += 1
+        found = list(_WORD.finditer(s))
+        traits = [_traits(m.group()) for m in found]
+        if not own:
+            stands.update(x for t in traits for x in t.parts)
+            small.update(x for m, t in zip(found, traits) if m.group()[:1].islower() for x in t.parts)
+        # Only what stands beside a given name, or behind an initial or a title, is looked at more closely.
+        near = {j for k, t in enumerate(traits) for j in ((k - 1, k + 1) if t.given else (k + 1,) if t.initial or t.bare in INTRODUCE else ()) if 0 <= j < len(found)}
+        for k in near:
+            w, t = found[k].group(), traits[k]
+            beside = lambda j: _BESIDE.fullmatch(s, found[j].end(), found[j + 1].start()) is not None
+            before, b = (found[k - 1].group(), traits[k - 1]) if k and beside(k - 1) else ("", None)
+            alike = bool(before) and (_capital(before) == _capital(w) or own)
+            behind = alike and (b.given and not before.endswith(".") or b.initial and before[0].isupper()) or bool(before) and _capital(w) and b.bare in INTRODUCE
+            named = behind or alike and b.given or k + 1 < len(found) and traits[k + 1].given and beside(k)
+            for bare in t.parts:
+                if named and not own and w[:1].islower():
+                    small[bare] -= 1
+                if behind and (own or _capital(w)) and not t.given and not _no_family(bare):
+                    follows[bare] += 1
+    out: Counter = Counter()
+    for kind, counts in (("n", stands), ("s", small), ("f", follows)):
+        out.update({(kind, w): c for w, c in counts.items() if c})
     return out
 
 
@@ -471,8 +519,9 @@ def learn(df: DataFrame, fields: list[str]) -> Known:
             return pd.DataFrame(rows, columns=["kind", "word", "n"])
 
         for b in batches:
-            total.update(count_words((f, s) for f in fields for s in b[f] if isinstance(s, str)))
-            total["t", ""] = sum(n for (k, _), n in total.items() if k in "nt")
+            now = count_words((f, s) for f in fields for s in b[f] if isinstance(s, str))
+            now["t", ""] = sum(n for (k, _), n in now.items() if k == "n")
+            total.update(now)
             if len(total) > 500_000:
                 yield told()
         yield told()
@@ -483,8 +532,9 @@ def learn(df: DataFrame, fields: list[str]) -> Known:
     try:
         total = counts.where("word = ''").agg(F.sum("t")).first()[0] or 0
         least = max(1, total * WORD_SHARE)
-        common = (F.col("s") >= max(least, SMALL)) & (F.col("s") > F.col("f"))
-        family = (F.col("f") >= max(least, FOLLOWS)) & (F.col("s") <= HARDLY * (F.col("n") + F.col("f")))
+        n, s, f = F.col("n"), F.col("s"), F.col("f")
+        common = ((s >= max(least, SMALL)) & (s > f)) | ((n >= max(least, STANDS)) & (f < ELSEWHERE * n))
+        family = (f >= max(least, FOLLOWS)) & (f >= BEHIND * n) & (s <= HARDLY * (n + f))
         rows = counts.where((F.col("word") != "") & (common | family)).select("word", common.alias("common")).collect()
     finally:
         counts.unpersist()

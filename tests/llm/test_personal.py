@@ -123,5 +123,15 @@ def test_the_corpus_tells_family_names_from_common_words(spark):
     assert p.learn(df.limit(0), fields) == p.Known()
 
 
+def test_words_that_open_sentences_are_no_names(spark):
+    """A word that is always written with a capital and now and then stands behind a name is neither a family name nor part of one."""
+    rows = [(k, None, f"Söker rutin {k}. Träff nummer {k} var bra", "mvh Siv Söker svar" if k % 25 == 0 else "Dr Mensah Träff 3" if k % 25 == 1 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "id long, participant_name string, information_need string, general_comment string")
+    fields = ["participant_name", "information_need", "general_comment"]
+    known = p.learn(df, fields)
+    assert {"söker", "träff"} <= known.common and not {"söker", "träff"} & known.family
+    assert {r.value for r in p.find_items(df, "id", fields, KEY, known).collect()} == {"Siv", "Mensah"}
+
+
 def test_two_digit_years():
     assert p.mask("280517-9880", "", KEY) == p.mask("20280517-9880", "", KEY)
