@@ -160,6 +160,7 @@ def deletions(word: str) -> set[str]:
     return found
 
 
+@lru_cache(200_000)
 def _change(read: str, true: str) -> float:
     """The price of some characters for others; letter case doesn't matter where the pair is not told otherwise."""
     low = read.casefold()
