@@ -84,3 +84,9 @@ def with_page(base: Column, page: Column) -> Column:
 def sanitized_query(c: Column) -> Column:
     """Letters, digits, underscore, hyphen and single spaces; the rest becomes space."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)[^\w\s\-]", " "), r"(?U)\s+", " "))
+
+
+def query_variants(c: Column) -> Column:
+    """The forms in which a query is tried on a remote search, in order, each once: as it is, sanitised, and both with "=" behind."""
+    plain = sanitized_query(c)
+    return F.array_distinct(F.concat(F.array(c, F.concat(c, F.lit("="))), F.when(plain != "", F.array(plain, F.concat(plain, F.lit("=")))).otherwise(F.array().cast("array<string>"))))

@@ -1,8 +1,9 @@
 """Word rankings of many queries over several cuts of a corpus, in two passes over the texts.
 
 The first counts terms, the second scores every text where it is read and hands on
-each task's best of each query, so no posting is shuffled. The queries are known to
-all workers; that is some hundred bytes for each distinct text.
+each task's best of each query, so no posting is shuffled. The queries of a block are
+known to all workers, some hundred bytes for each distinct text; of more queries than
+a block holds there are several blocks, with two passes each.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -23,6 +25,8 @@ from fathom.operators import index
 
 #: Postings held before they are scored.
 HELD = 1_000_000
+#: Queries of a block.
+BLOCK = 100_000
 
 
 class Formula(NamedTuple):
@@ -145,6 +149,16 @@ def counts(units: DataFrame, terms: dict[str, int], formula: Formula) -> dict[tu
 
 
 def lists(units: DataFrame, queries: DataFrame, k: int, views: list[tuple[int, int, bool]] | None = None, formula: Formula = BM25) -> tuple[DataFrame, dict[int, int]]:
+    """``_lists`` of all queries, in blocks by the hash of their id."""
+    blocks = -(-queries.count() // BLOCK)
+    if blocks < 2:
+        return _lists(units, queries, k, views, formula)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_lists(units, queries.where(block == n), k, views, formula) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, (p for p, _ in parts)), parts[0][1]
+
+
+def _lists(units: DataFrame, queries: DataFrame, k: int, views: list[tuple[int, int, bool]] | None, formula: Formula) -> tuple[DataFrame, dict[int, int]]:
     """view, query_id, key, doc, score, rank: the ``k`` best texts of each query in each view; and how many texts a view has.
 
     ``units`` has part (int), key, doc, title (boolean, never null) and the formula's

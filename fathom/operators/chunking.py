@@ -16,6 +16,14 @@ from fathom.functions.numbering import dense_number
 PROFILES = {"bm25": (500, 50, True, ""), "swedish_bert": (250, 50, True, ""), "e5_large_instruct": (500, 25, True, "passage: ")}
 
 
+def settings(profile: str = "bm25", size: int | None = None, overlap: int | None = None, titles: bool | None = None) -> tuple[int, int, bool, str]:
+    """Size, overlap, titles and prefix of a profile; what is given goes before it. An unknown profile is an error."""
+    if profile not in PROFILES:
+        raise ValueError(f"no such profile: {profile!r}; there are {', '.join(PROFILES)}")
+    own = PROFILES[profile]
+    return (own[0] if size is None else size, own[1] if overlap is None else overlap, own[2] if titles is None else titles, own[3])
+
+
 def chunk_words(text: str | None, size: int, overlap: int) -> list[str]:
     """Words packed into chunks of at most ``size`` characters, each word counting one more for its space.
 

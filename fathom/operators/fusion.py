@@ -98,15 +98,19 @@ def pool(hits: DataFrame, query_id: str, doc: str, order: list[str] = METHODS) -
     )
 
 
+#: The factor of the hash of the seed text, and factor and addend of the congruence, all mod 2**32.
+HASH_FACTOR, STEP_FACTOR, STEP_ADDEND = 31, 1664525, 1013904223
+
+
 def shuffled(items: list, seed_text: str) -> list:
     """Items in an order that the text determines: a 31-fold hash of its UTF-16 units seeds a linear congruence, mod 2**32."""
     seed = 0
     units = seed_text.encode("utf-16-le")
     for k in range(0, len(units), 2):
-        seed = (seed * 31 + units[k] + 256 * units[k + 1]) % 2**32
+        seed = (seed * HASH_FACTOR + units[k] + 256 * units[k + 1]) % 2**32
     out = list(items)
     for last in range(len(out) - 1, 0, -1):
-        seed = (1664525 * seed + 1013904223) % 2**32
+        seed = (STEP_FACTOR * seed + STEP_ADDEND) % 2**32
         other = seed % (last + 1)
         out[last], out[other] = out[other], out[last]
     return out

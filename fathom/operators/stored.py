@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def _path(spark: SparkSession, where: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def _move(spark: SparkSession, beside: str, where: str) -> None:
+    """Puts a folder in its place unless another is there, then it is dropped."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    (old, fs), (new, _) = _path(spark, beside), _path(spark, where)
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+    try:
+        hadoop.FileContext.getFileContext(new.toUri(), spark._jsc.hadoopConfiguration()).rename(old, new, none)
+    except Py4JJavaError:
+        if not fs.exists(new):
+            raise
+        fs.delete(old, True)
+
+
 def exists(spark: SparkSession, where: str) -> bool:
     path, fs = _path(spark, where)
     return fs.exists(path)
@@ -58,8 +72,7 @@ def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], partiti
         beside = f"{where}.{uuid.uuid4().hex}"
         writer = build().write
         (writer.partitionBy(partition) if partition else writer).parquet(beside)
-        if fs.exists(path) or not fs.rename(_path(spark, beside)[0], path):
-            fs.delete(_path(spark, beside)[0], True)
+        _move(spark, beside, where)
     try:
         return spark.read.parquet(where)
     except AnalysisException:  # a table without rows that is laid down by a column has no file

@@ -117,6 +117,11 @@ def sanitize_query(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "submissions").select("id", urls.sanitized_query(F.col("information_need")).alias("query"))
 
 
+def query_variants(spark: SparkSession, d: str) -> DataFrame:
+    q = F.concat("query_text", F.when(F.col("id") % 2 == 0, "?").otherwise(""))
+    return load(spark, d, "submissions").where(F.trim("query_text") != "").select("id", F.array_join(urls.query_variants(q), "|").alias("variants"))
+
+
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
     return analytics.length_stats(_meta(spark, d), "page_count")
 
@@ -202,9 +207,10 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (scan_documents, dir_signature, index_signature, backfill_missing, page_urls, url_set_param, extract_links, live_rank_score, is_document_link, url_filename, url_digest_id, doc_title, sanitize_query, length_stats, percentiles, value_counts, field_coverage, multivalue_counts, unique_values, age_stats, approved_stats, approved_counts, metadata_export, latest_metadata, age_histogram, equal_width_hist, zero_filled_counts, toc_coverage, docs_without_toc, windowed_events)
+    for f in (scan_documents, dir_signature, index_signature, backfill_missing, page_urls, url_set_param, extract_links, live_rank_score, is_document_link, url_filename, url_digest_id, doc_title, sanitize_query, query_variants, length_stats, percentiles, value_counts, field_coverage, multivalue_counts, unique_values, age_stats, approved_stats, approved_counts, metadata_export, latest_metadata, age_histogram, equal_width_hist, zero_filled_counts, toc_coverage, docs_without_toc, windowed_events)
 }
 
+_SANITIZED = "trim(regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}\\s\\x{{a0}}\\-]', ' ', 'g'), '[\\s\\x{{a0}}]+', ' ', 'g'))"
 _DATE = "case when regexp_matches(publish_date, '^\\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\\s*$') then try_cast(regexp_replace(regexp_replace(trim(publish_date), '-([0-9])-', '-0\\1-'), '-([0-9])$', '-0\\1') as date) end"
 _VALUES = ", ".join(f"'{f}'" for f in VALUE_FIELDS)
 _ALL = ", ".join(f"'{f}'" for f in FIELDS)
@@ -226,7 +232,8 @@ select search_id, doc_id, greatest(1, 20 - (row_number() over (partition by sear
     "url_filename": "select record_id, stem || '.pdf' as by_path, 'Rutin ' || record_id || '.doc' as by_query from metadata",
     "url_digest_id": "select record_id, 'doc_' || substr(sha256(source_url || '&f=a.pdf'), 1, 12) || '.pdf' as file_id from metadata",
     "doc_title": "select record_id, coalesce(case when record_id % 2 = 1 then nullif(trim(title, ' '), '') end, 'Rutin ' || record_id || '.v2') as title from metadata",
-    "sanitize_query": "select id, trim(regexp_replace(regexp_replace(information_need, '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}\\s\\x{a0}\\-]', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) as query from submissions",
+    "sanitize_query": f"select id, {_SANITIZED.format('information_need')} as query from submissions",
+    "query_variants": f"with a as (select id, query_text || case when id % 2 = 0 then '?' else '' end q from submissions where trim(query_text, ' ') <> ''), b as (select id, q, {_SANITIZED.format('q')} s from a) select id, q || '|' || q || '=' || case when s = '' or s = q then '' else '|' || s || '|' || s || '=' end as variants from b",
     "length_stats": "select count(*) as n, count(page_count) as n_known, round(avg(page_count), 6) as mean, round(quantile_cont(page_count, 0.5), 6) as median, max(page_count) as max, count(*) filter (page_count > 20) as over_20, count(*) filter (page_count > 50) as over_50, count(*) filter (page_count > 100) as over_100 from metadata",
     "percentiles": "select " + ", ".join(f"round(quantile_cont(page_count, {p}), 6) as p{round(p * 100)}" for p in analytics.PERCENTILES) + " from metadata",
     "value_counts": "select coalesce(nullif(trim(document_type, ' '), ''), '(missing)') as value, count(*) as n from metadata group by 1",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import text as t
 from fathom.functions import urls
+from fathom.operators.fusion import TITLE_KEYS
 
 SECTION = "struct<index:int, heading:string, title:string, level:int, page:int, source:string, raw_text:string, text:string, path:array<string>, path_text:string>"
 PARSED = f"path string, binary_path string, raw_text string, text string, sections array<{SECTION}>, metadata map<string,string>, _corrupt_record string"
@@ -237,5 +238,4 @@ def append_log(rows: DataFrame, path: str, columns: list[str]) -> None:
 
 def title_of(metadata: Column, url: Column) -> Column:
     """The first title that is not blank in the metadata, else the name in the address without its extension, else ''."""
-    keys = ["title", "document_title", "doc_title", "name", "filename", "file_name"]
-    return F.coalesce(t.first_value(*(metadata[k] for k in keys), F.regexp_replace(urls.name_in_address(url), r"(?<=.)\.[^.]*$", "")), F.lit(""))
+    return F.coalesce(t.first_value(*(metadata[k] for k in TITLE_KEYS), F.regexp_replace(urls.name_in_address(url), r"(?<=.)\.[^.]*$", "")), F.lit(""))

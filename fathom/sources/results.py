@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def discover(spark: SparkSession, folder: str, root: str | None = None, runs: bo
     return lines.select(F.xxhash64("source_file").alias("file_id"), "source_file", "source_kind", "experiment", (F.col("n") + 1).alias("line_no"), "line")
 
 
+def read_sheet(spark: SparkSession, path: str, snapshot: str) -> DataFrame:
+    """A sheet of queries from CSV, all text. What was read is kept as a snapshot, which is read where the sheet can't be."""
+    read = lambda where: spark.read.csv(where, header=True, multiLine=True, escape='"')
+    try:
+        sheet = read(path)
+        sheet.write.mode("overwrite").csv(snapshot, header=True, escape='"')
+    except (AnalysisException, Py4JJavaError, SparkException):
+        return read(snapshot)
+    return sheet
+
+
 def html_table(df: DataFrame, most: int = ROWS) -> str:
     """The first rows of a table in HTML, escaped; at most ``most`` come to the driver."""
     cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"

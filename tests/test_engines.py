@@ -48,6 +48,18 @@ def test_an_index_is_built_once_and_anew_when_its_source_changes(spark, tmp_path
     assert empty.postings.count() == 0 and empty.stats.first().n == 0
 
 
+def test_one_of_two_builders_wins(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "shared_folder", lambda spark: f"file:{tmp_path}")
+    inner = lambda: stored.kept(spark, "x", lambda: spark.range(3))
+
+    def outer():
+        inner()  # another builder is done in the meantime
+        return spark.range(5)
+
+    assert stored.kept(spark, "x", outer).count() == 3 and inner().count() == 3
+    assert [p.name for p in (tmp_path / "fathom-index").iterdir() if p.is_dir()] == ["x"]
+
+
 def test_searches_read_no_text(spark):
     plan = engine_queries._words(spark, D, "bm25", 10)._jdf.queryExecution().optimizedPlan().toString()
     assert "chunk_metadata" not in plan and plan.count("-postings") <= 1
@@ -77,13 +89,16 @@ def test_vectors_by_blocks(spark, monkeypatch):
     assert vectors.search(q, v, 0).count() == 0
 
 
-def test_views(spark):
+def test_views(spark, monkeypatch):
     rows = [(0, "a", "A", False, "b x"), (0, "b", "A", True, "a"), (0, "c", "B", False, "a b"), (1, "d", "B", False, "b a a"), (1, "e", None, False, None)]
     units = spark.createDataFrame(rows, "part int, key string, doc string, title boolean, text string")
     q = spark.createDataFrame([(1, "b a"), (2, "B A"), (3, "saknas"), (4, None)], "query_id long, query string")
     got, size = batch.lists(units, q, 2, [(0, 0, True), (1, 0, False), (2, 1, True)])
     assert size == {0: 3, 1: 2, 2: 2}
     rows = got.orderBy("view", "query_id", "rank").collect()
+    monkeypatch.setattr(batch, "BLOCK", 1)
+    apart, same = batch.lists(units, q, 2, [(0, 0, True), (1, 0, False), (2, 1, True)])
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, rows)) and same == size
     assert [(r.view, r.key) for r in rows if r.query_id == 1] == [(0, "c"), (0, "b"), (1, "c"), (1, "a"), (2, "d")]
     assert [r[2:] for r in rows if r.query_id == 1] == [r[2:] for r in rows if r.query_id == 2]
     for view, where in ((0, "part = 0"), (1, "part = 0 and not title"), (2, "part = 1")):

@@ -110,3 +110,10 @@ def test_result_files(spark, tmp_path):
     assert results.discover(spark, str(tmp_path), runs=False).select("source_kind").distinct().count() == 1 and results.discover(spark, str(tmp_path / "none")).count() == 0
     page = results.html_report("A & B", {"<t>": files.select("line_no").orderBy("line_no")}, most=2)
     assert "<h1>A &amp; B</h1>" in page and "&lt;t&gt;" in page and page.count("<tr>") == 3
+
+
+def test_sheet(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('title,q1\n"A, ""b""",x\nC,\n')
+    want = [("A, \"b\"", "x"), ("C", None)]
+    assert [tuple(r) for r in results.read_sheet(spark, str(tmp_path / "s.csv"), str(tmp_path / "kept")).collect()] == want
+    assert [tuple(r) for r in results.read_sheet(spark, str(tmp_path / "gone.csv"), str(tmp_path / "kept")).collect()] == want

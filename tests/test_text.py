@@ -101,6 +101,12 @@ def test_section_paths(spark):
     assert [got[1, i][0] for i in range(4)] == [1, 2, 3, 2] and got[1, 2][1] == "h0 > h1 > h2" and got[2, 0] == (1, "x")
 
 
+def test_profiles():
+    assert chunking.settings("swedish_bert") == (250, 50, True, "") and chunking.settings("e5_large_instruct", overlap=0) == (500, 0, True, "passage: ") and chunking.settings(size=9, titles=False) == (9, 50, False, "")
+    with pytest.raises(ValueError):
+        chunking.settings("none")
+
+
 def test_chunk_words():
     assert chunking.chunk_words("ett två tre fyra", 10, 0) == ["ett två", "tre fyra"]
     assert chunking.chunk_words("ett två tre fyra", 10, 1) == ["ett två", "två tre", "tre fyra"]
