@@ -26,7 +26,7 @@ from fathom.session import shared_folder
 
 #: Terms lie in so many folders, each in at least so many files by the hash of the text, so that a common term is read by many tasks.
 BUCKETS, LEAST_PARTS = 8, 8
-VERSION = 2
+VERSION = 3
 
 
 def _path(spark: SparkSession, where: str):
@@ -111,10 +111,14 @@ def word_index(spark: SparkSession, name: str, texts: Callable[[], DataFrame], k
         df = texts()
         lists = [F.struct(F.lit(float(w)).alias("w"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("words")) for f, w in fields.items()]
         made = df.select(F.col(key), F.array(*lists).alias("xs"))
-        counted = made.select(key, "xs", F.aggregate("xs", F.lit(0), lambda a, x: a + F.size(x["words"])).alias("dl"))
-        words = F.flatten(F.transform("xs", lambda x: F.transform(x["words"], lambda w: F.struct(w.alias("term"), x["w"].alias("w")))))
-        long = counted.select(key, "dl", words.alias("ws")).select(key, "dl", F.posexplode_outer("ws").alias("pos", "x")).select(key, "dl", "pos", "x.*")
-        post = long.groupBy("term", key).agg(F.sum("w").alias("f"), F.first("dl").alias("dl"), F.max(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("marked"))
+        # The length, and the first field that has a word (from 1; 0 if none has).
+        first = F.array_position(F.transform("xs", lambda x: F.size(x["words"]) > 0), True).cast("int")
+        counted = made.select(key, "xs", F.aggregate("xs", F.lit(0), lambda a, x: a + F.size(x["words"])).alias("dl"), first.alias("first"))
+        by_field = counted.select(key, "dl", "first", F.posexplode_outer("xs").alias("field", "x"))
+        long = by_field.select(key, "dl", "first", "field", F.col("x.w").alias("w"), F.posexplode_outer("x.words").alias("pos", "term"))
+        long = long.where(F.col("term").isNotNull() | ((F.col("first") == 0) & (F.col("field") == 0)))
+        marked = F.col("term").isNull() | ((F.col("field") + 1 == F.col("first")) & (F.col("pos") == 0))
+        post = long.groupBy("term", key).agg(F.sum("w").alias("f"), F.first("dl").alias("dl"), F.max(marked).alias("marked"))
         salt = max(LEAST_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
         placed = post.withColumn("bucket", F.coalesce(_bucket(F.col("term")), F.lit(0)))
         return placed.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(salt))).sortWithinPartitions("bucket", "term")
