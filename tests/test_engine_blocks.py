@@ -5,7 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from fathom.functions import text as t
-from fathom.operators import engines, fusion, index, vectors
+from fathom.operators import engines, evaluation, fusion, index, vectors
 from fathom.plans import engine_queries
 
 ROWS = [(1, "Vård och vård", "a"), (2, None, "vård"), (3, "passage: och rutin", ""), (4, "rutin rutin prov", "rutin"), (5, "...", "x"), (6, "vård och vård", None), (7, "och", "och"), (8, "prov och vård i rutin", "prov")] + [(10 + n, f"ord{n % 7} och rutin{n % 3} vård" * (1 + n % 2), f"ord{n % 5}") for n in range(60)]
@@ -55,3 +55,14 @@ def test_no_score_of_a_pair_is_joined(spark, name):
     plan = engine_queries.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert not any(c in plan for c in ("avgdl", "qtf", "v_numbers", "q_numbers"))
     assert set(fusion.METHODS) == {*engines.WORDS, *engines.DENSE, *engine_queries.FUSED}
+
+
+def test_weights_are_swept_without_a_join_of_what_they_make(spark):
+    """The same scores and metrics as by the sweep of two runs, and relevance known before the weights are met."""
+    runs = spark.createDataFrame([(q, f"d{(q * n) % 7}", s, n) for q in (1, 2, 3) for s in (1, 2) for n in range(1, 4 + s)], "query_id long, doc_id string, side int, rank int").dropDuplicates(["query_id", "doc_id", "side"])
+    qrels = spark.createDataFrame([(1, "d1", 2), (1, "d3", 1), (2, "d4", 1), (4, "d1", 1)], "query_id long, doc_id string, relevance int")
+    one = evaluation.weight_sweep(runs.where("side = 1"), runs.where("side = 2"), k=4)
+    two = evaluation.weight_sweep_within(evaluation.with_relevance(runs, qrels), k=4)
+    assert sorted(map(tuple, one.select("weight", "query_id", "doc_id", "score", "rank").collect())) == sorted(map(tuple, two.select("weight", "query_id", "doc_id", "score", "rank").collect()))
+    told = lambda x: sorted(map(tuple, evaluation.per_query(x, qrels, by=["weight"]).collect()), key=str)
+    assert told(one) == told(two)
