@@ -5,6 +5,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from fathom.plans import engine_queries
+from fathom.plans.evaluation_queries import _qrels
 from fathom.tables import load
 
 
@@ -20,3 +21,16 @@ def test_every_form_has_its_list(spark, asked, name):
     got = {(r.query_id, r.query_input) for r in engine_queries.QUERIES[name](spark, SMALL).select("query_id", "query_input").distinct().collect()}
     assert len(asked) > 60 and got == asked
     assert " % 20" not in engine_queries.ORACLE[name]
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """The forms that have a judgement."""
+    return {r.query_id for r in _qrels(spark, SMALL).select("query_id").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["grouped_metrics"])
+def test_metrics_are_over_every_form(spark, judged, name):
+    got = {r.n_queries for r in engine_queries.QUERIES[name](spark, SMALL).collect()}
+    assert len(judged) > 20 and got == {len(judged)}
+    assert " % 20" not in engine_queries.ORACLE[name]
