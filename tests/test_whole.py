@@ -34,3 +34,9 @@ def test_metrics_are_over_every_form(spark, judged, name):
     got = {r.n_queries for r in engine_queries.QUERIES[name](spark, SMALL).collect()}
     assert len(judged) > 20 and got == {len(judged)}
     assert " % 20" not in engine_queries.ORACLE[name]
+
+
+def test_hits_are_of_every_form(spark, judged):
+    got = sorted((r.query_id, r.query_input) for r in engine_queries.hit_matrix(spark, SMALL).select("query_id", "query_input").collect())
+    assert got == sorted((i, n) for i in judged for n in engine_queries.INPUTS)
+    assert " % 20" not in engine_queries.ORACLE["hit_matrix"]
