@@ -16,7 +16,7 @@ def asked(spark):
     return {(r.id, n) for n, c in zip(engine_queries.INPUTS, engine_queries.TEXTS) for r in f.where(F.trim(c) != "").select("id").collect()}
 
 
-@pytest.mark.parametrize("name", ["eval_buckets", "hybrid_topk", "pool_results", "rrf_documents"])
+@pytest.mark.parametrize("name", ["eval_buckets", "hybrid_topk", "pool_results", "rrf_documents", "search_all_methods"])
 def test_every_form_has_its_list(spark, asked, name):
     got = {(r.query_id, r.query_input) for r in engine_queries.QUERIES[name](spark, SMALL).select("query_id", "query_input").distinct().collect()}
     assert len(asked) > 60 and got == asked
