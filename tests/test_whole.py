@@ -40,3 +40,9 @@ def test_hits_are_of_every_form(spark, judged):
     got = sorted((r.query_id, r.query_input) for r in engine_queries.hit_matrix(spark, SMALL).select("query_id", "query_input").collect())
     assert got == sorted((i, n) for i in judged for n in engine_queries.INPUTS)
     assert " % 20" not in engine_queries.ORACLE["hit_matrix"]
+
+
+def test_total_hits_count_every_form(spark, asked):
+    got = {(r.method, r.query_input): r.queries for r in engine_queries.total_hits(spark, SMALL).collect()}
+    assert all(got["dense", n] == sum(x == n for _, x in asked) for n in engine_queries.INPUTS)
+    assert " % 20" not in engine_queries.ORACLE["total_hits"]
