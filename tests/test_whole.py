@@ -29,7 +29,7 @@ def judged(spark):
     return {r.query_id for r in _qrels(spark, SMALL).select("query_id").distinct().collect()}
 
 
-@pytest.mark.parametrize("name", ["grouped_metrics"])
+@pytest.mark.parametrize("name", ["grouped_metrics", "weight_sweep"])
 def test_metrics_are_over_every_form(spark, judged, name):
     got = {r.n_queries for r in engine_queries.QUERIES[name](spark, SMALL).collect()}
     assert len(judged) > 20 and got == {len(judged)}
